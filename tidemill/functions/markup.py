@@ -46,6 +46,7 @@ TYPOGRAPHIC_ENTITIES = {
     "&#8216;": "‘", "&#8217;": "’", "&#8220;": "“", "&#8221;": "”", "&#8230;": "…",
 }
 
+REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
 MARK = "\x01"  # stands where markup was
 NAME_END = r"(?=[\s/>])"
 RAW_BLOCK = rf"(?is)<!--.*?-->|<(script|style){NAME_END}[^>]*+(?<!/)>.*?</\1{NAME_END}[^>]*+>"
@@ -158,8 +159,8 @@ class _TextNodes(HTMLParser):
             # Codes below 256 follow the Windows code page.
             char = bytes([code]).decode("windows-1252") if code < 256 else chr(code)
         except (UnicodeDecodeError, ValueError, OverflowError):
-            char = chr(code) if code < 256 else "�"
-        self._pieces.append("�" if "\ud800" <= char <= "\udfff" else char)
+            char = chr(code) if code < 256 else REPLACEMENT
+        self._pieces.append(REPLACEMENT if "\ud800" <= char <= "\udfff" else char)
 
     def handle_comment(self, data):
         self.end_node()

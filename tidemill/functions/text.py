@@ -6,18 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Every character str.isspace() accepts. Java's own \s stops at ASCII.
-SPACE_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
-    "        　"
+SPACE_CHARS = "".join(
+    map(
+        chr,
+        (
+            *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+            *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+        ),
+    )
 )
 # The characters str.splitlines() breaks at.
-LINE_BREAK_CHARS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85  "
+LINE_BREAK_CHARS = "".join(map(chr, (*range(0x0A, 0x0E), *range(0x1C, 0x1F), 0x85, 0x2028, 0x2029)))
 
 
 def char_class(chars: str) -> str:
     """Regex class of ``chars``; the outer range lets ASCII letters fail at once."""
-    points = "".join(rf"\u{ord(char):04x}" for char in chars)
-    return rf"[\x00-\x20\x7f-￿&&[{points}]]"
+    points = "".join(rf"\x{{{ord(char):x}}}" for char in chars)
+    return rf"[\x00-\x20\x7f-\x{{ffff}}&&[{points}]]"
 
 
 SPACE = char_class(SPACE_CHARS)
