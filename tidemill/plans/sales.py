@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import integrity, loading, pricing, sales_reports
+from tidemill.plans.registry import Registry
 from tidemill.sources.sales import ForeignKey, NotNull, Unique, list_tables, register_views, run_sql
 from tidemill.sources.star import read_table, share_of, star_mart
 
@@ -56,21 +57,10 @@ inventory AS (
          CAST(p_partkey % 7 AS INT) AS quantity_reserved FROM part)
 """
 
-QUERIES = {}
-ORACLES = {}
+SALES = Registry()
 
 
-def _named(name: str, oracle: str | None = None):
-    def register(build):
-        QUERIES[name] = build
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return build
-
-    return register
-
-
-@_named("row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES))
+@SALES.named("row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES))
 def row_counts(spark: SparkSession, folder: str) -> DataFrame:
     return integrity.row_counts({name: read_table(spark, folder, name) for name in TABLES})
 
@@ -96,13 +86,13 @@ def _constraint_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@_named("constraint_checks", _constraint_sql())
+@SALES.named("constraint_checks", _constraint_sql())
 def constraint_checks(spark, folder):
     names = ("orders", "customer", "part", "lineitem", "documents", "labels")
     return integrity.check_constraints({name: read_table(spark, folder, name) for name in names}, STAR_CONSTRAINTS)
 
 
-@_named(
+@SALES.named(
     "table_listing",
     "SELECT table_name FROM (VALUES ('motors'), ('customers'), ('orders'), ('order_items'),"
     " ('motor_prices'), ('inventory')) t(table_name)",
@@ -113,7 +103,7 @@ def table_listing(spark, folder):
     return list_tables(spark).filter(F.col("table_name").isin(list(mart)))
 
 
-@_named(
+@SALES.named(
     "assign_ids",
     "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id, o_orderkey FROM orders",
 )
@@ -122,7 +112,7 @@ def assign_ids(spark, folder):
     return loading.assign_ids(orders, ["o_orderdate", "o_orderkey"]).select("id", "o_orderkey")
 
 
-@_named(
+@SALES.named(
     "with_defaults",
     "SELECT o_orderkey AS id, o_custkey AS customer_id, 'EUR' AS currency FROM orders",
 )
@@ -133,7 +123,7 @@ def with_defaults(spark, folder):
     return loading.with_defaults(orders, "orders").select("id", "customer_id", "currency")
 
 
-@_named(
+@SALES.named(
     "resolve_keys",
     MART + """SELECT o.id AS order_id, m.id AS motor_id, count(*) AS items, CAST(sum(i.quantity) AS BIGINT) AS quantity
     FROM order_items i JOIN mart_orders o ON 'ORD-' || i.order_id = o.order_number
@@ -155,7 +145,7 @@ def resolve_keys(spark, folder):
     )
 
 
-@_named(
+@SALES.named(
     "expand_price_list",
     """SELECT p_partkey AS motor_id, s AS valid_from, e AS valid_to,
     CASE WHEN p_size <= 40 THEN CAST((c * f + 50) // 100 * 0.01 AS DECIMAL(12,2)) END AS list_price,
@@ -188,20 +178,20 @@ def expand_price_list(spark, folder):
     return loading.expand_price_list(motors, listed, [("2024-01-01", "2024-12-31"), ("2025-01-01", None)])
 
 
-@_named(
+@SALES.named(
     "delivered_qty",
     MART + """SELECT CAST(coalesce(sum(i.delivered_quantity), 0) AS BIGINT) AS delivered_quantity
     FROM order_items i JOIN mart_orders o ON i.order_id = o.id JOIN motors m ON i.motor_id = m.id
-    WHERE o.order_status = 'DELIVERED' AND m.model = (SELECT max(model) FROM motors WHERE id % 100 = 42)
+    WHERE o.order_status = 'DELIVERED' AND m.model = (SELECT max(model) FROM motors)
     AND o.order_date BETWEEN DATE '1996-01-01' AND DATE '1999-06-30'""",
 )
 def delivered_qty(spark, folder):
     mart = star_mart(spark, folder)
-    model = mart["motors"].filter(F.col("id") % 100 == 42).agg(F.max("model")).first()[0]
+    model = mart["motors"].agg(F.max("model")).first()[0]
     return sales_reports.delivered_qty(mart, model, "1996-01-01", "1999-06-30")
 
 
-@_named(
+@SALES.named(
     "delivered_by_family",
     MART + """SELECT m.motor_family, CAST(sum(i.delivered_quantity) AS BIGINT) AS delivered_quantity
     FROM order_items i JOIN mart_orders o ON i.order_id = o.id JOIN motors m ON i.motor_id = m.id
@@ -212,7 +202,7 @@ def delivered_by_family(spark, folder):
     return sales_reports.delivered_by(star_mart(spark, folder), "motor_family", "1997-01-01", "1997-12-31")
 
 
-@_named(
+@SALES.named(
     "top_products",
     MART + """SELECT m.model, CAST(sum(i.delivered_quantity) AS BIGINT) AS delivered_quantity
     FROM order_items i JOIN mart_orders o ON i.order_id = o.id JOIN motors m ON i.motor_id = m.id
@@ -228,17 +218,17 @@ TOP_CUSTOMERS = MART + """SELECT c.c_name AS customer_number, 'Company of ' || c
     {where} GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 10"""
 
 
-@_named("top_customers", TOP_CUSTOMERS.format(where=""))
+@SALES.named("top_customers", TOP_CUSTOMERS.format(where=""))
 def top_customers(spark, folder):
     return sales_reports.top_customers(star_mart(spark, folder), 10)
 
 
-@_named("top_customers_open", TOP_CUSTOMERS.format(where="WHERE o.order_status = 'OPEN'"))
+@SALES.named("top_customers_open", TOP_CUSTOMERS.format(where="WHERE o.order_status = 'OPEN'"))
 def top_customers_open(spark, folder):
     return sales_reports.top_customers(star_mart(spark, folder), 10, status="OPEN")
 
 
-@_named(
+@SALES.named(
     "stock",
     MART + """SELECT m.model, s.warehouse, CAST(sum(s.quantity_available) AS BIGINT) AS quantity_available,
     CAST(sum(s.quantity_reserved) AS BIGINT) AS quantity_reserved
@@ -260,13 +250,13 @@ def _per_price(priced: DataFrame) -> DataFrame:
     )
 
 
-@_named("price_as_of", PRICE_AS_OF)
+@SALES.named("price_as_of", PRICE_AS_OF)
 def price_as_of(spark, folder):
     mart = star_mart(spark, folder)
     return _per_price(pricing.price_as_of(mart["order_items"], mart["motor_prices"], "ship_date"))
 
 
-@_named("price_as_of_long_history", PRICE_AS_OF)
+@SALES.named("price_as_of_long_history", PRICE_AS_OF)
 def price_as_of_long_history(spark, folder):
     mart = star_mart(spark, folder)
     return _per_price(
@@ -274,7 +264,7 @@ def price_as_of_long_history(spark, folder):
     )
 
 
-@_named(
+@SALES.named(
     "delete_orders",
     MART + """, kept AS (SELECT id, order_date FROM mart_orders WHERE order_status <> 'CONFIRMED')
     SELECT k.order_date, 'order' AS kind, count(*) AS rows_left FROM kept k GROUP BY 1
@@ -291,7 +281,7 @@ def delete_orders(spark, folder):
     return per_day.withColumn("kind", F.lit("order")).unionByName(per_ship_day.withColumn("kind", F.lit("item")))
 
 
-@_named(
+@SALES.named(
     "delete_refused",
     "SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'MACHINERY'"
     " AND c_custkey IN (SELECT o_custkey FROM orders)",
@@ -311,7 +301,7 @@ FREE_SQL = """SELECT c.customer_segment, CAST(year(o.order_date) AS INT) AS orde
     GROUP BY ROLLUP (c.customer_segment, year(o.order_date))"""
 
 
-@_named(
+@SALES.named(
     "free_sql",
     MART + ", customers AS (SELECT c_custkey AS id, c_mktsegment AS customer_segment FROM customer) "
     + FREE_SQL.format(orders="mart_orders"),
