@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.codec import base64_text
+from tidemill.functions.codec import with_base64_text
 from tidemill.functions.markup import LINES, MAIL_DROPPED, with_markup_text
 
 # Record column -> header name.
@@ -18,6 +18,7 @@ HEADER_COLUMNS = {
     "list_id": "list-id",
 }
 PLAIN, HTML = "text/plain", "text/html"
+ENTRIES = "array<struct<at:int,nested:int,kind:string,text:string>>"
 
 
 def header_map(headers: Column) -> Column:
@@ -47,7 +48,7 @@ def normalise_headers(messages: DataFrame) -> DataFrame:
 
 def decode_parts(parts: DataFrame) -> DataFrame:
     """Add ``text``, the decoded data of each part."""
-    return parts.withColumn("text", base64_text(F.col("data")))
+    return with_base64_text(parts, "data", "text")
 
 
 def html_to_lines(df: DataFrame, html_col: str, out_col: str) -> DataFrame:
@@ -68,61 +69,57 @@ def select_body(parts: DataFrame, max_depth: int | None = None) -> DataFrame:
     and what nested parts resolve to are joined by a newline, in part order; only when
     there are none are the html children joined and converted; else the body is "".
 
-    The tree is folded from the deepest level up, one grouped aggregation per level over
-    the rows of that level and the results from below.
+    The parts are read once and shuffled once, by message. The tree is then folded from
+    the deepest level up, one aggregation per level; as each groups by message and part,
+    all of them run on the partitions made by that one shuffle.
     """
     if max_depth is None:
         max_depth = deepest_part(parts)
-    kind = F.when(F.length("data") > 0, F.when(F.col("mime_type").isin(PLAIN, HTML), F.col("mime_type")))
-    nodes = decode_parts(parts.withColumn("_kind", kind)).select(
-        "message_id", "path", "_kind", F.when(F.col("_kind").isNotNull(), F.col("text")).alias("_own")
+    kind = F.when((F.length("data") > 0) & F.col("mime_type").isin(PLAIN, HTML), F.col("mime_type"))
+    leaves = parts.withColumn("_kind", kind).withColumn("data", F.when(F.col("_kind").isNotNull(), F.col("data")))
+    nodes = (
+        with_base64_text(leaves, "data", "_own")
+        .select(
+            "message_id", "path", "_kind", "_own",
+            F.array().cast(ENTRIES).alias("_entries"),
+            F.lit(False).alias("_parent"),
+        )
+        .repartition("message_id")
     )
-    nothing = F.array().cast("array<struct<at:int,nested:int,kind:string,text:string>>")
-    below = None
-    for depth in range(max_depth, -1, -1):
-        level = nodes.filter(F.size("path") == depth).withColumn("_here", F.lit(True))
-        if below is None:
-            level = level.withColumn("_entries", nothing).withColumn("_parent", F.lit(None).cast("boolean"))
-        else:
-            level = (
-                level.unionByName(below, allowMissingColumns=True)
-                .groupBy("message_id", "path")
-                .agg(
-                    F.max("_kind").alias("_kind"),
-                    F.max("_own").alias("_own"),
-                    F.max("_here").alias("_here"),
-                    F.max("_child").alias("_parent"),
-                    F.array_sort(F.collect_list("_entry")).alias("_entries"),
-                )
-                .filter(F.col("_here"))
-            )
-        resolved = _resolve(level)
-        if depth == 0:
-            return resolved.select("message_id", F.col("_result").alias("body"))
-        below = _entries_for_parent(resolved)
-
-
-def _resolve(level: DataFrame) -> DataFrame:
+    for depth in range(max_depth, 0, -1):
+        nodes = _fold_level(_resolve(nodes, depth), depth)
+    root = _resolve(nodes.filter(F.size("path") == 0), 0)
+    return root.select("message_id", F.col("_result").alias("body"))
+
+
+def _resolve(nodes: DataFrame, depth: int) -> DataFrame:
+    """Add ``_result``, the text of each node at ``depth``; its children are folded in already."""
+
     def texts(kind: str) -> Column:
         chosen = F.filter("_entries", lambda entry: entry["kind"] == kind)
         return F.transform(chosen, lambda entry: entry["text"])
 
-    split = level.withColumns({"_plain": texts(PLAIN), "_html": texts(HTML)})
-    html = (
-        F.when(F.col("_kind") == HTML, F.col("_own"))
-        .when(F.col("_kind").isNull() & (F.size("_plain") == 0), F.array_join("_html", "\n"))
+    here = F.size("path") == depth
+    split = nodes.withColumns({"_plain": texts(PLAIN), "_html": texts(HTML)})
+    no_plain = F.col("_kind").isNull() & (F.size("_plain") == 0)
+    source = F.when(F.col("_kind") == HTML, F.col("_own")).when(
+        no_plain & (F.size("_html") > 0), F.array_join("_html", "\n")
     )
-    converted = html_to_lines(split.withColumn("_source", html), "_source", "_converted")
+    converted = html_to_lines(split.withColumn("_source", F.when(here, source)), "_source", "_converted")
     result = (
         F.when(F.col("_kind") == PLAIN, F.col("_own"))
         .when(F.col("_source").isNotNull(), F.col("_converted"))
         .otherwise(F.array_join("_plain", "\n"))
     )
-    return converted.withColumn("_result", result)
+    return converted.withColumn("_result", F.when(here, result)).drop("_plain", "_html", "_source", "_converted")
 
 
-def _entries_for_parent(resolved: DataFrame) -> DataFrame:
-    """What each node gives its parent: its own text, and its result if it has children."""
+def _fold_level(resolved: DataFrame, depth: int) -> DataFrame:
+    """Hand what the nodes at ``depth`` give to their parents; other nodes stay as they are.
+
+    A node gives its own text, if it is a leaf with data, and its result, if it has parts
+    of its own and the result is not empty.
+    """
 
     def entry(nested: int, kind: Column, text: Column) -> Column:
         return F.struct(
@@ -132,15 +129,29 @@ def _entries_for_parent(resolved: DataFrame) -> DataFrame:
             text.alias("text"),
         )
 
-    own = F.when(F.col("_kind").isNotNull(), entry(0, F.col("_kind"), F.col("_own")))
+    child = F.size("path") == depth
+    own = F.when(child & F.col("_kind").isNotNull(), entry(0, F.col("_kind"), F.col("_own")))
     nested = F.when(
-        F.col("_parent") & (F.col("_result") != ""), entry(1, F.lit(PLAIN), F.col("_result"))
+        child & F.col("_parent") & (F.col("_result") != ""), entry(1, F.lit(PLAIN), F.col("_result"))
     )
-    # A node that gives nothing still counts as a child of its parent.
-    given = F.filter(F.array(own, nested), lambda item: item.isNotNull())
-    return resolved.select(
-        "message_id",
-        F.slice("path", 1, F.size("path") - 1).alias("path"),
-        F.explode_outer(given).alias("_entry"),
-        F.lit(True).alias("_child"),
+    given = F.filter(F.array(own, nested), lambda item: item.isNotNull()).cast(ENTRIES)
+    folded = (
+        resolved.select(
+            "message_id",
+            F.when(child, F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path")).alias("path"),
+            F.when(~child, F.col("_kind")).alias("_kind"),
+            F.when(~child, F.col("_own")).alias("_own"),
+            given.alias("_given"),
+            child.alias("_child"),
+        )
+        .groupBy("message_id", "path")
+        .agg(
+            F.max("_kind").alias("_kind"),
+            F.max("_own").alias("_own"),
+            F.array_sort(F.flatten(F.collect_list("_given"))).alias("_entries"),
+            F.bool_or("_child").alias("_parent"),
+            F.bool_or(~F.col("_child")).alias("_present"),
+        )
     )
+    # Parts whose parent is missing lead nowhere.
+    return folded.filter("_present").drop("_present")

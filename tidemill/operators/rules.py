@@ -121,8 +121,10 @@ def count_signals(
 def classify(df: DataFrame, rules: Sequence[Rule] = MAIL_RULES) -> DataFrame:
     """Add category, reason and rule_id of the first rule that holds; NULL when none does.
 
-    Each text is lower-cased once, in a projection of its own; a CASE stops at the first
-    match, and the rule number then looks up category and reason.
+    Each text is lower-cased once; a CASE stops at the first match, and the rule number
+    then looks up category and reason. The number comes out of a one-element inline, so
+    that a later filter on the outcome does not make Catalyst repeat the whole CASE, and
+    the lower-casing of every term's text, below it.
     """
     texts = sorted({field for rule in rules for terms in (*rule.require, *rule.exclude) for field in terms.fields})
     prepared = df.withColumns({f"_lower_{field}": F.lower(blank_if_null(F.col(field))) for field in texts})
@@ -143,7 +145,7 @@ def classify(df: DataFrame, rules: Sequence[Rule] = MAIL_RULES) -> DataFrame:
         return F.try_element_at(F.create_map(*pairs), F.col("rule_id"))
 
     return (
-        prepared.withColumn("rule_id", chain)
+        prepared.select("*", F.inline(F.array(F.struct(chain.alias("rule_id")))))
         .withColumns({"category": looked_up("category"), "reason": looked_up("reason")})
         .drop(*(f"_lower_{field}" for field in texts))
     )

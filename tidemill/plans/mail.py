@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions.codec import base64_text
+from tidemill.functions.codec import with_base64_text
 from tidemill.functions.text import duration_text
 from tidemill.operators import actions, bodies, rules, runstats, search, threads
 from tidemill.operators.rules import ADVERTISEMENT, IMPORTANT, MAIL_RULES, MARKETING_TERMS, NORMAL, UNCERTAIN, Rule, Terms
@@ -159,7 +159,7 @@ def part_decoding(spark, folder):
         .otherwise(F.concat(plain, F.lit("=====")))
     )
     data = read_table(spark, folder, "documents").select("doc_id", variant.alias("data"))
-    return data.select("doc_id", F.md5(base64_text(F.col("data"))).alias("text_md5"))
+    return with_base64_text(data, "data", "text").select("doc_id", F.md5("text").alias("text_md5"))
 
 
 LINES_OF_TEXT = r"""trim(regexp_replace(regexp_replace(translate(text, '<>&', '   '), ' *\n[ \n]*', chr(10), 'g'),

@@ -94,7 +94,8 @@ def external_labels(labels: DataFrame) -> DataFrame:
 
 
 def url_safe_base64(text: Column) -> Column:
-    return F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_")
+    standard = F.base64(F.encode(text, "UTF-8"))
+    return F.replace(F.replace(standard, F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
 
 
 def document_parts(documents: DataFrame) -> DataFrame:
