@@ -67,7 +67,7 @@ def _markup_pattern(dropped: Sequence[str]) -> str:
     block = rf"<({'|'.join(blocks)}){NAME_END}[^>{MARK}]*+(?<!/)>{inside}</\1{NAME_END}[^>{MARK}]*+>"
     name = rf"(?!{special})[a-z][^\s/>=\"'<{MARK}]*+"
     tag = rf"<{name}{NAME_END}{ATTRIBUTES}>|<(?!{special})/{name}\s*+>"
-    other = rf"</>|<(?:!(?!--|\[)|\?|/(?![a-z>]))[^>{MARK}]*+>"
+    other = rf"<(?:!(?!--|\[)|\?|/(?![a-z>]))[^>{MARK}]*+>"
     return "(?is)" + "|".join([block, tag, other] if blocks else [tag, other])
 
 
