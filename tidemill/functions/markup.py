@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import LINE_BREAK_CHARS, SPACE_CHARS, char_class
+from tidemill.functions.text import LINE_BREAK, SPACE, strip
 
 INLINE = "inline"
 LINES = "lines"
@@ -93,28 +93,21 @@ def _decode_entities(text: Column) -> Column:
     )
 
 
-def _merge_runs(text: Column, around: str, breaks: str, joint: str) -> Column:
-    """Runs of ``around``/``breaks`` that hold a break become ``joint``.
+def _inline(text: Column) -> Column:
+    """Text nodes stripped, empty ones skipped, joined by one space.
 
     The lookbehind starts a run at its first character only, which keeps long runs linear.
     """
-    lead = f"(?:{around}(?<!{around}{{2}}){around}*+)?+"
-    return F.regexp_replace(text, f"{lead}{breaks}{char_class(SPACE_CHARS + MARK)}*+", joint)
-
-
-def _inline(text: Column) -> Column:
-    """Text nodes stripped, empty ones skipped, joined by one space."""
-    joined = _merge_runs(text, char_class(SPACE_CHARS), MARK, " ")
-    return F.btrim(joined, F.lit(SPACE_CHARS))
+    space = f"[{SPACE}]"
+    lead = f"(?:{space}(?<!{space}{{2}}){space}*+)?+"
+    return strip(F.regexp_replace(text, f"(?U){lead}{MARK}[{SPACE}{MARK}]*+", " "))
 
 
 def _lines(text: Column) -> Column:
     """Text nodes on lines of their own, whitespace collapsed, blank lines dropped."""
-    in_line = "".join(char for char in SPACE_CHARS if char not in LINE_BREAK_CHARS)
-    lines = _merge_runs(text, char_class(in_line), char_class(LINE_BREAK_CHARS + MARK), "\n")
-    odd = char_class(in_line.replace(" ", ""))
-    spaced = F.regexp_replace(lines, f"{char_class(in_line)}{{2,}}+|{odd}", " ")
-    return F.btrim(spaced, F.lit(" \n"))
+    begun = F.regexp_replace(text, f"(?U)[{LINE_BREAK}{MARK}][{SPACE}{MARK}]*+", "\n")
+    spaced = F.regexp_replace(begun, rf"(?U)[{SPACE}&&[^\n]]+", " ")
+    return F.btrim(F.replace(spaced, F.lit(" \n"), F.lit("\n")), F.lit(" \n"))
 
 
 class _TextNodes(HTMLParser):
