@@ -12,7 +12,10 @@ TESTDATA = Path("/root/testdata")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
+    session = build_session(
+        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g",
+        spark__sql__maxMetadataStringLength="1000",
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions.markup import LINES, MAIL_DROPPED, parse_text
-from tidemill.operators import bodies, threads
+from tidemill.operators import bodies, ordering, threads
 from tidemill.operators.ordering import with_preceding
 from tidemill.sources import mailbox
 
@@ -138,9 +138,11 @@ def test_history_keeps_the_last_eight_lines(spark):
     assert last == "\n".join(f"USER: t{n}" for n in range(2, 10))
 
 
+@pytest.mark.parametrize("broadcast_groups", [0, 100])
 @pytest.mark.parametrize("include_current", [False, True])
-def test_one_hot_group_in_small_chunks(spark, include_current):
+def test_one_hot_group_in_small_chunks(spark, monkeypatch, include_current, broadcast_groups):
     """A group far longer than a chunk, with gaps and repeated positions."""
+    monkeypatch.setattr(ordering, "BROADCAST_GROUPS", broadcast_groups)
     draw = random.Random(3)
     rows = []
     for group, size in (("hot", 600), ("warm", 40), ("a", 3), ("b", 1)):

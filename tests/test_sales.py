@@ -52,6 +52,13 @@ def test_order_dates_are_inclusive(mart):
     assert pairs(sales_reports.delivered_qty(mart, "DS4-132-AA", "2026-01-08", "2026-01-08")) == [(15,)]
 
 
+def test_status_and_dates_reach_the_scan(mart):
+    sold = sales_reports.delivered_by(mart, "model", "2026-01-01", "2026-06-30")
+    plan = sold._jdf.queryExecution().executedPlan().toString()
+    for pushed in ("EqualTo(order_status,DELIVERED)", "GreaterThanOrEqual(order_date,2026-01-01)"):
+        assert pushed in plan
+
+
 def test_best_sellers_ignore_the_cancelled_order_and_break_ties_by_name(mart):
     assert pairs(sales_reports.top_products(mart, 7)) == [
         ("DS4-132-AA", 70), ("DS4-132-DD", 22), ("DSD2-100-BO", 19), ("DSD2-100-LO", 19),

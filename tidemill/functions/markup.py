@@ -199,8 +199,13 @@ def with_markup_text(
     out_col: str,
     dropped: Sequence[str] = PAGE_DROPPED,
     layout: str = INLINE,
+    unsettled_col: str = "_unsettled",
 ) -> DataFrame:
-    """Add ``out_col``, the text of ``html_col``. NULL html reads as empty."""
+    """Add ``out_col``, the text of ``html_col``. NULL html reads as empty.
+
+    A name given for ``unsettled_col`` also keeps whether the parser was needed. Documents
+    it was not needed for leave nothing open, so their texts can be joined as they are.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
     # Separate steps, each used more than once below, so that Catalyst keeps them
     # as projections of their own and runs every regex once per row.
@@ -211,12 +216,12 @@ def with_markup_text(
         | F.col("_bare").rlike(_entity_outside(FREQUENT_ENTITIES, TYPOGRAPHIC_ENTITIES))
         | F.contains(html, F.lit(MARK))
     )
-    flagged = bare.withColumn("_unsettled", unsettled)
+    flagged = bare.withColumn(unsettled_col, unsettled)
     shape = _inline if layout == INLINE else _lines
     settled = shape(_decode_entities(F.col("_bare")))
-    parsed = _parser_column(F.when(F.col("_unsettled"), html), dropped, layout)
+    parsed = _parser_column(F.when(F.col(unsettled_col), html), dropped, layout)
     return (
         flagged.withColumn("_parsed", parsed)
-        .withColumn(out_col, F.when(F.col("_unsettled"), F.col("_parsed")).otherwise(settled))
-        .drop("_unblocked", "_bare", "_unsettled", "_parsed")
+        .withColumn(out_col, F.when(F.col(unsettled_col), F.col("_parsed")).otherwise(settled))
+        .drop("_unblocked", "_bare", "_parsed", "_unsettled")
     )

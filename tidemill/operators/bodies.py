@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.codec import with_base64_text
-from tidemill.functions.markup import LINES, MAIL_DROPPED, with_markup_text
+from tidemill.functions.markup import LINES, MAIL_DROPPED, parse_text, with_markup_text
 
 # Record column -> header name.
 HEADER_COLUMNS = {
@@ -18,7 +22,7 @@ HEADER_COLUMNS = {
     "list_id": "list-id",
 }
 PLAIN, HTML = "text/plain", "text/html"
-ENTRIES = "array<struct<at:int,nested:int,kind:string,text:string>>"
+NODES = "array<struct<path:array<int>,kind:string,text:string,parent:boolean,result:string>>"
 
 
 def header_map(headers: Column) -> Column:
@@ -56,12 +60,7 @@ def html_to_lines(df: DataFrame, html_col: str, out_col: str) -> DataFrame:
     return with_markup_text(df, html_col, out_col, MAIL_DROPPED, LINES)
 
 
-def deepest_part(parts: DataFrame) -> int:
-    """Length of the longest part path; one number read from one column."""
-    return parts.agg(F.max(F.size("path"))).first()[0] or 0
-
-
-def select_body(parts: DataFrame, max_depth: int | None = None) -> DataFrame:
+def select_body(parts: DataFrame) -> DataFrame:
     """(message_id, body) from the part tree of each message.
 
     ``parts`` holds message_id, path (array<int>, [] for the message itself), mime_type
@@ -69,89 +68,129 @@ def select_body(parts: DataFrame, max_depth: int | None = None) -> DataFrame:
     and what nested parts resolve to are joined by a newline, in part order; only when
     there are none are the html children joined and converted; else the body is "".
 
-    The parts are read once and shuffled once, by message. The tree is then folded from
-    the deepest level up, one aggregation per level; as each groups by message and part,
-    all of them run on the partitions made by that one shuffle.
+    Leaves are decoded and converted where they are read; other parts carry no data any
+    further. One shuffle brings a message's leaves together and the tree is folded
+    within the row. Html siblings that leave something open would run into each other:
+    messages that may hold such are folded by the parser instead.
     """
-    if max_depth is None:
-        max_depth = deepest_part(parts)
     kind = F.when((F.length("data") > 0) & F.col("mime_type").isin(PLAIN, HTML), F.col("mime_type"))
     leaves = parts.withColumn("_kind", kind).withColumn("data", F.when(F.col("_kind").isNotNull(), F.col("data")))
-    nodes = (
-        with_base64_text(leaves, "data", "_own")
-        .select(
-            "message_id", "path", "_kind", "_own",
-            F.array().cast(ENTRIES).alias("_entries"),
-            F.lit(False).alias("_parent"),
-        )
-        .repartition("message_id")
+    decoded = with_base64_text(leaves, "data", "_own")
+    html = decoded.withColumn("_html", F.when(F.col("_kind") == HTML, F.col("_own")))
+    converted = with_markup_text(html, "_html", "_lines", MAIL_DROPPED, LINES, unsettled_col="_open")
+    node = F.struct(
+        "path",
+        F.col("_kind").alias("kind"),
+        F.when(F.col("_kind") == HTML, F.col("_lines")).when(F.col("_kind") == PLAIN, F.col("_own")).alias("text"),
+        F.col("_html").alias("html"),
+        F.col("_open").alias("open"),
     )
-    for depth in range(max_depth, 0, -1):
-        nodes = _fold_level(_resolve(nodes, depth), depth)
-    root = _resolve(nodes.filter(F.size("path") == 0), 0)
-    return root.select("message_id", F.col("_result").alias("body"))
-
+    # Sorted by path, so that children come in part order.
+    messages = (
+        converted.groupBy("message_id")
+        .agg(F.array_sort(F.collect_list(node)).alias("_nodes"))
+        .filter(F.exists("_nodes", lambda node: F.size(node["path"]) == 0))
+    )
+    html_leaves = F.filter("_nodes", lambda node: node["kind"] == HTML)
+    run_on = (F.size(html_leaves) > 1) & F.exists(html_leaves, lambda node: node["open"])
+    tree = F.to_json(F.transform("_nodes", lambda node: F.struct(node["path"], node["kind"], node["text"], node["html"])))
+    flagged = messages.withColumn("_run_on", run_on)
+    parsed = flagged.withColumn("_parsed", _parser_body(F.when(F.col("_run_on"), tree)))
+    body = F.when(F.col("_run_on"), F.col("_parsed")).otherwise(_folded_body("_nodes"))
+    return parsed.select("message_id", body.alias("body"))
 
-def _resolve(nodes: DataFrame, depth: int) -> DataFrame:
-    """Add ``_result``, the text of each node at ``depth``; its children are folded in already."""
 
-    def texts(kind: str) -> Column:
-        chosen = F.filter("_entries", lambda entry: entry["kind"] == kind)
-        return F.transform(chosen, lambda entry: entry["text"])
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    here = F.size("path") == depth
-    split = nodes.withColumns({"_plain": texts(PLAIN), "_html": texts(HTML)})
-    no_plain = F.col("_kind").isNull() & (F.size("_plain") == 0)
-    source = F.when(F.col("_kind") == HTML, F.col("_own")).when(
-        no_plain & (F.size("_html") > 0), F.array_join("_html", "\n")
-    )
-    converted = html_to_lines(split.withColumn("_source", F.when(here, source)), "_source", "_converted")
-    result = (
-        F.when(F.col("_kind") == PLAIN, F.col("_own"))
-        .when(F.col("_source").isNotNull(), F.col("_converted"))
-        .otherwise(F.array_join("_plain", "\n"))
-    )
-    return converted.withColumn("_result", F.when(here, result)).drop("_plain", "_html", "_source", "_converted")
 
+def _join(children: Column) -> Column:
+    """What a container resolves to, given its resolved children in order."""
 
-def _fold_level(resolved: DataFrame, depth: int) -> DataFrame:
-    """Hand what the nodes at ``depth`` give to their parents; other nodes stay as they are.
+    def given(child: Column) -> Column:
+        own = F.when(child["kind"] == PLAIN, child["text"])
+        nested = F.when(child["parent"] & (child["result"] != ""), child["result"])
+        return F.filter(F.array(own, nested), lambda text: text.isNotNull())
 
-    A node gives its own text, if it is a leaf with data, and its result, if it has parts
-    of its own and the result is not empty.
-    """
+    html = F.filter(children, lambda child: (child["kind"] == HTML) & (child["text"] != ""))
+    html_text = F.array_join(F.transform(html, lambda child: child["text"]), "\n")
+    return _bound(
+        F.flatten(F.transform(children, given)),
+        lambda plain: F.when(F.size(plain) > 0, F.array_join(plain, "\n")).otherwise(html_text),
+    )
 
-    def entry(nested: int, kind: Column, text: Column) -> Column:
-        return F.struct(
-            F.element_at("path", -1).alias("at"),
-            F.lit(nested).alias("nested"),
-            kind.alias("kind"),
-            text.alias("text"),
-        )
 
-    child = F.size("path") == depth
-    own = F.when(child & F.col("_kind").isNotNull(), entry(0, F.col("_kind"), F.col("_own")))
-    nested = F.when(
-        child & F.col("_parent") & (F.col("_result") != ""), entry(1, F.lit(PLAIN), F.col("_result"))
-    )
-    given = F.filter(F.array(own, nested), lambda item: item.isNotNull()).cast(ENTRIES)
-    folded = (
-        resolved.select(
-            "message_id",
-            F.when(child, F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path")).alias("path"),
-            F.when(~child, F.col("_kind")).alias("_kind"),
-            F.when(~child, F.col("_own")).alias("_own"),
-            given.alias("_given"),
-            child.alias("_child"),
-        )
-        .groupBy("message_id", "path")
-        .agg(
-            F.max("_kind").alias("_kind"),
-            F.max("_own").alias("_own"),
-            F.array_sort(F.flatten(F.collect_list("_given"))).alias("_entries"),
-            F.bool_or("_child").alias("_parent"),
-            F.bool_or(~F.col("_child")).alias("_present"),
+def _folded_body(nodes_col: str) -> Column:
+    """Fold the tree level by level, deepest first, until only the message itself is left."""
+    start = F.transform(
+        nodes_col,
+        lambda node: F.struct(
+            node["path"].alias("path"),
+            node["kind"].alias("kind"),
+            node["text"].alias("text"),
+            F.lit(False).alias("parent"),
+            F.coalesce(node["text"], F.lit("")).alias("result"),
+        ),
+    ).cast(NODES)
+
+    def resolved(node: Column, children: Column) -> Column:
+        result = F.when(node["kind"].isNotNull(), node["text"]).otherwise(_join(children))
+        folded = F.struct(
+            node["path"].alias("path"), node["kind"].alias("kind"), node["text"].alias("text"),
+            F.lit(True).alias("parent"), result.alias("result"),
         )
-    )
-    # Parts whose parent is missing lead nowhere.
-    return folded.filter("_present").drop("_present")
+        return F.when(F.size(children) > 0, folded).otherwise(node)
+
+    def fold(nodes: Column, depth: Column) -> Column:
+        lowest = F.filter(nodes, lambda node: F.size(node["path"]) == depth)
+        above = F.filter(nodes, lambda node: F.size(node["path"]) < depth)
+
+        def with_children(node: Column, lowest: Column) -> Column:
+            under = F.filter(lowest, lambda child: F.slice(child["path"], F.lit(1), depth - 1) == node["path"])
+            return _bound(under, lambda children: resolved(node, children))
+
+        return _bound(
+            lowest, lambda lowest: F.transform(above, lambda node: with_children(node, lowest))
+        ).cast(NODES)
+
+    deepest = F.array_max(F.transform(nodes_col, lambda node: F.size(node["path"])))
+    levels = F.when(deepest > 0, F.sequence(deepest, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    return F.element_at(F.aggregate(levels, start, fold), 1)["result"]
+
+
+def _fold_by_parser(tree: str) -> str:
+    """The same fold for one message, converting the html siblings of a part as one text."""
+    nodes = {tuple(node["path"]): node for node in json.loads(tree)}
+    children: dict[tuple, list] = {path: [] for path in nodes}
+    for path in sorted(nodes):
+        if path and path[:-1] in children:
+            children[path[:-1]].append(path)
+
+    results = {}
+    for path in sorted(nodes, key=len, reverse=True):
+        node = nodes[path]
+        plain, html = [], []
+        for child in children[path]:
+            part = nodes[child]
+            if part.get("kind") == PLAIN:
+                plain.append(part["text"])
+            elif part.get("kind") == HTML:
+                html.append(part["html"])
+            if children[child] and results[child]:
+                plain.append(results[child])
+        if node.get("kind"):
+            results[path] = node["text"]
+        elif plain:
+            results[path] = "\n".join(plain)
+        else:
+            results[path] = parse_text("\n".join(html), MAIL_DROPPED, LINES)
+    return results[()]
+
+
+def _parser_body(tree: Column) -> Column:
+    @F.pandas_udf("string")
+    def folded(trees: pd.Series) -> pd.Series:
+        return trees.map(_fold_by_parser, na_action="ignore")
+
+    return folded(tree)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemill.session import checkpoint_folder
 
 CHUNK_ROWS = 32_768
+# Ids of this many long groups are small enough to broadcast; beyond it they are shuffled.
+BROADCAST_GROUPS = 100_000
 
 
 def with_row_numbers(df: DataFrame, order: Sequence[str], out_col: str) -> DataFrame:
@@ -56,20 +58,29 @@ def with_preceding(
 
     A group is cut into chunks of ``chunk_rows`` positions and each chunk is a window
     partition of its own, so no task gets a whole large group. The last rows of a
-    chunk are handed to the next one as extra rows; only groups longer than one chunk
-    take part in that, and the scan filter that finds them reads row-group statistics.
+    chunk are handed to the next one as extra rows. Whether there are groups longer than
+    a chunk is looked up first, a filter on ``position`` alone that row-group statistics
+    answer for stored tables; without any, this is one window and one shuffle.
     """
     behind = count - 1 if include_current else count
-    keyed = df.withColumn("_value", value).withColumn(
-        "_chunk", F.coalesce(F.floor(F.col(position) / chunk_rows).cast("long"), F.lit(0).cast("long"))
-    )
+    ahead = 0 if include_current else -1
+    keyed = df.withColumn("_value", value)
     outside_first = (F.col(position) >= chunk_rows) | (F.col(position) < 0)
     long_groups = df.filter(outside_first).select(group).distinct()
+    found = long_groups.limit(BROADCAST_GROUPS + 1).count()
+    if found == 0:
+        in_order = Window.partitionBy(group).orderBy(position, tie)
+        frame = in_order.rowsBetween(-behind, ahead)
+        return keyed.withColumn(out_col, F.collect_list("_value").over(frame)).drop("_value")
 
+    chunk = F.coalesce(F.floor(F.col(position) / chunk_rows).cast("long"), F.lit(0).cast("long"))
+    chunked = keyed.withColumn("_chunk", chunk)
+    if found <= BROADCAST_GROUPS:
+        long_groups = F.broadcast(long_groups)
     # The filter on row_number is applied before the shuffle as well.
     last_first = Window.partitionBy(group, "_chunk").orderBy(F.desc(position), F.desc(tie))
     ends = (
-        keyed.join(long_groups, group, "left_semi")
+        chunked.join(long_groups, group, "left_semi")
         .select(group, "_chunk", position, tie, "_value")
         .withColumn("_rank", F.row_number().over(last_first))
         .filter(F.col("_rank") <= behind)
@@ -82,12 +93,11 @@ def with_preceding(
         .select(group, "_chunk", F.posexplode("_handed").alias("_nth", "_value"))
         .withColumn("_own", F.lit(0))
     )
-    rows = keyed.withColumn("_nth", F.lit(0)).withColumn("_own", F.lit(1))
+    rows = chunked.withColumn("_nth", F.lit(0)).withColumn("_own", F.lit(1))
     in_order = Window.partitionBy(group, "_chunk").orderBy("_own", "_nth", position, tie)
-    frame = in_order.rowsBetween(-behind, 0 if include_current else -1)
     return (
         rows.unionByName(handed_over, allowMissingColumns=True)
-        .withColumn(out_col, F.collect_list("_value").over(frame))
+        .withColumn(out_col, F.collect_list("_value").over(in_order.rowsBetween(-behind, ahead)))
         .filter(F.col("_own") == 1)
         .drop("_value", "_chunk", "_nth", "_own")
     )

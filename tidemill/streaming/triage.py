@@ -48,8 +48,8 @@ def triage(
     return planned.withColumn("labels_after", F.col("labels") if dry_run else after).select(*OUTPUT)
 
 
-def _without_processed(batch: DataFrame, sink: str, batch_id: int) -> DataFrame:
-    """Leave out messages an earlier batch labelled, should a file bring one again."""
+def _without_labelled(batch: DataFrame, sink: str, batch_id: int) -> DataFrame:
+    """Leave out messages an earlier batch labelled."""
     try:
         done = batch.sparkSession.read.parquet(sink)
     except AnalysisException:
@@ -71,12 +71,15 @@ def triage_stream(
     dry_run: bool = False,
     glob: str | None = None,
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
+    skip_labelled: bool = False,
 ) -> StreamingQuery:
     """Process every file not seen before, then stop. Start again to go on.
 
     ``files_per_batch`` bounds each batch of a backlog; without it all new files are one
     batch. A batch writes ``sink/batch=<n>`` by overwriting, so a batch repeated after a
-    failure leaves one copy. Its counters go to ``<sink>_stats``.
+    failure leaves one copy. Its counters go to ``<sink>_stats``. ``skip_labelled`` also
+    looks new messages up among those labelled before, for sources that deliver a
+    message again without its labels; it reads the ids of the whole sink in each batch.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
@@ -85,7 +88,9 @@ def triage_stream(
         reader = reader.option("pathGlobFilter", glob)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        waiting = _without_processed(unprocessed(prepare(batch), scope), sink, batch_id)
+        waiting = unprocessed(prepare(batch), scope)
+        if skip_labelled:
+            waiting = _without_labelled(waiting, sink, batch_id)
         counters = Observation(f"triage-{batch_id}")
         counts = [count.alias(name) for name, count in message_counters().items()]
         counts.append(F.count_if(F.col("cause").isNotNull()).alias("errors"))
