@@ -16,7 +16,7 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"triage_stream"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"triage_stream", "mart_reload", "mart_layout"}))
 def test_no_query_compares_all_pairs(name, spark, small):
     plan = physical(QUERIES[name](spark, small))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

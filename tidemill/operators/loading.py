@@ -76,11 +76,17 @@ def map_values(df: DataFrame, column: str, mapping: DataFrame, values: Sequence[
 def reload(tables: Mapping[str, DataFrame], folder: str, order: Mapping[str, Sequence[str]]) -> None:
     """Replace all tables under ``folder``; ids start at 1 again.
 
-    ``order`` names each table's insert order. The inputs must come from elsewhere than ``folder``.
+    ``order`` names each table's insert order. Omitted columns take their default, else
+    NULL. The inputs must come from elsewhere than ``folder``.
     """
     for name, df in tables.items():
         filled = with_defaults(df.drop("id"), name)
         numbered = assign_ids(filled, order[name])
         schema = SALES_SCHEMAS[name]
-        typed = numbered.select(*(F.col(field.name).cast(field.dataType) for field in schema))
+        typed = numbered.select(
+            *(
+                (F.col(field.name) if field.name in numbered.columns else F.lit(None)).cast(field.dataType).alias(field.name)
+                for field in schema
+            )
+        )
         typed.write.mode("overwrite").parquet(f"{folder}/{name}")

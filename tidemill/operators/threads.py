@@ -40,6 +40,17 @@ def thread_context(
     return before.withColumn(out_col, F.array_join("_before", CONTEXT_SEPARATOR)).drop("_before")
 
 
+def context_for(archive: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``wanted`` messages (a column id) with their thread context.
+
+    Only threads that hold a wanted message go through the window.
+    """
+    ids = wanted.select("id")
+    touched = archive.join(ids, "id", "left_semi").select("thread_id").distinct()
+    members = archive.join(touched, "thread_id", "left_semi")
+    return thread_context(members).join(ids, "id", "left_semi")
+
+
 def turn_history(
     turns: DataFrame,
     n: int = HISTORY_LINES,

@@ -13,7 +13,7 @@ from tidemill.operators import actions, bodies, rules, runstats, search, threads
 from tidemill.operators.rules import ADVERTISEMENT, IMPORTANT, MAIL_RULES, MARKETING_TERMS, NORMAL, UNCERTAIN, Rule, Terms
 from tidemill.plans.registry import Registry
 from tidemill.session import checkpoint_folder
-from tidemill.sources import archive
+from tidemill.sources import archive, mailbox
 from tidemill.sources.star import read_table
 from tidemill.streaming.triage import triage, triage_stream
 
@@ -166,17 +166,40 @@ LINES_OF_TEXT = r"""trim(regexp_replace(regexp_replace(translate(text, '<>&', '
     ' +', ' ', 'g'), ' ' || chr(10))"""
 
 
-@MAIL.named(
-    "body_selection",
-    f"""SELECT CAST(doc_id AS VARCHAR) AS message_id,
+BODIES = f"""SELECT CAST(doc_id AS VARCHAR) AS message_id,
     CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN text WHEN 4 THEN source || chr(10) || text WHEN 5 THEN ''
       WHEN 2 THEN CASE WHEN {LINES_OF_TEXT} = '' THEN 'left out' ELSE {LINES_OF_TEXT} END
-      ELSE {LINES_OF_TEXT} END AS body FROM documents""",
-)
+      ELSE {LINES_OF_TEXT} END AS body FROM documents"""
+
+
+@MAIL.named("body_selection", BODIES)
 def body_selection(spark, folder):
     return bodies.select_body(archive.document_parts(read_table(spark, folder, "documents")))
 
 
+@MAIL.named("export_bodies", BODIES)
+def export_bodies(spark, folder):
+    """The same bodies by way of a JSON export with nested parts."""
+    parts = archive.document_parts(read_table(spark, folder, "documents"))
+
+    def nested(part, below):
+        body = F.struct(part["data"].alias("data"))
+        fields = [part["mime_type"].alias("mimeType"), body.alias("body")]
+        return F.struct(*fields, *([below.alias("parts")] if below is not None else []))
+
+    def under(path, depth, below=None):
+        children = F.filter("tree", lambda part: (F.size(part["path"]) == depth) & (F.slice(part["path"], 1, depth - 1) == path))
+        return F.transform(children, lambda part: nested(part, below(part["path"]) if below else None))
+
+    trees = parts.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("path", "mime_type", "data"))).alias("tree"))
+    root = F.element_at("tree", 1)
+    payload = nested(root, under(root["path"], 1, lambda path: under(path, 2)))
+    lines = trees.select(F.to_json(F.struct(F.col("message_id").alias("id"), payload.alias("payload"))).alias("value"))
+    target = f"{checkpoint_folder(spark)}/export-{uuid.uuid4().hex}"
+    lines.write.text(target)
+    return bodies.select_body(mailbox.export_parts(mailbox.read_export(spark, target)))
+
+
 @MAIL.named(
     "thread_context",
     CONVERSATIONS + """SELECT id, coalesce(string_agg(
@@ -190,6 +213,23 @@ def thread_context(spark, folder):
     return threads.thread_context(archive.conversations(spark, folder)).select("id", "thread_context")
 
 
+@MAIL.named(
+    "context_of_new_messages",
+    CONVERSATIONS + """, context AS (SELECT id, labels, coalesce(string_agg(
+      chr(10) || 'FROM:' || chr(10) || sender || chr(10) || chr(10) || 'SUBJECT:' || chr(10) || subject
+      || chr(10) || chr(10) || 'BODY:' || chr(10) || left(body, 2500) || chr(10),
+      chr(10) || '--- PREVIOUS MESSAGE ---' || chr(10))
+      OVER (PARTITION BY thread_id ORDER BY thread_pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS thread_context
+    FROM messages)
+    SELECT id, thread_context FROM context WHERE list_contains(labels, 'INBOX')
+    AND NOT list_has_any(labels, ['AI_PROCESSED', 'SENT', 'DRAFT', 'SPAM', 'TRASH'])""",
+)
+def context_of_new_messages(spark, folder):
+    """Thread context of what the live scope still has to process."""
+    messages = archive.conversations(spark, folder)
+    return threads.context_for(messages, search.unprocessed(messages, search.LIVE)).select("id", "thread_context")
+
+
 @MAIL.named(
     "turn_history",
     """SELECT conv_id, turn, string_agg(upper(role) || ': ' || text, chr(10))

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import integrity, loading, pricing, sales_reports
 from tidemill.plans.registry import Registry
-from tidemill.sources.sales import ForeignKey, NotNull, Unique, list_tables, register_views, run_sql
+from tidemill.session import checkpoint_folder
+from tidemill.sources.sales import (
+    ForeignKey,
+    NotNull,
+    Unique,
+    list_tables,
+    load_sales,
+    register_views,
+    run_sql,
+    write_layout,
+)
 from tidemill.sources.star import read_table, share_of, star_mart
 
 TABLES = (
@@ -309,3 +322,51 @@ FREE_SQL = """SELECT c.customer_segment, CAST(year(o.order_date) AS INT) AS orde
 def free_sql(spark, folder):
     register_views(star_mart(spark, folder))
     return run_sql(spark, FREE_SQL.format(orders="orders"))
+
+
+@SALES.named(
+    "mart_reload",
+    """SELECT 'motors' AS table_name, count(*) AS rows_loaded, count(*) AS last_id FROM part
+    UNION ALL SELECT 'customers', count(*), count(*) FROM customer
+    UNION ALL SELECT 'orders', count(*), count(*) FROM orders
+    UNION ALL SELECT 'order_items', count(*), count(*) FROM lineitem
+    UNION ALL SELECT 'motor_prices', 7 * count(*), 7 * count(*) FROM part
+    UNION ALL SELECT 'inventory', count(*), count(*) FROM part""",
+)
+def mart_reload(spark, folder):
+    """Reload all six tables and read them back by their schemas."""
+    mart = star_mart(spark, folder)
+    order = {
+        "motors": ["article_number"],
+        "customers": ["customer_number"],
+        "orders": ["order_date", "order_number"],
+        "order_items": ["order_id", "motor_id", "quantity", "delivered_quantity", "ship_date"],
+        "motor_prices": ["motor_id", "valid_from"],
+        "inventory": ["motor_id"],
+    }
+    keyless = {name: df.drop("id") for name, df in mart.items()}
+    target = f"{checkpoint_folder(spark)}/mart-{uuid.uuid4().hex}"
+    loading.reload(keyless, target, order)
+    counts = [
+        df.agg(F.count("*").alias("rows_loaded"), F.max("id").alias("last_id")).withColumn("table_name", F.lit(name))
+        for name, df in load_sales(spark, target).items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@SALES.named(
+    "mart_layout",
+    MART + """SELECT CAST(year(order_date) AS INT) AS order_year, order_status, count(*) AS orders_placed
+    FROM mart_orders WHERE order_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY 1, 2""",
+)
+def mart_layout(spark, folder):
+    """Orders written by year, and three years of them read back from their own folders."""
+    mart = star_mart(spark, folder)
+    for name in ("order_items", "motor_prices"):
+        keys = ["order_id", "motor_id"] if name == "order_items" else ["motor_id", "valid_from"]
+        mart[name] = mart[name].withColumn("id", F.xxhash64(*keys))
+    mart["inventory"] = mart["inventory"].withColumn("id", F.col("motor_id"))
+    target = f"{checkpoint_folder(spark)}/layout-{uuid.uuid4().hex}"
+    write_layout(mart, target)
+    orders = spark.read.parquet(f"{target}/orders").filter(F.col("order_year").between(1996, 1998))
+    return orders.groupBy("order_year", "order_status").agg(F.count("*").alias("orders_placed"))

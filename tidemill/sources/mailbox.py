@@ -34,8 +34,12 @@ PART_SCHEMA = T.StructType(
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """(raw, doc) per line; ``doc`` is NULL for a line that is not JSON."""
-    return spark.read.text(path).select(F.col("value").alias("raw"), F.try_parse_json("value").alias("doc"))
+    """(raw, doc) per line; ``doc`` is NULL for a line that is not JSON.
+
+    The one-element inline keeps a filter on ``doc`` from parsing every line a second time.
+    """
+    parsed = F.inline(F.array(F.struct(F.try_parse_json("value").alias("doc"))))
+    return spark.read.text(path).select(F.col("value").alias("raw"), parsed)
 
 
 def _field(path: str, kind: str) -> Column:
@@ -44,12 +48,14 @@ def _field(path: str, kind: str) -> Column:
 
 def export_messages(export: DataFrame) -> DataFrame:
     """Messages of an export; the header dates are kept as text, ``ts`` is the arrival time."""
-    millis = _field("$.internalDate", "string").try_cast("bigint")
+    # Milliseconds since 1970 in UTC, whatever the session's time zone.
+    seconds = _field("$.internalDate", "string").try_cast("bigint").cast("decimal(20,0)") / 1_000
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
     return export.filter(F.col("doc").isNotNull()).select(
         _field("$.id", "string").alias("id"),
         _field("$.threadId", "string").alias("thread_id"),
         _field("$.threadPosition", "int").alias("thread_pos"),
-        F.timestamp_millis(millis).cast("timestamp_ntz").alias("ts"),
+        (F.lit("1970-01-01").cast("timestamp_ntz") + since).alias("ts"),
         _field("$.labelIds", "array<string>").alias("labels"),
         _field("$.payload.headers", "array<struct<name:string,value:string>>").alias("headers"),
     )
