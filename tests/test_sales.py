@@ -12,8 +12,8 @@ from tidemill.sources.sales import (
     SALES_SCHEMAS,
     list_tables,
     load_sales,
-    register_views,
     run_sql,
+    visible,
     write_layout,
 )
 
@@ -170,14 +170,21 @@ def test_deleting_a_referenced_customer_is_refused(spark, mart):
 
 
 def test_free_sql(spark, mart):
-    register_views(mart)
-    total = run_sql(spark, "SELECT sum(delivered_quantity) AS n FROM order_items").first().n
-    assert total == mart["order_items"].agg(F.sum("delivered_quantity")).first()[0]
+    spark.range(3).createOrReplaceTempView("orders")
+    total = run_sql(spark, "SELECT sum(delivered_quantity) AS n FROM order_items", mart)
+    assert total.first().n == mart["order_items"].agg(F.sum("delivered_quantity")).first()[0]
     with pytest.raises(AnalysisException):
-        run_sql(spark, "SELECT no_such_column FROM motors")
+        run_sql(spark, "SELECT no_such_column FROM motors", mart)
     with pytest.raises(AnalysisException):
-        run_sql(spark, "SELECT 1 FROM sales")
-    names = [row.table_name for row in list_tables(spark).collect()]
+        run_sql(spark, "SELECT 1 FROM sales", mart)
+    assert spark.table("orders").count() == 3
+    assert not spark.catalog.tableExists("motors")
+    spark.catalog.dropTempView("orders")
+
+
+def test_table_listing(spark, mart):
+    with visible(spark, mart):
+        names = [row.table_name for row in list_tables(spark).collect()]
     assert names == sorted(names) and set(SALES_SCHEMAS) <= set(names)
 
 

@@ -118,5 +118,5 @@ def test_score_validation(spark):
         ("4", "out of range"), ("x", "not a whole number"),
     ]
     five = spark.createDataFrame([("a", n % 4) for n in range(5)] + [("b", 1)], "k string, score int")
-    valid, rejected = pages.validate_scores(five, keys=["k"], per_entity=5)
+    valid, rejected = pages.validate_scores(five, keys=["k"], per_entity=len(pages.CRITERIA))
     assert valid.count() == 5 and rejected.first().cause == "wrong number of scores"

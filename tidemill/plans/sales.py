@@ -17,8 +17,8 @@ from tidemill.sources.sales import (
     Unique,
     list_tables,
     load_sales,
-    register_views,
     run_sql,
+    visible,
     write_layout,
 )
 from tidemill.sources.star import read_table, share_of, star_mart
@@ -112,8 +112,8 @@ def constraint_checks(spark, folder):
 )
 def table_listing(spark, folder):
     mart = star_mart(spark, folder)
-    register_views(mart)
-    return list_tables(spark).filter(F.col("table_name").isin(list(mart)))
+    with visible(spark, mart):
+        return list_tables(spark).filter(F.col("table_name").isin(list(mart)))
 
 
 @SALES.named(
@@ -320,8 +320,7 @@ FREE_SQL = """SELECT c.customer_segment, CAST(year(o.order_date) AS INT) AS orde
     + FREE_SQL.format(orders="mart_orders"),
 )
 def free_sql(spark, folder):
-    register_views(star_mart(spark, folder))
-    return run_sql(spark, FREE_SQL.format(orders="orders"))
+    return run_sql(spark, FREE_SQL.format(orders="orders"), star_mart(spark, folder))
 
 
 @SALES.named(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,9 +127,25 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def run_sql(spark: SparkSession, text: str) -> DataFrame:
-    """A query over the registered views; unknown tables and columns fail at analysis."""
-    return spark.sql(text)
+@contextmanager
+def visible(spark: SparkSession, tables: dict[str, DataFrame]) -> Iterator[None]:
+    """The tables as views while a query is analysed; views they hide come back afterwards."""
+    hidden = {name: spark.table(name) for name in tables if spark.catalog.tableExists(name)}
+    register_views(tables)
+    try:
+        yield
+    finally:
+        for name in tables:
+            if name in hidden:
+                hidden[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
+def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A query over the tables; unknown tables and columns fail at analysis."""
+    with visible(spark, tables):
+        return spark.sql(text)
 
 
 def list_tables(spark: SparkSession) -> DataFrame:
