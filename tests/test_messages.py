@@ -85,6 +85,18 @@ def test_undecodable_plain_part_keeps_html_out(spark):
     assert bodies.select_body(parts).first().body == ""
 
 
+def test_rejected_html_gives_no_body(spark):
+    rejected, fine = encoded("<![foo[x]]>"), encoded("<p>h</p>")
+    rows = [
+        ("one", [], "text/html", rejected),
+        ("two", [], "multipart/mixed", None), ("two", [0], "text/html", fine), ("two", [1], "text/html", rejected),
+        ("three", [], "text/html", fine),
+    ]
+    parts = spark.createDataFrame(rows, mailbox.PART_SCHEMA)
+    got = {row.message_id: row.body for row in bodies.select_body(parts).collect()}
+    assert got == {"one": None, "two": None, "three": "h"}
+
+
 def test_bodies_of_random_trees(spark, tmp_path):
     draw = random.Random(11)
     trees = [random_tree(draw) for _ in range(400)]

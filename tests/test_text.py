@@ -69,6 +69,8 @@ CASES = [
     ('<a x="<script>">k</a><script>s</script>l', "k l"),
     ("u<template>t</template><ruby>k<rt>v</rt></ruby>", "u k"),
     ("\x01<p>a</p>", "\x01 a"),
+    ("<p>a</p><![foo[x]]>b", None),
+    ("a<![if gte mso 9]>w<![endif]>c", "a w c"),
     ("", ""),
     (None, ""),
 ]

@@ -171,11 +171,14 @@ class _TextNodes(HTMLParser):
             self.end_node()
 
 
-def parse_text(html: str, dropped: Sequence[str], layout: str) -> str:
-    """Text of one document by the standard library's parser."""
+def parse_text(html: str, dropped: Sequence[str], layout: str) -> str | None:
+    """Text of one document by the standard library's parser; None if that rejects it."""
     parser = _TextNodes(dropped)
-    parser.feed(html)
-    parser.close()
+    try:
+        parser.feed(html)
+        parser.close()
+    except AssertionError:
+        return None
     parser.end_node()
     if layout == INLINE:
         return " ".join(filter(None, (node.strip() for node in parser.nodes)))
@@ -203,6 +206,7 @@ def with_markup_text(
 ) -> DataFrame:
     """Add ``out_col``, the text of ``html_col``. NULL html reads as empty.
 
+    A document the parser rejects, such as one with an unknown marked section, gets NULL.
     A name given for ``unsettled_col`` also keeps whether the parser was needed. Documents
     it was not needed for leave nothing open, so their texts can be joined as they are.
     """

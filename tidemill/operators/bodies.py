@@ -71,7 +71,8 @@ def select_body(parts: DataFrame) -> DataFrame:
     Leaves are decoded and converted where they are read; other parts carry no data any
     further. One shuffle brings a message's leaves together and the tree is folded
     within the row. Html siblings that leave something open would run into each other:
-    messages that may hold such are folded by the parser instead.
+    messages that may hold such are folded by the parser instead. A message with html
+    the parser rejects gets NULL.
     """
     kind = F.when((F.length("data") > 0) & F.col("mime_type").isin(PLAIN, HTML), F.col("mime_type"))
     leaves = parts.withColumn("_kind", kind).withColumn("data", F.when(F.col("_kind").isNotNull(), F.col("data")))
@@ -96,7 +97,12 @@ def select_body(parts: DataFrame) -> DataFrame:
     tree = F.to_json(F.transform("_nodes", lambda node: F.struct(node["path"], node["kind"], node["text"], node["html"])))
     flagged = messages.withColumn("_run_on", run_on)
     parsed = flagged.withColumn("_parsed", _parser_body(F.when(F.col("_run_on"), tree)))
-    body = F.when(F.col("_run_on"), F.col("_parsed")).otherwise(_folded_body("_nodes"))
+    unreadable = F.exists(html_leaves, lambda node: node["text"].isNull())
+    body = (
+        F.when(unreadable, F.lit(None))
+        .when(F.col("_run_on"), F.col("_parsed"))
+        .otherwise(_folded_body("_nodes"))
+    )
     return parsed.select("message_id", body.alias("body"))
 
 
@@ -159,7 +165,7 @@ def _folded_body(nodes_col: str) -> Column:
     return F.element_at(F.aggregate(levels, start, fold), 1)["result"]
 
 
-def _fold_by_parser(tree: str) -> str:
+def _fold_by_parser(tree: str) -> str | None:
     """The same fold for one message, converting the html siblings of a part as one text."""
     nodes = {tuple(node["path"]): node for node in json.loads(tree)}
     children: dict[tuple, list] = {path: [] for path in nodes}
@@ -180,11 +186,14 @@ def _fold_by_parser(tree: str) -> str:
             if children[child] and results[child]:
                 plain.append(results[child])
         if node.get("kind"):
-            results[path] = node["text"]
+            results[path] = node.get("text")
         elif plain:
             results[path] = "\n".join(plain)
         else:
-            results[path] = parse_text("\n".join(html), MAIL_DROPPED, LINES)
+            text = parse_text("\n".join(html), MAIL_DROPPED, LINES)
+            if text is None:
+                return None
+            results[path] = text
     return results[()]
 
 

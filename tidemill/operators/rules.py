@@ -129,14 +129,13 @@ def classify(df: DataFrame, rules: Sequence[Rule] = MAIL_RULES) -> DataFrame:
     texts = sorted({field for rule in rules for terms in (*rule.require, *rule.exclude) for field in terms.fields})
     prepared = df.withColumns({f"_lower_{field}": F.lower(blank_if_null(F.col(field))) for field in texts})
     lowered = {field: F.col(f"_lower_{field}") for field in texts}
-    in_list = (blank_if_null(F.col("list_unsubscribe")) != "") | (blank_if_null(F.col("list_id")) != "")
-
     chain = None
     for rule in rules:
         tests = [_holds(terms, lowered) for terms in rule.require]
         tests += [~_holds(terms, lowered) for terms in rule.exclude]
         if rule.list_header:
-            tests.insert(0, in_list)
+            headers = (blank_if_null(F.col(name)) != "" for name in ("list_unsubscribe", "list_id"))
+            tests.insert(0, reduce(Column.__or__, headers))
         holds = reduce(Column.__and__, tests)
         chain = F.when(holds, rule.id) if chain is None else chain.when(holds, rule.id)
 

@@ -31,7 +31,11 @@ def triage(
     A message that cannot be handled keeps its labels and gets a ``cause``. Bodies stay
     out of the join with the external labels.
     """
-    cause = F.when(F.col("id").isNull(), "missing id").when(F.col("labels").isNull(), "missing labels")
+    cause = (
+        F.when(F.col("id").isNull(), "missing id")
+        .when(F.col("labels").isNull(), "missing labels")
+        .when(F.col("body").isNull(), "unreadable body")
+    )
     decided = classify(messages.withColumn("cause", cause), rules).select(
         "id", "labels", "cause", "category", "reason", "rule_id"
     )
