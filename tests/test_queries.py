@@ -5,7 +5,9 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+PLANS = (entry.SALES, entry.PAGES, entry.MAIL)
+QUERIES = {name: build for plan in PLANS for name, build in plan.queries.items()}
+ORACLES = {name: sql for plan in PLANS for name, sql in plan.oracles.items()}
 
 
 @pytest.fixture(scope="module")
