@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.decontaminate import contaminated_words
 from tidemill.llm.simhash import simhash_groups
+from tidemill.llm.substring_dedup import substring_dedup
 from tidemill.llm.token_counts import token_counts
 from tidemill.plans.registry import Registry
 
@@ -78,3 +79,31 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @LLM.named("op9_simhash_near_dedup")
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(read(spark, folder, "documents"))
+
+
+op1_sql = """
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), places AS (
+    SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS run
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM split)
+), late AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY run) AS least FROM places) WHERE least < doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM late
+), kept AS (
+    SELECT doc_id, w.i, w.word, gone.i IS NOT NULL AS removed
+    FROM (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM split) AS w LEFT JOIN gone USING (doc_id, i)
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN (
+    SELECT doc_id, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT removed) AS text
+    FROM kept GROUP BY doc_id
+) USING (doc_id)
+"""
+
+
+@LLM.named("op1_substring_dedup", op1_sql)
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup(read(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 4 << 20
 
@@ -166,7 +167,7 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterat
     if not batch.num_rows:
         return
     column = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(pa.compute.binary_length(column).fill_null(0))
+    sizes = np.asarray(pc.binary_length(column).fill_null(0))
     part = (np.cumsum(sizes) - sizes) // limit
     cuts = [*groups_of(part).tolist(), len(sizes)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -185,7 +186,7 @@ def sized(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES
     for batch in batches:
         for piece in pieces(batch, text, limit):
             column = piece.column(piece.schema.get_field_index(text))
-            size = int(pa.compute.sum(pa.compute.binary_length(column)).as_py() or 0)
+            size = int(pc.sum(pc.binary_length(column)).as_py() or 0)
             if waiting and held + size > limit:
                 yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
                 waiting, held = [], 0
