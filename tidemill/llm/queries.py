@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.decontaminate import contaminated_words
+from tidemill.llm.quality_rules import quality_rules
 from tidemill.llm.simhash import simhash_groups
 from tidemill.llm.substring_dedup import substring_dedup
 from tidemill.llm.token_counts import token_counts
@@ -107,3 +108,9 @@ FROM split LEFT JOIN (
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup(read(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@LLM.named("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules(read(spark, folder, "documents"))
+    return judged.drop("lowest", "highest")
