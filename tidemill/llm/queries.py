@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.decontaminate import contaminated_words
+from tidemill.llm.language_id import identify_language
 from tidemill.llm.quality_rules import quality_rules
 from tidemill.llm.simhash import simhash_groups
 from tidemill.llm.substring_dedup import substring_dedup
@@ -114,3 +115,14 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules(read(spark, folder, "documents"))
     return judged.drop("lowest", "highest")
+
+
+def fold(count: int) -> F.Column:
+    """CRC-32 of the id as text, modulo ``count``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % count
+
+
+@LLM.named("op2_language_id")
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    judged = identify_language(read(spark, folder, "documents"), fold(4) != 2)
+    return judged.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
