@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.decontaminate import contaminated_words
 from tidemill.llm.language_id import identify_language
+from tidemill.llm.lm_scores import lm_scores
 from tidemill.llm.quality_rules import quality_rules
 from tidemill.llm.simhash import simhash_groups
 from tidemill.llm.substring_dedup import substring_dedup
@@ -126,3 +127,9 @@ def fold(count: int) -> F.Column:
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     judged = identify_language(read(spark, folder, "documents"), fold(4) != 2)
     return judged.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@LLM.named("op7_lm_scoring")
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    scored = lm_scores(read(spark, folder, "documents"), fold(5) != 1)
+    return scored.withColumn("held_out", fold(5) == 1)
