@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.decontaminate import contaminated_words
 from tidemill.llm.language_id import identify_language
+from tidemill.llm.line_dedup import line_dedup
 from tidemill.llm.lm_scores import lm_scores
 from tidemill.llm.quality_rules import quality_rules
 from tidemill.llm.simhash import simhash_groups
@@ -133,3 +134,32 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     scored = lm_scores(read(spark, folder, "documents"), fold(5) != 1)
     return scored.withColumn("held_out", fold(5) == 1)
+
+
+op5_sql = """
+WITH lines AS (
+    SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+), runs AS (
+    SELECT doc_id, i, line, lead(line, 1) OVER w AS second, lead(line, 2) OVER w AS third FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), late AS (
+    SELECT doc_id, i, 1 AS size FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS n FROM lines)
+    WHERE n > 1 AND length(line) >= 300
+    UNION ALL
+    SELECT doc_id, i, 3 FROM (
+        SELECT *, row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, i) AS n FROM runs WHERE third IS NOT NULL
+    ) WHERE n > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS i FROM late), kept AS (
+    SELECT doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+        coalesce(string_agg(line, chr(10) ORDER BY lines.i) FILTER (gone.i IS NULL), '') AS text
+    FROM lines LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+    CASE WHEN d.text IS NOT NULL THEN sha256(kept.text) END AS kept_sha256
+FROM documents AS d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@LLM.named("op5_line_dedup", op5_sql)
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup(read(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
