@@ -9,6 +9,7 @@ from tidemill.llm.decontaminate import contaminated_words
 from tidemill.llm.language_id import identify_language
 from tidemill.llm.line_dedup import line_dedup
 from tidemill.llm.lm_scores import lm_scores
+from tidemill.llm.quality_classifier import classify_quality
 from tidemill.llm.quality_rules import quality_rules
 from tidemill.llm.simhash import simhash_groups
 from tidemill.llm.substring_dedup import substring_dedup
@@ -163,3 +164,8 @@ FROM documents AS d LEFT JOIN kept USING (doc_id)
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup(read(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@LLM.named("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classify_quality(read(spark, folder, "documents"))
