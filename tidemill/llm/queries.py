@@ -11,6 +11,7 @@ from tidemill.llm.line_dedup import line_dedup
 from tidemill.llm.lm_scores import lm_scores
 from tidemill.llm.quality_classifier import classify_quality
 from tidemill.llm.quality_rules import quality_rules
+from tidemill.llm.sentencepiece_codec import decode_pieces, encode_pieces
 from tidemill.llm.simhash import simhash_groups
 from tidemill.llm.substring_dedup import substring_dedup
 from tidemill.llm.token_counts import token_counts
@@ -20,6 +21,7 @@ LLM = Registry()
 
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
+BEST = 4
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -169,3 +171,17 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @LLM.named("op3_quality_classifier")
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return classify_quality(read(spark, folder, "documents"))
+
+
+@LLM.named("op6_sentencepiece_codec")
+def op6_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer_file()
+    encoded = encode_pieces(read(spark, folder, "documents"), model, n=BEST, carry=["text"])
+    decoded = decode_pieces(encoded, model)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.concat(F.array("score"), F.transform("others", lambda other: other["score"])).alias("scores"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
+    )
