@@ -9,7 +9,7 @@ byte by byte.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -157,6 +157,7 @@ def _probe(windows: Windows, last: bool):
                 before = [np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(masks, block.counts, strict=True)]
                 hit |= np.concatenate(before).astype(bool)
             names = batch.column(3).to_pylist()
+            carried, headers = [batch.column(k) for k in range(4, batch.num_columns)], batch.schema.names[4:]
             text = block.owner[start]
             for which in np.unique(text):
                 new = np.unique(np.concatenate([owned[w] for w in np.unique(window[text == which])]))
@@ -164,14 +165,14 @@ def _probe(windows: Windows, last: bool):
             items = pa.array(names, pa.list_(pa.string()))
             if last:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(block.counts.astype(np.int64)), pa.array(block.per_text(hit).astype(np.int64)), items],
-                    ["doc_id", "n_words", "n_hit", "items"],
+                    [batch.column(0), pa.array(block.counts.astype(np.int64)), pa.array(block.per_text(hit).astype(np.int64)), items, *carried],
+                    ["doc_id", "n_words", "n_hit", "items", *headers],
                 )
             else:
                 edges = block.first.tolist()
                 mask = [np.packbits(hit[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(mask, pa.binary()), items], ["doc_id", "text", "mask", "items"]
+                    [batch.column(0), batch.column(1), pa.array(mask, pa.binary()), items, *carried], ["doc_id", "text", "mask", "items", *headers]
                 )
 
     return probe
@@ -186,13 +187,14 @@ def contaminated_words(
     item_text_col: str = "text",
     window: int = 10,
     block_bytes: int = BLOCK_OF_ITEMS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_hit`` and ``items`` (sorted item ids as strings) for each row.
+    """``doc_id``, ``n_words``, ``n_hit`` and ``items`` (sorted item ids as strings) for each row, after the columns to ``carry``.
 
     A word (lower-cased in A-Z; digits, letters and all non-ASCII characters) is hit inside any
     occurrence of a window of ``window`` words of an item; an item of fewer words, but not none, is one
     window. NULL and empty texts have no words; items with NULL id or without words match nothing.
-    Repeated rows and ids stay as they are; other columns are left out, whatever their names.
+    Repeated rows and ids stay as they are; other columns are left out unless carried.
 
     Items are taken in blocks of about ``block_bytes`` (an item is never split); each block is sent to
     the tasks and the texts pass all blocks one after the other in one stage, with their hits so far.
@@ -205,9 +207,11 @@ def contaminated_words(
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     keyed = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = source.schema["doc_id"].dataType.simpleString()
-    out = source.withColumn("mask", F.lit(None).cast("binary")).withColumn("items", F.lit([]).cast("array<string>"))
+    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(name).alias(f"_{name}") for name in carry])
+    types = {field.name: field.dataType.simpleString() for field in source.schema}
+    tail = "".join(f", `_{name}` {types[f'_{name}']}" for name in carry)
+    state = [F.lit(None).cast("binary").alias("mask"), F.array().cast("array<string>").alias("items")]
+    out = source.select("doc_id", "text", *state, *[F.col(f"`_{name}`") for name in carry])
     for number in range(blocks):
         rows = keyed.filter(F.col("block") == number).select("item", F.col("text").cast("binary")).collect()
         windows = Windows.of([(row[0], bytes(row[1])) for row in rows], window)
@@ -219,11 +223,11 @@ def contaminated_words(
         sent = spark.sparkContext.broadcast(windows)
         last = number == blocks - 1
         schema = (
-            f"doc_id {id_type}, n_words bigint, n_hit bigint, items array<string>" if last
-            else f"doc_id {id_type}, text string, mask binary, items array<string>"
-        )
+            f"doc_id {types['doc_id']}, n_words bigint, n_hit bigint, items array<string>" if last
+            else f"doc_id {types['doc_id']}, text string, mask binary, items array<string>"
+        ) + tail
         out = out.mapInArrow(_from_broadcast(sent, last), schema)
-    return out
+    return out.select(*[F.col(f"`_{name}`").alias(name) for name in carry], "doc_id", "n_words", "n_hit", "items")
 
 
 def _from_broadcast(sent, last: bool):
