@@ -57,7 +57,7 @@ def classes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def automaton(classes: np.ndarray) -> np.ndarray:
-    """Transitions of the suffix automaton, state by class: twice the next state, and one more where a phrase ends.
+    """Transitions of the suffix automaton, state by class: twice the next state, and one more where a phrase begins.
 
     Where a phrase cannot go on, the character starts a new one; a character the sample lacks is a phrase.
     """
@@ -87,7 +87,9 @@ def automaton(classes: np.ndarray) -> np.ndarray:
                 link[to] = link[new] = copy
         last = new
     steps = steps[: len(link)]
-    return np.where(steps < 0, np.maximum(steps[0], 0) * 2 + 1, steps * 2).astype(np.int32)
+    table = np.where(steps < 0, np.maximum(steps[0], 0) * 2 + 1, steps * 2)
+    table[0] |= 1
+    return table.astype(np.int32)
 
 
 def phrases(table: np.ndarray, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -101,7 +103,7 @@ def phrases(table: np.ndarray, classes: np.ndarray, lengths: np.ndarray) -> np.n
     begin, size = begin[order], size[order]
     alive = np.searchsorted(-size, -np.arange(PIECE), "left")
     state = np.zeros(len(size), np.int64)
-    count = np.ones(len(size), np.int64)
+    count = np.zeros(len(size), np.int64)
     flat, width = table.ravel(), table.shape[1]
     for step in range(int(size[0]) if len(size) else 0):
         n = alive[step]
