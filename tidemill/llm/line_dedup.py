@@ -99,7 +99,8 @@ def line_dedup(
         .agg(F.array_sort(F.collect_set("_line")).alias("_gone"))
         .select(F.col("_id").alias("_id2"), F.col("_print").alias("_print2"), "_gone")
     )
-    texts = source.withColumn("_lines", F.split("_text", "\n"))
+    # The lines alone are shuffled; a text is its lines joined again.
+    texts = source.withColumn("_lines", F.split("_text", "\n")).drop("_text")
     same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_print") == F.col("_print2"))
     # The lines between one removed line and the next, put together.
     before, after = F.concat(F.array(F.lit(-1)), "_gone"), F.concat("_gone", F.array(F.size("_lines")))
@@ -107,7 +108,7 @@ def line_dedup(
     return texts.join(removed, same, "left").select(
         *[F.col(name) for name in carry],
         F.col("_id").alias("doc_id"),
-        F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
+        F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.flatten(between), "\n")).alias("kept"),
+        F.array_join(F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.flatten(between)), "\n").alias("kept"),
     )
