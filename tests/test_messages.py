@@ -105,14 +105,31 @@ def test_bodies_of_random_trees(spark, tmp_path):
     assert got == {f"m{n}": expected_body(tree) for n, tree in enumerate(trees)}
 
 
-def test_too_deep_trees_fail(spark, tmp_path):
-    tree = leaf("text/plain", "x")
-    for _ in range(4):
+def test_trees_of_any_depth(spark, tmp_path):
+    tree = leaf("text/plain", "deep")
+    for _ in range(40):
         tree = leaf("multipart/mixed", None, [tree])
-    df = export(spark, tmp_path, [tree])
-    assert mailbox.export_parts(df, max_depth=4).count() == 5
-    with pytest.raises(Exception, match="below level 3"):
-        mailbox.export_parts(df, max_depth=3).collect()
+    parts = mailbox.export_parts(export(spark, tmp_path, [tree]))
+    assert parts.count() == 41
+    assert bodies.select_body(parts).first().body == "deep"
+
+
+def test_no_part_is_lost(spark):
+    text = encoded("t")
+    rows = [
+        ("noroot", [0], "text/plain", text),
+        ("gap", [], "multipart/mixed", None), ("gap", [0, 0], "text/plain", text), ("gap", [0, 0, 1], "text/plain", text),
+        ("twice", [], "multipart/mixed", None), ("twice", [0], "text/plain", text), ("twice", [0], "text/plain", text),
+        (None, [], "text/plain", text), (None, [], "text/plain", encoded("u")),
+        ("good", [], "text/plain", text),
+    ]
+    parts = spark.createDataFrame(rows, mailbox.PART_SCHEMA)
+    assert {row.message_id: row.body for row in bodies.select_body(parts).collect()} == {"gap": "", "twice": "t", "good": "t"}
+    rejects = sorted(((row.message_id or "", row.path, row.cause) for row in bodies.part_rejects(parts).collect()))
+    assert rejects == [
+        ("", [], "missing id"), ("", [], "missing id"), ("gap", [0, 0], "missing parent"), ("gap", [0, 0, 1], "missing parent"),
+        ("noroot", [0], "missing root"), ("twice", [0], "repeated part"),
+    ]
 
 
 def test_export_headers_and_broken_lines(spark, tmp_path):
@@ -128,6 +145,8 @@ def test_export_headers_and_broken_lines(spark, tmp_path):
     assert rows["1"].subject == "last" and rows["1"].list_id == "l" and rows["1"].sender == ""
     assert rows["1"].thread_pos == 4 and str(rows["1"].ts) == "2023-11-14 22:13:20"
     assert rows["2"].subject == "" and rows["2"].labels is None
+    rejects = {(row.id, row.cause) for row in mailbox.export_rejects(loaded).collect()}
+    assert rejects == {(None, "unreadable line"), ("2", "missing payload")}
 
 
 def test_thread_context(spark):

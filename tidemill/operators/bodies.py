@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.codec import with_base64_text
-from tidemill.functions.markup import LINES, MAIL_DROPPED, parse_text, with_markup_text
+from tidemill.functions.markup import LINES, MAIL_DROPPED, parse_text
 
 # Record column -> header name.
 HEADER_COLUMNS = {
@@ -22,7 +20,6 @@ HEADER_COLUMNS = {
     "list_id": "list-id",
 }
 PLAIN, HTML = "text/plain", "text/html"
-NODES = "array<struct<path:array<int>,kind:string,text:string,parent:boolean,result:string>>"
 
 
 def header_map(headers: Column) -> Column:
@@ -50,14 +47,38 @@ def normalise_headers(messages: DataFrame) -> DataFrame:
     return mapped.withColumns(values).drop("headers", "_headers")
 
 
-def decode_parts(parts: DataFrame) -> DataFrame:
-    """Add ``text``, the decoded data of each part."""
-    return with_base64_text(parts, "data", "text")
+ROOT_MISSING, PARENT_MISSING, REPEATED, NO_ID = "missing root", "missing parent", "repeated part", "missing id"
+
 
+def _messages(parts: DataFrame) -> DataFrame:
+    """One row per message with id: its parts in path order, those to use and the others with a cause."""
+    kind = F.when((F.length("data") > 0) & F.col("mime_type").isin(PLAIN, HTML), F.col("mime_type"))
+    leaves = parts.filter(F.col("message_id").isNotNull()).withColumn("_kind", kind)
+    # Only the data of text parts goes any further.
+    decoded = with_base64_text(leaves.withColumn("data", F.when(F.col("_kind").isNotNull(), F.col("data"))), "data", "_own")
+    node = F.struct(
+        F.coalesce("path", F.array().cast("array<int>")).alias("path"),
+        F.col("_kind").alias("kind"),
+        F.when(F.col("_kind").isNotNull(), F.col("_own")).alias("text"),
+    )
+    grouped = decoded.groupBy("message_id").agg(F.array_sort(F.collect_list(node)).alias("_nodes"))
+    paths = grouped.withColumn("_paths", F.array_distinct(F.transform("_nodes", lambda node: node["path"])))
+
+    def above(path: Column) -> Column:
+        """Whether all parts a part lies in are there."""
+        levels = F.when(F.size(path) > 0, F.sequence(F.lit(0), F.size(path) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.forall(levels, lambda depth: F.array_contains("_paths", F.slice(path, F.lit(1), depth)))
+
+    def cause(node: Column, at: Column) -> Column:
+        again = (at > 0) & (F.try_element_at("_nodes", at)["path"] == node["path"])
+        return (
+            F.when(~F.array_contains("_paths", F.array().cast("array<int>")), ROOT_MISSING)
+            .when(~above(node["path"]), PARENT_MISSING)
+            .when(again, REPEATED)
+        )
 
-def html_to_lines(df: DataFrame, html_col: str, out_col: str) -> DataFrame:
-    """Readable lines of a mail's html."""
-    return with_markup_text(df, html_col, out_col, MAIL_DROPPED, LINES)
+    judged = F.transform("_nodes", lambda node, at: F.struct(node.alias("node"), cause(node, at).alias("cause")))
+    return paths.select("message_id", judged.alias("_judged"))
 
 
 def select_body(parts: DataFrame) -> DataFrame:
@@ -68,105 +89,32 @@ def select_body(parts: DataFrame) -> DataFrame:
     and what nested parts resolve to are joined by a newline, in part order; only when
     there are none are the html children joined and converted; else the body is "".
 
-    Leaves are decoded and converted where they are read; other parts carry no data any
-    further. One shuffle brings a message's leaves together and the tree is folded
-    within the row. Html siblings that leave something open would run into each other:
-    messages that may hold such are folded by the parser instead. A message with html
-    the parser rejects gets NULL.
+    One shuffle brings a message's parts together; trees of any depth are folded within the row, and
+    html is converted only where it makes the body. A message whose html the parser rejects gets
+    NULL. What cannot be used is left out here and listed by ``part_rejects``: parts without id, all of a
+    message without root, parts below a missing part, and a part delivered again (the first in order
+    of type and text counts).
     """
-    kind = F.when((F.length("data") > 0) & F.col("mime_type").isin(PLAIN, HTML), F.col("mime_type"))
-    leaves = parts.withColumn("_kind", kind).withColumn("data", F.when(F.col("_kind").isNotNull(), F.col("data")))
-    decoded = with_base64_text(leaves, "data", "_own")
-    html = decoded.withColumn("_html", F.when(F.col("_kind") == HTML, F.col("_own")))
-    converted = with_markup_text(html, "_html", "_lines", MAIL_DROPPED, LINES, unsettled_col="_open")
-    node = F.struct(
-        "path",
-        F.col("_kind").alias("kind"),
-        F.when(F.col("_kind") == HTML, F.col("_lines")).when(F.col("_kind") == PLAIN, F.col("_own")).alias("text"),
-        F.col("_html").alias("html"),
-        F.col("_open").alias("open"),
-    )
-    # Sorted by path, so that children come in part order.
-    messages = (
-        converted.groupBy("message_id")
-        .agg(F.array_sort(F.collect_list(node)).alias("_nodes"))
-        .filter(F.exists("_nodes", lambda node: F.size(node["path"]) == 0))
+    usable = F.filter("_judged", lambda item: item["cause"].isNull())
+    trees = _messages(parts).withColumn("_used", F.transform(usable, lambda item: item["node"])).filter(F.size("_used") > 0)
+    root = F.element_at("_used", 1)
+    # A plain leaf at the root needs no fold.
+    tree = F.when((root["kind"] == PLAIN), F.lit(None)).otherwise(F.to_json("_used"))
+    return trees.select("message_id", F.when(root["kind"] == PLAIN, root["text"]).otherwise(_parser_body(tree)).alias("body"))
+
+
+def part_rejects(parts: DataFrame) -> DataFrame:
+    """(message_id, path, cause) of the parts that ``select_body`` cannot use."""
+    bad = F.filter("_judged", lambda item: item["cause"].isNotNull())
+    nameless = parts.filter(F.col("message_id").isNull()).select("message_id", "path", F.lit(NO_ID).alias("cause"))
+    return (
+        _messages(parts).select("message_id", F.explode(bad).alias("_item"))
+        .select("message_id", "_item.node.path", "_item.cause").unionByName(nameless)
     )
-    html_leaves = F.filter("_nodes", lambda node: node["kind"] == HTML)
-    run_on = (F.size(html_leaves) > 1) & F.exists(html_leaves, lambda node: node["open"])
-    tree = F.to_json(F.transform("_nodes", lambda node: F.struct(node["path"], node["kind"], node["text"], node["html"])))
-    flagged = messages.withColumn("_run_on", run_on)
-    parsed = flagged.withColumn("_parsed", _parser_body(F.when(F.col("_run_on"), tree)))
-    unreadable = F.exists(html_leaves, lambda node: node["text"].isNull())
-    body = (
-        F.when(unreadable, F.lit(None))
-        .when(F.col("_run_on"), F.col("_parsed"))
-        .otherwise(_folded_body("_nodes"))
-    )
-    return parsed.select("message_id", body.alias("body"))
-
-
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _join(children: Column) -> Column:
-    """What a container resolves to, given its resolved children in order."""
-
-    def given(child: Column) -> Column:
-        own = F.when(child["kind"] == PLAIN, child["text"])
-        nested = F.when(child["parent"] & (child["result"] != ""), child["result"])
-        return F.filter(F.array(own, nested), lambda text: text.isNotNull())
-
-    html = F.filter(children, lambda child: (child["kind"] == HTML) & (child["text"] != ""))
-    html_text = F.array_join(F.transform(html, lambda child: child["text"]), "\n")
-    return _bound(
-        F.flatten(F.transform(children, given)),
-        lambda plain: F.when(F.size(plain) > 0, F.array_join(plain, "\n")).otherwise(html_text),
-    )
-
-
-def _folded_body(nodes_col: str) -> Column:
-    """Fold the tree level by level, deepest first, until only the message itself is left."""
-    start = F.transform(
-        nodes_col,
-        lambda node: F.struct(
-            node["path"].alias("path"),
-            node["kind"].alias("kind"),
-            node["text"].alias("text"),
-            F.lit(False).alias("parent"),
-            F.coalesce(node["text"], F.lit("")).alias("result"),
-        ),
-    ).cast(NODES)
-
-    def resolved(node: Column, children: Column) -> Column:
-        result = F.when(node["kind"].isNotNull(), node["text"]).otherwise(_join(children))
-        folded = F.struct(
-            node["path"].alias("path"), node["kind"].alias("kind"), node["text"].alias("text"),
-            F.lit(True).alias("parent"), result.alias("result"),
-        )
-        return F.when(F.size(children) > 0, folded).otherwise(node)
-
-    def fold(nodes: Column, depth: Column) -> Column:
-        lowest = F.filter(nodes, lambda node: F.size(node["path"]) == depth)
-        above = F.filter(nodes, lambda node: F.size(node["path"]) < depth)
-
-        def with_children(node: Column, lowest: Column) -> Column:
-            under = F.filter(lowest, lambda child: F.slice(child["path"], F.lit(1), depth - 1) == node["path"])
-            return _bound(under, lambda children: resolved(node, children))
-
-        return _bound(
-            lowest, lambda lowest: F.transform(above, lambda node: with_children(node, lowest))
-        ).cast(NODES)
-
-    deepest = F.array_max(F.transform(nodes_col, lambda node: F.size(node["path"])))
-    levels = F.when(deepest > 0, F.sequence(deepest, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.element_at(F.aggregate(levels, start, fold), 1)["result"]
-
-
-def _fold_by_parser(tree: str) -> str | None:
-    """The same fold for one message, converting the html siblings of a part as one text."""
+def _fold(tree: str) -> str | None:
+    """The body of one message, deepest parts first; the html siblings of a part are converted as one text."""
     nodes = {tuple(node["path"]): node for node in json.loads(tree)}
     children: dict[tuple, list] = {path: [] for path in nodes}
     for path in sorted(nodes):
@@ -182,11 +130,15 @@ def _fold_by_parser(tree: str) -> str | None:
             if part.get("kind") == PLAIN:
                 plain.append(part["text"])
             elif part.get("kind") == HTML:
-                html.append(part["html"])
+                html.append(part["text"])
             if children[child] and results[child]:
                 plain.append(results[child])
-        if node.get("kind"):
-            results[path] = node.get("text")
+        if node.get("kind") == PLAIN:
+            results[path] = node["text"]
+        elif node.get("kind") == HTML:
+            results[path] = parse_text(node["text"], MAIL_DROPPED, LINES)
+            if results[path] is None:
+                return None
         elif plain:
             results[path] = "\n".join(plain)
         else:
@@ -200,6 +152,6 @@ def _fold_by_parser(tree: str) -> str | None:
 def _parser_body(tree: Column) -> Column:
     @F.pandas_udf("string")
     def folded(trees: pd.Series) -> pd.Series:
-        return trees.map(_fold_by_parser, na_action="ignore")
+        return trees.map(_fold, na_action="ignore")
 
     return folded(tree)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_DEPTH = 12
+UNREADABLE, NO_ID, NO_PAYLOAD = "unreadable line", "missing id", "missing payload"
 
 MESSAGE_SCHEMA = T.StructType(
     [
@@ -61,12 +61,23 @@ def export_messages(export: DataFrame) -> DataFrame:
     )
 
 
-def export_parts(export: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row per part of each message, in a single pass over the export.
+def export_rejects(export: DataFrame) -> DataFrame:
+    """(id, raw, cause) of the lines that give no message with parts; nothing else is left out."""
+    cause = (
+        F.when(F.col("doc").isNull(), UNREADABLE)
+        .when(_field("$.id", "string").isNull(), NO_ID)
+        .when(_field("$.payload", "variant").isNull(), NO_PAYLOAD)
+    )
+    return export.select(_field("$.id", "string").alias("id"), "raw", cause.alias("cause")).filter(F.col("cause").isNotNull())
+
+
+def export_parts(export: DataFrame) -> DataFrame:
+    """One row per part of each message, nested to any depth, in a single pass over the export.
 
-    Each level's parts are listed from the level above within the row. A tree deeper
-    than ``max_depth`` is an error, never cut short.
+    Each level's parts are listed from the level above within the row, as often as the line has opening
+    brackets: no tree is deeper. Lines that ``export_rejects`` lists give no parts.
     """
+    nodes = "array<struct<path:array<int>,node:variant>>"
 
     def children(node: Column) -> Column:
         parts = F.coalesce(
@@ -77,18 +88,17 @@ def export_parts(export: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             lambda part, at: F.struct(F.concat(node["path"], F.array(at)).alias("path"), part.alias("node")),
         )
 
-    rows = export.filter(F.col("doc").isNotNull()).select(
-        _field("$.id", "string").alias("message_id"),
-        F.array(
-            F.struct(F.array().cast("array<int>").alias("path"), _field("$.payload", "variant").alias("node"))
-        ).alias("_level0"),
-    )
-    for depth in range(1, max_depth + 2):
-        rows = rows.withColumn(f"_level{depth}", F.flatten(F.transform(f"_level{depth - 1}", children)))
-    levels = [F.col(f"_level{depth}") for depth in range(max_depth + 1)]
-    too_deep = F.raise_error(F.lit(f"a message has parts below level {max_depth}"))
-    nodes = F.when(F.size(f"_level{max_depth + 1}") > 0, too_deep).otherwise(F.concat(*levels))
-    return rows.select("message_id", F.explode(nodes).alias("_part")).select(
+    root = F.array(F.struct(F.array().cast("array<int>").alias("path"), _field("$.payload", "variant").alias("node")))
+    levels = F.length("raw") - F.length(F.replace("raw", F.lit("["), F.lit("")))
+
+    def deeper(state: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(state["last"], children)).cast(nodes)
+        return F.when(F.size(state["last"]) > 0, F.struct(F.concat(state["found"], below).alias("found"), below.alias("last"))).otherwise(state)
+
+    start = F.struct(root.cast(nodes).alias("found"), root.cast(nodes).alias("last"))
+    every = F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), start, deeper)["found"]
+    rows = export.filter(F.col("doc").isNotNull() & _field("$.id", "string").isNotNull() & _field("$.payload", "variant").isNotNull())
+    return rows.select(_field("$.id", "string").alias("message_id"), F.explode(every).alias("_part")).select(
         "message_id",
         "_part.path",
         F.try_variant_get("_part.node", "$.mimeType", "string").alias("mime_type"),
