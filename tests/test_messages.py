@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions.markup import LINES, MAIL_DROPPED, parse_text
-from tidemill.operators import bodies, ordering, threads
+from tidemill.operators import bodies, threads
 from tidemill.operators.ordering import with_preceding
 from tidemill.sources import mailbox
 
@@ -134,7 +134,7 @@ def test_no_part_is_lost(spark):
 
 def test_export_headers_and_broken_lines(spark, tmp_path):
     path = tmp_path / "mail.jsonl"
-    good = {"id": "1", "threadId": "t", "threadPosition": 4, "internalDate": "1700000000000", "labelIds": ["INBOX"],
+    good = {"id": "1", "threadId": "t", "internalDate": "1700000000000", "labelIds": ["INBOX"],
             "payload": {"mimeType": "text/plain", "headers": [
                 {"name": "SUBJECT", "value": "first"}, {"name": "subject", "value": "last"},
                 {"name": "List-ID", "value": "l"}]}}
@@ -143,24 +143,25 @@ def test_export_headers_and_broken_lines(spark, tmp_path):
     assert loaded.filter("doc IS NULL").count() == 1
     rows = {row.id: row for row in bodies.normalise_headers(mailbox.export_messages(loaded)).collect()}
     assert rows["1"].subject == "last" and rows["1"].list_id == "l" and rows["1"].sender == ""
-    assert rows["1"].thread_pos == 4 and str(rows["1"].ts) == "2023-11-14 22:13:20"
+    assert str(rows["1"].ts) == "2023-11-14 22:13:20"
     assert rows["2"].subject == "" and rows["2"].labels is None
     rejects = {(row.id, row.cause) for row in mailbox.export_rejects(loaded).collect()}
     assert rejects == {(None, "unreadable line"), ("2", "missing payload")}
 
 
 def test_thread_context(spark):
-    rows = [(f"m{n}", "t", n, "s", None, "b" * 3_000 if n == 1 else f"body {n}") for n in range(5)]
-    messages = spark.createDataFrame(rows, "id string, thread_id string, thread_pos int, sender string, subject string, body string")
+    rows = [(f"m{9 - n}", "t", n, "s", None, "b" * 3_000 if n == 1 else f"body {n}") for n in range(5)]
+    rows += [("a", None, 1, "s", None, "alone"), ("b", None, 2, "s", None, "alone too")]
+    messages = spark.createDataFrame(rows, "id string, thread_id string, ts int, sender string, subject string, body string")
     got = {row.id: row.thread_context for row in threads.thread_context(messages).collect()}
 
     def block(body):
         return f"\nFROM:\ns\n\nSUBJECT:\n\n\nBODY:\n{body}\n"
 
     joint = "\n--- PREVIOUS MESSAGE ---\n"
-    assert got["m0"] == ""
-    assert got["m2"] == block("body 0") + joint + block("b" * 2_500)
-    assert got["m4"] == joint.join([block("b" * 2_500), block("body 2"), block("body 3")])
+    assert got["m9"] == got["a"] == got["b"] == ""
+    assert got["m7"] == block("body 0") + joint + block("b" * 2_500)
+    assert got["m5"] == joint.join([block("b" * 2_500), block("body 2"), block("body 3")])
 
 
 def test_history_keeps_the_last_eight_lines(spark):
@@ -169,24 +170,23 @@ def test_history_keeps_the_last_eight_lines(spark):
     assert last == "\n".join(f"USER: t{n}" for n in range(2, 10))
 
 
-@pytest.mark.parametrize("broadcast_groups", [0, 100])
+@pytest.mark.parametrize("chunk_rows", [16, 1_000_000])
 @pytest.mark.parametrize("include_current", [False, True])
-def test_one_hot_group_in_small_chunks(spark, monkeypatch, include_current, broadcast_groups):
-    """A group far longer than a chunk, with gaps and repeated positions."""
-    monkeypatch.setattr(ordering, "BROADCAST_GROUPS", broadcast_groups)
+def test_one_hot_group_in_small_chunks(spark, include_current, chunk_rows):
+    """Groups far longer than a chunk, one of them NULL, with gaps and repeated positions."""
     draw = random.Random(3)
     rows = []
-    for group, size in (("hot", 600), ("warm", 40), ("a", 3), ("b", 1)):
+    for group, size in (("hot", 600), (None, 90), ("warm", 40), ("a", 3), ("b", 1)):
         position = 0
         for n in range(size):
             position += draw.choice([0, 1, 1, 1, 2, 50])
             rows.append((group, position, f"{n:04d}"))
     df = spark.createDataFrame(rows, "g string, p int, tie string").repartition(7)
-    got = with_preceding(df, "g", "p", "tie", F.concat("g", "tie"), 3, "before", include_current, chunk_rows=16)
+    got = with_preceding(df, "g", "p", "tie", F.concat(F.coalesce("g", F.lit("-")), "tie"), 3, "before", include_current, chunk_rows=chunk_rows)
     expected = {}
     for group in {row[0] for row in rows}:
         members = sorted(row for row in rows if row[0] == group)
         for n, row in enumerate(members):
             window = members[max(0, n - 2): n + 1] if include_current else members[max(0, n - 3): n]
-            expected[row] = [g + tie for g, _, tie in window]
+            expected[row] = [(g or "-") + tie for g, _, tie in window]
     assert {(row.g, row.p, row.tie): row.before for row in got.collect()} == expected

@@ -44,9 +44,15 @@ def test_part_trees_take_one_scan_and_one_shuffle(spark, small):
     assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1
 
 
-def test_short_threads_take_one_shuffle(spark, small):
-    plan = physical(QUERIES["thread_context"](spark, small))
-    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1
+@pytest.mark.parametrize("name", ["thread_context", "turn_history", "context_of_new_messages", "delivered_qty"])
+def test_building_runs_no_job(name, spark, small):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", name)
+    QUERIES[name](spark, small)
+    # Reading a table's schema is a job of one task.
+    stages = [tracker.getJobInfo(job).stageIds for job in tracker.getJobIdsForGroup("building")]
+    assert all(len(ids) == 1 and tracker.getStageInfo(ids[0]).numTasks == 1 for ids in stages)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_label_statistics_shuffle_counts_only(spark, small):

@@ -83,7 +83,7 @@ def test_price_periods_are_closed_and_the_last_is_open(spark, mart, long_history
     days = ["2023-12-31", "2024-01-01", "2024-12-31", "2025-01-01", "2025-12-31", "2026-01-01", "2030-05-05"]
     facts = spark.createDataFrame([(2, datetime.date.fromisoformat(day)) for day in days], "motor_id long, day date")
     if long_history:
-        priced = pricing.price_as_of_long_history(facts, mart["motor_prices"], "day", "2030-12-31")
+        priced = pricing.price_as_of_long_history(facts, mart["motor_prices"], "day")
     else:
         priced = pricing.price_as_of(facts, mart["motor_prices"], "day")
     got = [row.list_price for row in priced.orderBy("day").collect()]
@@ -91,10 +91,10 @@ def test_price_periods_are_closed_and_the_last_is_open(spark, mart, long_history
     assert len(priced.columns) == len(set(priced.columns))
 
 
-def test_facts_after_the_horizon_fail(spark, mart):
-    facts = spark.createDataFrame([(2, datetime.date(2031, 1, 1))], "motor_id long, day date")
-    with pytest.raises(Exception, match="is after 2030-12-31"):
-        pricing.price_as_of_long_history(facts, mart["motor_prices"], "day", "2030-12-31").collect()
+def test_facts_of_any_year_are_priced(spark, mart):
+    facts = spark.createDataFrame([(2, datetime.date(9031, 1, 1)), (2, None), (None, datetime.date(2024, 1, 1))], "motor_id long, day date")
+    priced = pricing.price_as_of_long_history(facts, mart["motor_prices"], "day").collect()
+    assert sorted(str(row.list_price) for row in priced) == ["3550.00", "None", "None"]
 
 
 def test_overlapping_prices_all_match(spark):
@@ -105,7 +105,7 @@ def test_overlapping_prices_all_match(spark):
     facts = spark.createDataFrame([(1, datetime.date(2024, 6, 15))], "motor_id long, day date")
     for priced in (
         pricing.price_as_of(facts, prices, "day"),
-        pricing.price_as_of_long_history(facts, prices, "day", "2025-12-31"),
+        pricing.price_as_of_long_history(facts, prices, "day"),
     ):
         assert sorted(row.list_price for row in priced.collect()) == [1, 2]
 
@@ -188,16 +188,41 @@ def test_table_listing(spark, mart):
     assert names == sorted(names) and set(SALES_SCHEMAS) <= set(names)
 
 
-def test_reload_is_repeatable(spark, mart, tmp_path):
+def test_reload_is_repeatable_and_keeps_references(spark, mart, tmp_path):
     order = {
-        "motors": ["article_number"], "customers": ["customer_number"], "orders": ["order_number"],
+        "motors": ["model"], "customers": ["customer_number"], "orders": ["order_number"],
         "order_items": ["order_id", "motor_id"], "motor_prices": ["motor_id", "valid_from"], "inventory": ["motor_id"],
     }
+    keys = {parent: mart[parent].select(F.col("id").alias("_old"), natural) for parent, natural in
+            (("motors", "article_number"), ("customers", "customer_number"), ("orders", "order_number"))}
+    staged = dict(mart)
+    for child, columns in loading.REFERENCES.items():
+        for column, (parent, _) in columns.items():
+            staged[child] = staged[child].join(keys[parent], F.col(column) == F.col("_old")).drop("_old", column)
+
+    def sold(tables):
+        items = tables["order_items"].join(tables["motors"].select(F.col("id").alias("motor_id"), "article_number"), "motor_id")
+        placed = tables["orders"].join(tables["customers"].select(F.col("id").alias("customer_id"), "customer_number"), "customer_id")
+        items = items.join(placed.select(F.col("id").alias("order_id"), "customer_number"), "order_id")
+        return sorted(tuple(row) for row in items.groupBy("article_number", "customer_number").agg(F.sum("quantity")).collect())
+
     for _ in range(2):
-        loading.reload(mart, str(tmp_path), order)
+        loading.reload(staged, str(tmp_path), order)
     again = load_sales(spark, str(tmp_path))
     assert again["order_items"].agg(F.min("id"), F.max("id"), F.count("*")).first()[:] == (1, 38, 38)
     assert again["orders"].filter("id = 1").first().order_number == "ORD-2024-001"
+    assert again["motors"].filter("id = 1").first().model == "DS2-200-AA"
+    assert sold(again) == sold(mart)
+
+
+def test_free_sql_is_a_query_over_the_mart(spark, mart):
+    spark.range(3).createOrReplaceTempView("other")
+    assert run_sql(spark, "SELECT count(*) AS n FROM motors -- all\n;", mart).first().n == 15
+    for text in ("DROP VIEW other", "SELECT * FROM other", "INSERT INTO motors SELECT 1", "SELECT * FROM parquet.`/tmp`"):
+        with pytest.raises(Exception):  # noqa: B017
+            run_sql(spark, text, mart)
+    assert spark.table("other").count() == 3
+    spark.catalog.dropTempView("other")
 
 
 def test_csv_source_uses_the_given_schema(spark, mart, tmp_path):

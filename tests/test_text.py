@@ -1,6 +1,7 @@
 import base64
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions.codec import with_base64_text
@@ -105,3 +106,7 @@ def test_score_validation(spark):
     five = spark.createDataFrame([("a", n % 4) for n in range(5)] + [("b", 1)], "k string, score int")
     valid, rejected = pages.validate_scores(five, keys=["k"], per_entity=len(pages.CRITERIA))
     assert valid.count() == 5 and rejected.first().cause == "wrong number of scores"
+    nameless = spark.createDataFrame([(None, 1), (None, 2)], "k string, score int")
+    assert pages.validate_scores(nameless, keys=["k"], per_entity=5)[1].count() == 2
+    with pytest.raises(ValueError, match="keys"):
+        pages.validate_scores(five, per_entity=5)

@@ -73,15 +73,30 @@ def map_values(df: DataFrame, column: str, mapping: DataFrame, values: Sequence[
     return df.join(mapping.select(column, *values), column, "left")
 
 
-def reload(tables: Mapping[str, DataFrame], folder: str, order: Mapping[str, Sequence[str]]) -> None:
+# Foreign key -> the table it points at and the natural key that stands for it in staged rows.
+REFERENCES: dict[str, dict[str, tuple[str, str]]] = {
+    "orders": {"customer_id": ("customers", "customer_number")},
+    "order_items": {"order_id": ("orders", "order_number"), "motor_id": ("motors", "article_number")},
+    "motor_prices": {"motor_id": ("motors", "article_number")},
+    "inventory": {"motor_id": ("motors", "article_number")},
+}
+
+
+def reload(staged: Mapping[str, DataFrame], folder: str, order: Mapping[str, Sequence[str]]) -> None:
     """Replace all tables under ``folder``; ids start at 1 again.
 
+    Staged rows hold natural keys in place of foreign keys, which are resolved against the
+    tables just written, as an insert-select does; rows without a match are dropped.
     ``order`` names each table's insert order. Omitted columns take their default, else
     NULL. The inputs must come from elsewhere than ``folder``.
     """
-    for name, df in tables.items():
-        filled = with_defaults(df.drop("id"), name)
-        numbered = assign_ids(filled, order[name])
+    waiting = dict(staged)
+    while waiting:
+        name = next(name for name in waiting if all(parent not in waiting for parent, _ in REFERENCES.get(name, {}).values()))
+        df = waiting.pop(name)
+        for column, (parent, natural) in REFERENCES.get(name, {}).items():
+            df = resolve_keys(df, df.sparkSession.read.parquet(f"{folder}/{parent}"), {natural: natural}, "id", column)
+        numbered = assign_ids(with_defaults(df.drop("id"), name), order[name])
         schema = SALES_SCHEMAS[name]
         typed = numbered.select(
             *(

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemill.session import checkpoint_folder
 
 CHUNK_ROWS = 32_768
-# Ids of this many long groups are small enough to broadcast; beyond it they are shuffled.
-BROADCAST_GROUPS = 100_000
+# A group is cut into at most so many stretches.
+CHUNKS = 64
 
 
 def with_row_numbers(df: DataFrame, order: Sequence[str], out_col: str) -> DataFrame:
@@ -52,39 +52,35 @@ def with_preceding(
 ) -> DataFrame:
     """Add an array of ``value`` over the ``count`` rows that end at this one.
 
-    Rows of a ``group`` are ordered by ``position`` (a whole number, 0-based or
-    1-based, as a rule without repeats) and ``tie``. Without ``include_current`` the
-    array holds the ``count`` rows before this one. NULL values are left out.
+    Rows of a ``group`` are ordered by ``position`` (a number or time, NULLs first) and ``tie``. Without
+    ``include_current`` the array holds the ``count`` rows before this one. NULL values are left out; rows
+    whose group is NULL are a group.
 
-    A group is cut into chunks of ``chunk_rows`` positions and each chunk is a window
-    partition of its own, so no task gets a whole large group. The last rows of a
-    chunk are handed to the next one as extra rows. Whether there are groups longer than
-    a chunk is looked up first, a filter on ``position`` alone that row-group statistics
-    answer for stored tables; without any, this is one window and one shuffle.
+    A group of more than ``chunk_rows`` rows is cut at quantiles of its positions, found by a sketch that is
+    merged from parts, and each stretch is a window partition of its own, so no task gets a whole large
+    group. The last rows of a stretch are handed to the next one as extra rows. The plan is the same for
+    every size and runs nothing when it is built. Rows that share one position are not cut apart.
     """
     behind = count - 1 if include_current else count
     ahead = 0 if include_current else -1
-    keyed = df.withColumn("_value", value)
-    outside_first = (F.col(position) >= chunk_rows) | (F.col(position) < 0)
-    long_groups = df.filter(outside_first).select(group).distinct()
-    found = long_groups.limit(BROADCAST_GROUPS + 1).count()
-    if found == 0:
-        in_order = Window.partitionBy(group).orderBy(position, tie)
-        frame = in_order.rowsBetween(-behind, ahead)
-        return keyed.withColumn(out_col, F.collect_list("_value").over(frame)).drop("_value")
-
-    chunk = F.coalesce(F.floor(F.col(position) / chunk_rows).cast("long"), F.lit(0).cast("long"))
-    chunked = keyed.withColumn("_chunk", chunk)
-    if found <= BROADCAST_GROUPS:
-        long_groups = F.broadcast(long_groups)
+    shares = [part / CHUNKS for part in range(1, CHUNKS)]
+    cuts = df.groupBy(group).agg(
+        F.when(F.count("*") > chunk_rows, F.array_distinct(F.percentile_approx(position, shares, 10 * CHUNKS))).alias("_cuts")
+    ).withColumnRenamed(group, "_group")
+    chunk = F.when(F.col("_cuts").isNotNull() & F.col(position).isNotNull(), F.size(F.filter("_cuts", lambda cut: cut < F.col(position)))).otherwise(0)
+    chunked = (
+        df.withColumn("_value", value).join(cuts, F.col(group).eqNullSafe(F.col("_group")))
+        .withColumn("_chunk", chunk.cast("long")).withColumn("_split", F.col("_cuts").isNotNull()).drop("_group", "_cuts")
+    )
     # The filter on row_number is applied before the shuffle as well.
-    last_first = Window.partitionBy(group, "_chunk").orderBy(F.desc(position), F.desc(tie))
+    last_first = Window.partitionBy(group, "_chunk").orderBy(F.desc_nulls_last(position), F.desc(tie))
     ends = (
-        chunked.join(long_groups, group, "left_semi")
+        chunked.filter("_split")
         .select(group, "_chunk", position, tie, "_value")
         .withColumn("_rank", F.row_number().over(last_first))
         .filter(F.col("_rank") <= behind)
     )
+    # At most ``behind`` rows a stretch.
     along = Window.partitionBy(group).orderBy("_chunk", position, tie)
     handed_over = (
         ends.withColumn("_handed", F.collect_list("_value").over(along.rowsBetween(-behind, -1)))
@@ -93,7 +89,7 @@ def with_preceding(
         .select(group, "_chunk", F.posexplode("_handed").alias("_nth", "_value"))
         .withColumn("_own", F.lit(0))
     )
-    rows = chunked.withColumn("_nth", F.lit(0)).withColumn("_own", F.lit(1))
+    rows = chunked.drop("_split").withColumn("_nth", F.lit(0)).withColumn("_own", F.lit(1))
     in_order = Window.partitionBy(group, "_chunk").orderBy("_own", "_nth", position, tie)
     return (
         rows.unionByName(handed_over, allowMissingColumns=True)

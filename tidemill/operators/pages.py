@@ -70,13 +70,16 @@ def validate_scores(
     )
     judged = df.withColumn("cause", cause)
     if per_entity is not None:
+        if not keys:
+            raise ValueError("per_entity needs the keys of an entity")
         # Counted per key and joined back, so a hot key is never one window.
         other = (
             df.groupBy(*keys).agg(F.count("*").alias("_scores")).filter(F.col("_scores") != per_entity)
-            .select(*keys, F.lit(True).alias("_other"))
+            .select(*[F.col(key).alias(f"_of_{key}") for key in keys], F.lit(True).alias("_other"))
         )
+        same = [judged[key].eqNullSafe(other[f"_of_{key}"]) for key in keys]
         judged = (
-            judged.join(other, list(keys), "left")
+            judged.join(other, same, "left").drop(*[f"_of_{key}" for key in keys])
             .withColumn("cause", F.coalesce("cause", F.when(F.col("_other"), "wrong number of scores")))
             .drop("_other")
         )

@@ -24,29 +24,22 @@ def price_as_of(facts: DataFrame, prices: DataFrame, date_col: str, key: str = "
     return facts.join(spans, condition, "left").drop("_key")
 
 
-def price_as_of_long_history(
-    facts: DataFrame, prices: DataFrame, date_col: str, horizon: str, key: str = "motor_id"
-) -> DataFrame:
+def price_as_of_long_history(facts: DataFrame, prices: DataFrame, date_col: str, key: str = "motor_id") -> DataFrame:
     """``price_as_of`` for keys with very many periods.
 
-    Periods are spread over the months they touch and the month joins the equality, so a
-    fact meets only the prices of its own month. Open periods are spread up to
-    ``horizon``; facts later than that are an error.
+    Closed periods are spread over the months they touch and the month joins the equality, so a
+    fact meets only the prices of its own month. Open periods, few a key, join on the key alone, so
+    there is no last day. Facts that neither finds keep NULL prices.
     """
     month = F.trunc(F.col(date_col), "month")
-    checked = F.when(
-        F.col(date_col) > F.lit(horizon).cast("date"), F.raise_error(F.lit(f"{date_col} is after {horizon}"))
-    ).otherwise(month)
-    dated = facts.withColumn("_month", checked)
-    last = F.trunc(
-        F.least(F.coalesce("valid_to", F.lit(horizon).cast("date")), F.lit(horizon).cast("date")), "month"
-    )
-    first = F.trunc("valid_from", "month")
-    months = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 month")))
-    spans = prices.withColumn("_price_month", F.explode(months)).withColumnRenamed(key, "_key")
-    condition = (
-        (dated[key] == spans["_key"])
-        & (dated["_month"] == spans["_price_month"])
-        & _valid_on(dated[date_col], spans["valid_from"], spans["valid_to"])
-    )
-    return dated.join(spans, condition, "left").drop("_key", "_month", "_price_month")
+    spans = prices.withColumnRenamed(key, "_key")
+    months = F.sequence(F.trunc("valid_from", "month"), F.trunc("valid_to", "month"), F.expr("interval 1 month"))
+    # A period that ends before it begins holds no day.
+    closed = spans.filter("valid_from <= valid_to").withColumn("_month", F.explode(months))
+    opened = spans.filter(F.col("valid_to").isNull())
+    day = facts[date_col]
+    in_closed = (facts[key] == closed["_key"]) & (month == closed["_month"]) & _valid_on(day, closed["valid_from"], closed["valid_to"])
+    in_opened = (facts[key] == opened["_key"]) & (opened["valid_from"] <= day)
+    found = facts.join(closed, in_closed).drop("_key", "_month").unionByName(facts.join(opened, in_opened).drop("_key"))
+    rest = facts.join(closed, in_closed, "left_anti").join(opened, in_opened, "left_anti")
+    return found.unionByName(rest, allowMissingColumns=True)

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import duration_text
 from tidemill.operators.actions import BLOCKED, FALLBACK
 from tidemill.operators.rules import CATEGORIES
 
@@ -27,18 +26,20 @@ def run_stats(
     triaged: DataFrame,
     audited: DataFrame | None = None,
     resolved: DataFrame | None = None,
-    rejected: DataFrame | None = None,
+    error: Column | None = None,
 ) -> DataFrame:
-    """(counter, value) for the twelve counters of a run; 0 for a part not given."""
+    """(counter, value) for the twelve counters of a run; 0 for a part not given.
+
+    ``error`` says which triaged rows failed; they are counted in the pass over ``triaged``.
+    """
     optional = {
         ("tool_calls", "tool_blocked"): audited is None,
         ("tool_retries", "fallback_actions"): resolved is None,
-        ("errors",): rejected is None,
+        ("errors",): error is None,
     }
     zeros = {name: F.lit(0).cast("bigint") for names, absent in optional.items() if absent for name in names}
-    parts = [
-        triaged.agg(*(count.alias(name) for name, count in message_counters().items())).withColumns(zeros)
-    ]
+    counters = message_counters() | ({} if error is None else {"errors": F.count_if(error)})
+    parts = [triaged.agg(*(count.alias(name) for name, count in counters.items())).withColumns(zeros)]
     if audited is not None:
         parts.append(
             audited.agg(
@@ -53,12 +54,6 @@ def run_stats(
                 F.count_if(F.col("outcome") == FALLBACK).alias("fallback_actions"),
             )
         )
-    if rejected is not None:
-        parts.append(rejected.agg(F.count("*").alias("errors")))
     counted = [part.unpivot([], part.columns, "counter", "value") for part in parts]
     return reduce(DataFrame.unionByName, counted)
 
-
-def run_time(df: DataFrame, seconds_col: str, out_col: str = "run_time") -> DataFrame:
-    """Add the duration as text."""
-    return df.withColumn(out_col, duration_text(F.col(seconds_col)))

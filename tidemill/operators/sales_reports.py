@@ -28,9 +28,10 @@ def _delivered_items(
     return items.join(orders.select(F.col("id").alias("order_id")), "order_id")
 
 
-def delivered_qty(mart: Mapping[str, DataFrame], model: str, start: str, end: str) -> DataFrame:
-    """Delivered quantity of ``model`` in a closed range of order dates; 0 when none."""
-    sold = _delivered_items(mart, start, end, mart["motors"].filter(F.col("model") == model))
+def delivered_qty(mart: Mapping[str, DataFrame], model: str | None, start: str, end: str) -> DataFrame:
+    """Delivered quantity of ``model`` (of all motors: None) in a closed range of order dates; 0 when none."""
+    motors = mart["motors"] if model is None else mart["motors"].filter(F.col("model") == model)
+    sold = _delivered_items(mart, start, end, motors)
     return sold.agg(F.coalesce(F.sum("delivered_quantity"), F.lit(0)).alias("delivered_quantity"))
 
 

@@ -28,16 +28,22 @@ def thread_context(
     messages: DataFrame,
     out_col: str = "thread_context",
     thread: str = "thread_id",
-    position: str = "thread_pos",
+    position: str = "ts",
     tie: str = "id",
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add the text of up to three messages before each one in its thread; "" for the first."""
+    """Add the text of up to three messages before each one in its thread; "" for the first.
+
+    Messages of a thread are in the order of their arrival and then of their ids. A message without thread
+    is a thread of its own.
+    """
     block = _context_block(F.col("sender"), F.col("subject"), F.col("body"))
+    own = F.when(F.col(thread).isNull(), F.concat(F.lit("message "), F.col(tie).cast("string")))
+    named = messages.withColumn("_thread", F.coalesce(own, F.concat(F.lit("thread "), F.col(thread).cast("string"))))
     before = with_preceding(
-        messages, thread, position, tie, block, CONTEXT_MESSAGES, "_before", chunk_rows=chunk_rows
+        named, "_thread", position, tie, block, CONTEXT_MESSAGES, "_before", chunk_rows=chunk_rows
     )
-    return before.withColumn(out_col, F.array_join("_before", CONTEXT_SEPARATOR)).drop("_before")
+    return before.withColumn(out_col, F.array_join("_before", CONTEXT_SEPARATOR)).drop("_before", "_thread")
 
 
 def context_for(archive: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -436,7 +436,7 @@ def run_stats(spark, folder):
         merged,
         actions.audit_actions(calls, known),
         actions.resolve_attempts(known, calls),
-        merged.filter(F.col("category").isNull()),
+        F.col("category").isNull(),
     )
 
 

@@ -15,10 +15,8 @@ from tidemill.sources.sales import (
     ForeignKey,
     NotNull,
     Unique,
-    list_tables,
     load_sales,
     run_sql,
-    visible,
     write_layout,
 )
 from tidemill.sources.star import read_table, share_of, star_mart
@@ -105,17 +103,6 @@ def constraint_checks(spark, folder):
     return integrity.check_constraints({name: read_table(spark, folder, name) for name in names}, STAR_CONSTRAINTS)
 
 
-@SALES.named(
-    "table_listing",
-    "SELECT table_name FROM (VALUES ('motors'), ('customers'), ('orders'), ('order_items'),"
-    " ('motor_prices'), ('inventory')) t(table_name)",
-)
-def table_listing(spark, folder):
-    mart = star_mart(spark, folder)
-    with visible(spark, mart):
-        return list_tables(spark).filter(F.col("table_name").isin(list(mart)))
-
-
 @SALES.named(
     "assign_ids",
     "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id, o_orderkey FROM orders",
@@ -200,8 +187,10 @@ def expand_price_list(spark, folder):
 )
 def delivered_qty(spark, folder):
     mart = star_mart(spark, folder)
-    model = mart["motors"].agg(F.max("model")).first()[0]
-    return sales_reports.delivered_qty(mart, model, "1996-01-01", "1999-06-30")
+    # The last model by name, found within the query.
+    last = mart["motors"].agg(F.max("model").alias("model"))
+    only = {**mart, "motors": mart["motors"].join(last, "model", "left_semi")}
+    return sales_reports.delivered_qty(only, None, "1996-01-01", "1999-06-30")
 
 
 @SALES.named(
@@ -272,9 +261,7 @@ def price_as_of(spark, folder):
 @SALES.named("price_as_of_long_history", PRICE_AS_OF)
 def price_as_of_long_history(spark, folder):
     mart = star_mart(spark, folder)
-    return _per_price(
-        pricing.price_as_of_long_history(mart["order_items"], mart["motor_prices"], "ship_date", "2002-12-31")
-    )
+    return _per_price(pricing.price_as_of_long_history(mart["order_items"], mart["motor_prices"], "ship_date"))
 
 
 @SALES.named(
@@ -325,16 +312,30 @@ def free_sql(spark, folder):
 
 @SALES.named(
     "mart_reload",
-    """SELECT 'motors' AS table_name, count(*) AS rows_loaded, count(*) AS last_id FROM part
+    """SELECT 'motors' AS name, count(*) AS rows_loaded, count(*) AS total FROM part
     UNION ALL SELECT 'customers', count(*), count(*) FROM customer
     UNION ALL SELECT 'orders', count(*), count(*) FROM orders
     UNION ALL SELECT 'order_items', count(*), count(*) FROM lineitem
     UNION ALL SELECT 'motor_prices', 7 * count(*), 7 * count(*) FROM part
-    UNION ALL SELECT 'inventory', count(*), count(*) FROM part""",
+    UNION ALL SELECT 'inventory', count(*), count(*) FROM part
+    UNION ALL SELECT 'MTR-' || l_partkey, count(*), CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) FROM lineitem GROUP BY 1
+    UNION ALL SELECT c_name, count(*), CAST(sum(CAST(l_quantity AS INT)) AS BIGINT)
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1
+    UNION ALL SELECT 'MTR-' || p_partkey || ' in stock', 1, p_size FROM part""",
 )
 def mart_reload(spark, folder):
-    """Reload all six tables and read them back by their schemas."""
+    """Reload all six tables by natural keys, then read them back and follow their new keys."""
     mart = star_mart(spark, folder)
+    article = F.concat(F.lit("MTR-"), F.col("motor_id").cast("string")).alias("article_number")
+    number = F.concat(F.lit("ORD-"), F.col("order_id").cast("string")).alias("order_number")
+    customers = mart["customers"].select(F.col("id").alias("customer_id"), "customer_number")
+    staged = {
+        **mart,
+        "orders": mart["orders"].join(customers, "customer_id").drop("customer_id"),
+        "order_items": mart["order_items"].select("*", article, number).drop("order_id", "motor_id"),
+        "motor_prices": mart["motor_prices"].select("*", article).drop("motor_id"),
+        "inventory": mart["inventory"].select("*", article).drop("motor_id"),
+    }
     order = {
         "motors": ["article_number"],
         "customers": ["customer_number"],
@@ -343,12 +344,27 @@ def mart_reload(spark, folder):
         "motor_prices": ["motor_id", "valid_from"],
         "inventory": ["motor_id"],
     }
-    keyless = {name: df.drop("id") for name, df in mart.items()}
     target = f"{checkpoint_folder(spark)}/mart-{uuid.uuid4().hex}"
-    loading.reload(keyless, target, order)
+    loading.reload(staged, target, order)
+    loaded = load_sales(spark, target)
     counts = [
-        df.agg(F.count("*").alias("rows_loaded"), F.max("id").alias("last_id")).withColumn("table_name", F.lit(name))
-        for name, df in load_sales(spark, target).items()
+        df.agg(F.count("*").alias("rows_loaded"), F.max("id").alias("total")).withColumn("name", F.lit(name))
+        for name, df in loaded.items()
+    ]
+    motors = loaded["motors"].select(F.col("id").alias("motor_id"), "article_number")
+    buyers = loaded["orders"].select(F.col("id").alias("order_id"), "customer_id").join(
+        loaded["customers"].select(F.col("id").alias("customer_id"), "customer_number"), "customer_id"
+    )
+    sums = [F.count("*").alias("rows_loaded"), F.sum("quantity").alias("total")]
+    items = loaded["order_items"]
+    counts += [
+        items.join(motors, "motor_id").groupBy(F.col("article_number").alias("name")).agg(*sums),
+        items.join(buyers, "order_id").groupBy(F.col("customer_number").alias("name")).agg(*sums),
+        loaded["inventory"].join(motors, "motor_id").select(
+            F.concat("article_number", F.lit(" in stock")).alias("name"),
+            F.lit(1).cast("bigint").alias("rows_loaded"),
+            F.col("quantity_available").cast("bigint").alias("total"),
+        ),
     ]
     return reduce(DataFrame.unionByName, counts)
 

@@ -12,7 +12,6 @@ MESSAGE_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
         T.StructField("thread_id", T.StringType()),
-        T.StructField("thread_pos", T.IntegerType()),
         T.StructField("ts", T.TimestampNTZType()),
         T.StructField("labels", T.ArrayType(T.StringType())),
         T.StructField(
@@ -54,7 +53,6 @@ def export_messages(export: DataFrame) -> DataFrame:
     return export.filter(F.col("doc").isNotNull()).select(
         _field("$.id", "string").alias("id"),
         _field("$.threadId", "string").alias("thread_id"),
-        _field("$.threadPosition", "int").alias("thread_pos"),
         (F.lit("1970-01-01").cast("timestamp_ntz") + since).alias("ts"),
         _field("$.labelIds", "array<string>").alias("labels"),
         _field("$.payload.headers", "array<struct<name:string,value:string>>").alias("headers"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -127,25 +128,37 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+_one_at_a_time = threading.RLock()
+
+
 @contextmanager
 def visible(spark: SparkSession, tables: dict[str, DataFrame]) -> Iterator[None]:
-    """The tables as views while a query is analysed; views they hide come back afterwards."""
-    hidden = {name: spark.table(name) for name in tables if spark.catalog.tableExists(name)}
-    register_views(tables)
-    try:
-        yield
-    finally:
-        for name in tables:
-            if name in hidden:
-                hidden[name].createOrReplaceTempView(name)
-            else:
+    """The tables as the only views while a query is analysed; views they hide come back afterwards."""
+    with _one_at_a_time:
+        views = [table.name for table in spark.catalog.listTables() if table.isTemporary]
+        hidden = {name: spark.table(name) for name in views}
+        for name in views:
+            spark.catalog.dropTempView(name)
+        register_views(tables)
+        try:
+            yield
+        finally:
+            for name in tables:
                 spark.catalog.dropTempView(name)
+            for name, view in hidden.items():
+                view.createOrReplaceTempView(name)
 
 
 def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """A query over the tables; unknown tables and columns fail at analysis."""
+    """A query over the tables; unknown tables and columns, other views, files and all but queries fail at analysis."""
     with visible(spark, tables):
-        return spark.sql(text)
+        files = spark.conf.get("spark.sql.runSQLOnFiles")
+        spark.conf.set("spark.sql.runSQLOnFiles", "false")
+        try:
+            # Only a query can stand in brackets.
+            return spark.sql(f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)")
+        finally:
+            spark.conf.set("spark.sql.runSQLOnFiles", files)
 
 
 def list_tables(spark: SparkSession) -> DataFrame:
