@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.codec import with_base64_text
 from tidemill.functions.text import duration_text
-from tidemill.operators import actions, bodies, rules, runstats, search, threads
+from tidemill.operators import actions, bodies, records, rules, runstats, search, threads
 from tidemill.operators.rules import ADVERTISEMENT, IMPORTANT, MAIL_RULES, MARKETING_TERMS, NORMAL, UNCERTAIN, Rule, Terms
 from tidemill.plans.registry import Registry
 from tidemill.session import checkpoint_folder
@@ -200,6 +200,167 @@ def export_bodies(spark, folder):
     return bodies.select_body(mailbox.export_parts(mailbox.read_export(spark, target)))
 
 
+EMAILS = """
+WITH messages AS (
+  SELECT conv_id || '-' || turn AS id, CAST(conv_id AS VARCHAR) AS thread_id,
+    TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id % 8760) + to_minutes(turn) AS ts,
+    CASE (conv_id + turn) % 8 WHEN 0 THEN 'device@coolkit.cc' WHEN 1 THEN 'info@MojeDatovaSchranka.cz'
+      WHEN 2 THEN 'updates-noreply@linkedin.com' ELSE role || '@example.org' END AS sender,
+    'box' || (conv_id % 50) || '@example.org' AS recipient,
+    CASE (3 * conv_id + turn) % 10 WHEN 0 THEN 'Scene is triggered' WHEN 1 THEN 'Nová zpráva' WHEN 2 THEN 'FAKTURA 7'
+      WHEN 3 THEN 'Newsletter: promo and bonus' WHEN 4 THEN 'Special offer' WHEN 5 THEN 'Security alert'
+      WHEN 6 THEN 'Invoice overdue' WHEN 7 THEN 'Mail Delivery Failed' ELSE 'Re: ' || role END AS subject,
+    'day ' || turn AS date, CASE WHEN turn % 4 = 1 THEN '<mailto:leave>' ELSE '' END AS list_unsubscribe, '' AS list_id,
+    CASE WHEN (conv_id + 2 * turn) % 7 <> 0 THEN text END AS body
+  FROM conversations),
+decided AS (SELECT *,
+    CASE WHEN contains(lower(sender), 'coolkit.cc') AND contains(lower(subject), 'scene') THEN 1
+      WHEN contains(lower(sender), 'mojedatovaschranka.cz') AND contains(lower(subject), 'nová zpráva') THEN 2
+      WHEN contains(lower(subject), 'mail delivery failed') THEN 3
+      WHEN contains(lower(subject), 'security alert') THEN 4
+      WHEN contains(lower(subject), 'faktura') THEN 5
+      WHEN contains(lower(sender), 'updates-noreply@linkedin.com') THEN 6
+      WHEN list_unsubscribe <> '' AND (contains(lower(subject), 'newsletter') OR contains(lower(subject), 'special offer')) THEN 7
+      WHEN contains(lower(subject), 'newsletter') THEN 8 END AS rule,
+    coalesce(string_agg(chr(10) || 'FROM:' || chr(10) || sender || chr(10) || chr(10) || 'SUBJECT:' || chr(10) || subject
+      || chr(10) || chr(10) || 'BODY:' || chr(10) || left(coalesce(body, ''), 2500) || chr(10),
+      chr(10) || '--- PREVIOUS MESSAGE ---' || chr(10))
+      OVER (PARTITION BY thread_id ORDER BY ts, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS thread_context
+  FROM messages),
+judged AS (SELECT *, CASE WHEN body IS NOT NULL THEN rule END AS rule_id,
+    CASE WHEN body IS NULL THEN NULL WHEN rule IN (2, 3, 4) THEN 'IMPORTANT' WHEN rule IN (1, 5) THEN 'NORMAL'
+      WHEN rule IN (6, 7, 8) THEN 'ADVERTISEMENT' END AS category FROM decided)
+SELECT id, thread_id, ts, sender, recipient, subject, date, list_unsubscribe, md5(thread_context) AS context_md5,
+  md5(body) AS body_md5, category, CAST(rule_id AS INT) AS rule_id, CASE WHEN body IS NULL THEN 'unreadable body' END AS cause,
+  CASE category WHEN 'IMPORTANT' THEN ['INBOX', 'IMPORTANT', 'AI_PROCESSED', 'AI_IMPORTANT']
+    WHEN 'NORMAL' THEN ['INBOX', 'AI_PROCESSED', 'AI_NORMAL'] WHEN 'ADVERTISEMENT' THEN ['AI_PROCESSED', 'AI_ADVERTISEMENT']
+    ELSE ['INBOX'] END AS labels_after
+FROM judged
+"""
+
+
+def _written(spark: SparkSession, lines: DataFrame, name: str) -> DataFrame:
+    """An export of these lines (a column value), written as text and read as an export."""
+    target = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    lines.write.text(target)
+    return mailbox.read_export(spark, target)
+
+
+def _conversation_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as a JSON export: mixed header names, nested parts, and html that no parser reads."""
+    turns = read_table(spark, folder, "conversations")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    subjects = (
+        "Scene is triggered", "Nová zpráva", "FAKTURA 7", "Newsletter: promo and bonus", "Special offer", "Security alert",
+        "Invoice overdue", "Mail Delivery Failed",
+    )
+    subject, sender = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for number, text in enumerate(subjects):
+        subject = subject.when((3 * conv + turn) % 10 == number, text)
+    for number, text in enumerate(("device@coolkit.cc", "info@MojeDatovaSchranka.cz", "updates-noreply@linkedin.com")):
+        sender = sender.when((conv + turn) % 8 == number, text)
+    seconds = F.lit(1_704_067_200) + (conv % 8760) * 3600 + turn * 60
+
+    def header(name, value):
+        return F.struct(F.lit(name).alias("name"), value.alias("value"))
+
+    def part(mime, data, below=None):
+        body = F.struct(data.alias("data"))
+        return F.struct(F.lit(mime).alias("mimeType"), body.alias("body"), *([F.array(*below).alias("parts")] if below else []))
+
+    headers = F.array(
+        header("From", sender.otherwise(F.concat("role", F.lit("@example.org")))),
+        header("TO", F.concat(F.lit("box"), (conv % 50).cast("string"), F.lit("@example.org"))),
+        header("subject", F.lit("an earlier one")),
+        header("Subject", subject.otherwise(F.concat(F.lit("Re: "), "role"))),
+        header("Date", F.concat(F.lit("day "), turn.cast("string"))),
+        header("List-Unsubscribe", F.when(turn % 4 == 1, "<mailto:leave>").otherwise("")),
+    )
+    unreadable = (conv + 2 * turn) % 7 == 0
+    html = F.concat(F.lit("<p>"), F.when(unreadable, F.repeat(F.lit("&#9"), 2)), F.repeat(F.lit("9"), 5_000), F.lit(";"))
+    plain = part("text/plain", F.when(~unreadable, archive.url_safe_base64(F.col("text"))))
+    nothing = F.lit(None).cast("string")
+    page = part("text/html", F.when(unreadable, archive.url_safe_base64(html)))
+    tree = part("multipart/mixed", nothing, [part("multipart/alternative", nothing, [plain, page])])
+    payload = F.struct(headers.alias("headers"), *[tree[name].alias(name) for name in ("mimeType", "body", "parts")])
+    message = F.struct(
+        F.concat_ws("-", conv.cast("string"), turn.cast("string")).alias("id"),
+        conv.cast("string").alias("threadId"),
+        (seconds * 1000).cast("string").alias("internalDate"),
+        F.array(F.lit("INBOX")).alias("labelIds"),
+        payload.alias("payload"),
+    )
+    return _written(spark, turns.select(F.to_json(message).alias("value")), "emails")
+
+
+@MAIL.named("email_triage", EMAILS)
+def email_triage(spark, folder):
+    """From an export to labels: headers, bodies and thread context put together, then the rules."""
+    emails = records.email_records(_conversation_export(spark, folder))
+    judged = triage(emails).select("id", "category", "rule_id", "cause", "labels_after")
+    fields = emails.select(
+        "id", "thread_id", "ts", "sender", "recipient", "subject", "date", "list_unsubscribe",
+        F.md5("thread_context").alias("context_md5"), F.md5("body").alias("body_md5"),
+    )
+    return fields.join(judged, "id")
+
+
+@MAIL.named(
+    "export_rejects",
+    """SELECT CASE WHEN doc_id % 10 = 2 THEN CAST(doc_id AS VARCHAR) END AS id,
+    CASE doc_id % 10 WHEN 0 THEN 'unreadable line' WHEN 1 THEN 'missing id' ELSE 'missing payload' END AS cause, count(*) AS lines
+    FROM documents WHERE doc_id % 10 < 3 GROUP BY 1, 2""",
+)
+def export_rejects(spark, folder):
+    """What is wrong with the lines of an export that is cut, or lacks ids or payloads, here and there."""
+    kind = F.col("doc_id") % 10
+    payload = F.struct(F.lit("text/plain").alias("mimeType"), F.struct(archive.url_safe_base64(F.col("text")).alias("data")).alias("body"))
+    whole = F.to_json(
+        F.struct(
+            F.when(kind != 1, F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("threadId"),
+            F.when(kind != 2, payload).alias("payload"),
+        )
+    )
+    lines = read_table(spark, folder, "documents").select(
+        F.when(kind == 0, F.left(whole, F.length(whole) - 3)).otherwise(whole).alias("value")
+    )
+    rejects = mailbox.export_rejects(_written(spark, lines, "rejects"))
+    return rejects.groupBy("id", "cause").agg(F.count("*").alias("lines"))
+
+
+@MAIL.named(
+    "part_rejects",
+    """WITH d AS (SELECT *, doc_id % 6 AS k, CAST(doc_id AS VARCHAR) AS name FROM documents)
+    SELECT name AS message_id, []::INTEGER[] AS path, CAST(NULL AS VARCHAR) AS cause, md5(text) AS body_md5 FROM d WHERE k IN (0, 3, 5)
+    UNION ALL SELECT name, [0], 'missing root', NULL FROM d WHERE k = 1
+    UNION ALL SELECT name, [], NULL, md5('') FROM d WHERE k = 2
+    UNION ALL SELECT name, [0, 0], 'missing parent', NULL FROM d WHERE k = 2
+    UNION ALL SELECT name, [0], 'repeated part', NULL FROM d WHERE k = 3
+    UNION ALL SELECT NULL, [], 'missing id', NULL FROM d WHERE k = 4""",
+)
+def part_rejects(spark, folder):
+    """Part tables with gaps: every message comes out with a body or with causes, and nothing is counted twice."""
+    text = archive.url_safe_base64(F.col("text"))
+    none = F.lit(None).cast("string")
+
+    def part(path, mime, data):
+        at = F.array(*map(F.lit, path)).cast("array<int>")
+        return F.struct(at.alias("path"), F.lit(mime).alias("mime_type"), data.alias("data"))
+
+    deep = F.array(*[part([0] * level, "multipart/mixed", none) for level in range(20)], part([0] * 20, "text/plain", text))
+    plain, mixed = part([0], "text/plain", text), part([], "multipart/mixed", none)
+    trees = (F.array(part([], "text/plain", text)), F.array(plain), F.array(mixed, part([0, 0], "text/plain", text)), F.array(mixed, plain, plain))
+    tree = F.when(F.lit(False), trees[0])
+    for number, shape in enumerate((*trees, trees[0], deep)):
+        tree = tree.when(F.col("doc_id") % 6 == number, shape)
+    name = F.when(F.col("doc_id") % 6 != 4, F.col("doc_id").cast("string"))
+    parts = read_table(spark, folder, "documents").select(name.alias("message_id"), F.explode(tree).alias("_p")).select("message_id", "_p.*")
+    chosen = bodies.select_body(parts).select(
+        "message_id", F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("cause"), F.md5("body").alias("body_md5")
+    )
+    return chosen.unionByName(bodies.part_rejects(parts).withColumn("body_md5", F.lit(None).cast("string")))
+
+
 @MAIL.named(
     "thread_context",
     CONVERSATIONS + """SELECT id, coalesce(string_agg(
