@@ -15,7 +15,7 @@ from tidemill.plans.registry import Registry
 from tidemill.session import checkpoint_folder
 from tidemill.sources import archive, mailbox
 from tidemill.sources.star import read_table
-from tidemill.streaming.triage import triage, triage_stream
+from tidemill.streaming.triage import outcomes, triage, triage_stream, triage_waiting
 
 MAIL = Registry()
 
@@ -731,19 +731,32 @@ def triage_documents(spark, folder):
 TRIAGE_STREAM = DOCUMENTS + MERGED + "SELECT id, category, source, labels_after FROM relabelled"
 
 
-@MAIL.named("triage_stream", TRIAGE_STREAM)
-def triage_from_stream(spark, folder):
-    """The same triage as an incremental run over the document files, drained to the end."""
-    target = f"{checkpoint_folder(spark)}/triage-{uuid.uuid4().hex}"
-    query = triage_stream(
+def _document_stream(spark, folder, target, external=None):
+    return triage_stream(
         spark,
         folder,
         read_table(spark, folder, "documents").schema,
         f"{target}/sink",
         f"{target}/checkpoint",
-        external=archive.external_labels(read_table(spark, folder, "labels")),
+        external=external,
         glob="documents.parquet",
         prepare=archive.document_messages,
     )
-    query.awaitTermination()
+
+
+@MAIL.named("triage_stream", TRIAGE_STREAM)
+def triage_from_stream(spark, folder):
+    """The same triage as an incremental run over the document files, drained to the end."""
+    target = f"{checkpoint_folder(spark)}/triage-{uuid.uuid4().hex}"
+    labels = archive.external_labels(read_table(spark, folder, "labels"))
+    _document_stream(spark, folder, target, labels).awaitTermination()
     return spark.read.parquet(f"{target}/sink").select("id", "category", "source", "labels_after")
+
+
+@MAIL.named("triage_stream_resumed", TRIAGE_STREAM)
+def triage_stream_resumed(spark, folder):
+    """A run without outside labels, and a second one after they have arrived: as if they had been there at once."""
+    target = f"{checkpoint_folder(spark)}/triage-{uuid.uuid4().hex}"
+    _document_stream(spark, folder, target).awaitTermination()
+    triage_waiting(spark, f"{target}/sink", archive.external_labels(read_table(spark, folder, "labels")))
+    return outcomes(spark, f"{target}/sink").select("id", "category", "source", "labels_after")

@@ -52,16 +52,74 @@ def triage(
     return planned.withColumn("labels_after", F.col("labels") if dry_run else after).select(*OUTPUT)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def _without_labelled(batch: DataFrame, sink: str, batch_id: int) -> DataFrame:
     """Leave out messages an earlier batch labelled."""
-    try:
-        done = batch.sparkSession.read.parquet(sink)
-    except AnalysisException:
+    if not _exists(batch.sparkSession, sink):
         return batch
+    done = batch.sparkSession.read.parquet(sink)
     earlier = done.filter((F.col("batch") < batch_id) & F.col("category").isNotNull()).select("id")
     return batch.join(earlier, "id", "left_anti")
 
 
+def _settle(
+    spark: SparkSession, waiting: DataFrame, place: tuple[int, int], sink: str,
+    external: DataFrame | None, rules: Sequence[Rule], dry_run: bool,
+) -> None:
+    """Triage some messages into the sink; those left undecided wait, whole, for the next run."""
+    batch, attempt = place
+    counters = Observation(f"triage-{batch}-{attempt}")
+    counts = [count.alias(name) for name, count in message_counters().items()]
+    counts.append(F.count_if(F.col("cause").isNotNull()).alias("errors"))
+    at = f"batch={batch}/attempt={attempt}"
+    result = triage(waiting, external, rules, dry_run).observe(counters, *counts)
+    result.write.mode("overwrite").parquet(f"{sink}/{at}")
+    open_ids = spark.read.parquet(f"{sink}/{at}").filter(F.col("category").isNull()).select("id")
+    undecided = waiting.join(open_ids, waiting["id"].eqNullSafe(open_ids["id"]), "left_semi")
+    undecided.write.mode("overwrite").parquet(f"{sink}_waiting/{at}")
+    stats = spark.createDataFrame(list(counters.get.items()), "counter string, value bigint")
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{sink}_stats/{at}")
+
+
+def triage_waiting(
+    spark: SparkSession, sink: str, external: DataFrame | None = None, rules: Sequence[Rule] = MAIL_RULES, dry_run: bool = False
+) -> bool:
+    """Take up all messages that earlier runs left undecided, with the labels there are now; False when none wait.
+
+    Each batch keeps what still waits of it, so only that is read again. Run it between runs of the stream,
+    not beside one.
+    """
+    if not _exists(spark, f"{sink}_waiting"):
+        return False
+    held = spark.read.parquet(f"{sink}_waiting")
+    # One row a batch: its last attempt.
+    last = held.groupBy("batch").agg(F.max("attempt").alias("attempt"))
+    due = held.join(last, ["batch", "attempt"], "left_semi")
+    places = {row["batch"]: row["attempt"] for row in due.select("batch", "attempt").distinct().collect()}
+    for batch, attempt in sorted(places.items()):
+        rows = due.filter((F.col("batch") == batch) & (F.col("attempt") == attempt)).drop("batch", "attempt")
+        _settle(spark, rows, (batch, attempt + 1), sink, external, rules, dry_run)
+    return bool(places)
+
+
+def outcomes(spark: SparkSession, sink: str) -> DataFrame:
+    """The last outcome of each message in a sink."""
+    results = spark.read.parquet(sink)
+    decided = F.struct(F.col("category").isNotNull().alias("done"), "batch", "attempt")
+    names = [name for name in results.columns if name not in ("batch", "attempt")]
+    last = results.groupBy("id").agg(F.max_by(F.struct(*names), decided).alias("_row"))
+    return last.select("_row.*")
+
+
 def triage_stream(
     spark: SparkSession,
     source: str,
@@ -76,15 +134,21 @@ def triage_stream(
     glob: str | None = None,
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
     skip_labelled: bool = False,
+    form: str = "parquet",
 ) -> StreamingQuery:
     """Process every file not seen before, then stop. Start again to go on.
 
     ``files_per_batch`` bounds each batch of a backlog; without it all new files are one
-    batch. A batch writes ``sink/batch=<n>`` by overwriting, so a batch repeated after a
-    failure leaves one copy. Its counters go to ``<sink>_stats``. ``skip_labelled`` also
+    batch. A batch writes ``sink/batch=<n>/attempt=0`` by overwriting, so a batch repeated after a
+    failure leaves one copy. Its counters go to ``<sink>_stats``, messages it could not decide
+    to ``<sink>_waiting``, from where ``triage_waiting`` takes them up again. ``skip_labelled`` also
     looks new messages up among those labelled before, for sources that deliver a
     message again without its labels; it reads the ids of the whole sink in each batch.
+    ``form`` is the file format of the source: with "text", ``prepare`` gets the lines of an export.
+    A sink that a stream with another checkpoint filled is refused, as its batches would be overwritten.
     """
+    if _exists(spark, sink) and not _exists(spark, f"{checkpoint}/metadata"):
+        raise ValueError(f"{sink} was filled by a stream with another checkpoint than {checkpoint}")
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -95,18 +159,10 @@ def triage_stream(
         waiting = unprocessed(prepare(batch), scope)
         if skip_labelled:
             waiting = _without_labelled(waiting, sink, batch_id)
-        counters = Observation(f"triage-{batch_id}")
-        counts = [count.alias(name) for name, count in message_counters().items()]
-        counts.append(F.count_if(F.col("cause").isNotNull()).alias("errors"))
-        result = triage(waiting, external, rules, dry_run).observe(counters, *counts)
-        result.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        stats = batch.sparkSession.createDataFrame(
-            list(counters.get.items()), "counter string, value bigint"
-        )
-        stats.coalesce(1).write.mode("overwrite").parquet(f"{sink}_stats/batch={batch_id}")
+        _settle(batch.sparkSession, waiting, (batch_id, 0), sink, external, rules, dry_run)
 
     return (
-        reader.parquet(source)
+        reader.format(form).load(source)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
