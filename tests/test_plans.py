@@ -9,14 +9,14 @@ from tidemill.operators import bodies, rules
 from tidemill.sources import archive
 from tidemill.sources.star import read_table
 
-QUERIES = entry.queries()
+QUERIES = {name: build for plan in (entry.SALES, entry.PAGES, entry.MAIL) for name, build in plan.queries.items()}
 
 
 def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"triage_stream", "mart_reload", "mart_layout"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_compares_all_pairs(name, spark, small):
     plan = physical(QUERIES[name](spark, small))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -66,3 +66,8 @@ def test_label_statistics_shuffle_counts_only(spark, small):
 def test_date_filters_reach_the_scan(spark, small):
     plan = physical(QUERIES["delivered_by_family"](spark, small))
     assert "o_orderdate" in re.search(r"ReadSchema: struct<o_orderkey[^>]*>", plan).group()
+
+
+@pytest.mark.parametrize("name,scans", [("applied_labels", 2), ("merged_labels", 2), ("run_stats", 8), ("quarantined_events", 1)])
+def test_scans_are_few(name, scans, spark, small):
+    assert physical(QUERIES[name](spark, small)).count("FileScan") <= scans

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from tidemill.operators import actions, rules, runstats, search
 from tidemill.sources.archive import document_messages, external_labels
 from tidemill.sources.star import read_table
-from tidemill.streaming.triage import triage, triage_stream
+from tidemill.streaming.triage import outcomes, triage, triage_stream, triage_waiting
 
 MESSAGE = "id string, sender string, subject string, body string, list_unsubscribe string, list_id string"
 
@@ -268,3 +268,26 @@ def test_repeated_batch_leaves_one_copy(spark, stream):
     for path in (last, last.with_name(f".{last.name}.crc")):
         path.unlink(missing_ok=True)
     assert essentials(run(files_per_batch=3)) == before
+
+
+def test_undecided_messages_come_back(spark, stream):
+    run, messages, outside, source, folder = stream
+    ahead = outside.limit(0)
+    out = str(folder / "later")
+    triage_stream(spark, str(source), messages.schema, out, str(folder / "later-ckpt"), external=ahead, files_per_batch=2).awaitTermination()
+    assert outcomes(spark, out).filter("category IS NULL").count() > 2
+    assert triage_waiting(spark, out, outside)
+    whole = triage(spark.read.parquet(str(source)), outside)
+    assert essentials(outcomes(spark, out)) == essentials(whole)
+    # What no one can decide goes on waiting, once.
+    waiting = whole.filter("category IS NULL").count()
+    assert triage_waiting(spark, out, outside)
+    assert outcomes(spark, out).filter("category IS NULL").count() == waiting
+    assert not triage_waiting(spark, str(folder / "nothing"))
+
+
+def test_a_new_checkpoint_over_an_old_sink_is_refused(spark, stream):
+    run, messages, _, source, folder = stream
+    run()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        triage_stream(spark, str(source), messages.schema, str(folder / "out"), str(folder / "other"))

@@ -99,11 +99,13 @@ def resolve_attempts(plan: DataFrame, log: DataFrame, max_attempts: int = MAX_AT
     """Which attempt settled each planned message.
 
     ``log`` holds message_id, attempt (1, 2, …), seq (order of calls within an attempt),
-    tool and ok. The last call of an attempt decides it; the first attempt that
+    tool and ok; with the verdict of ``audit_actions`` in it, a BLOCKED call is no success. The last call of an attempt decides it; the first attempt that
     succeeded counts; when none of the allowed ones did, the planned action is made as
     a fallback. Everything a message needs is one aggregate, so a message with very
     many calls is combined before the shuffle.
     """
+    if "verdict" in log.columns:
+        log = log.withColumn("ok", F.col("ok") & (F.col("verdict") == OK))
     attempts = range(1, max_attempts + 1)
     # At most one row per message and attempt leaves the map side.
     last = [
@@ -124,13 +126,16 @@ def resolve_attempts(plan: DataFrame, log: DataFrame, max_attempts: int = MAX_AT
     ).drop(*(f"_try{n}" for n in attempts))
 
 
-def quarantine(df: DataFrame, causes: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows fit for use, and the others with the first ``cause`` whose condition holds.
+def with_cause(df: DataFrame, causes: Mapping[str, Column]) -> DataFrame:
+    """Add the first ``cause`` whose condition holds; NULL for a row fit for use.
 
     A condition that comes out NULL counts as holding.
     """
-    found = F.coalesce(
-        *(F.when(F.coalesce(condition, F.lit(True)), F.lit(name)) for name, condition in causes.items())
-    )
-    judged = df.withColumn("cause", found)
+    found = (F.when(F.coalesce(condition, F.lit(True)), F.lit(name)) for name, condition in causes.items())
+    return df.withColumn("cause", F.coalesce(*found))
+
+
+def quarantine(df: DataFrame, causes: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows fit for use, and the others with their cause."""
+    judged = with_cause(df, causes)
     return judged.filter(F.col("cause").isNull()).drop("cause"), judged.filter(F.col("cause").isNotNull())

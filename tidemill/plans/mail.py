@@ -477,15 +477,20 @@ def action_plan(spark, folder):
 
 @MAIL.named("applied_labels", DOCUMENTS + MERGED + "SELECT id, labels_after AS labels FROM relabelled")
 def applied_labels(spark, folder):
+    """The plan was made from these messages, so it already holds their labels."""
     plan = actions.plan_actions(_merged(spark, folder))
-    messages = archive.documents(spark, folder).select("id", "labels")
-    return actions.apply_actions(messages, plan)
+    return plan.select("id", actions.changed_labels(F.col("labels"), F.col("add_labels"), F.col("remove_labels")).alias("labels"))
 
 
-@MAIL.named("applied_labels_dry_run", DOCUMENTS + "SELECT id, labels FROM messages")
+@MAIL.named(
+    "applied_labels_dry_run",
+    DOCUMENTS + MERGED + "SELECT id, category, source, add_labels, remove_labels, labels AS labels_after FROM planned",
+)
 def applied_labels_dry_run(spark, folder):
-    plan = actions.plan_actions(_merged(spark, folder))
-    return actions.apply_actions(archive.documents(spark, folder).select("id", "labels"), plan, dry_run=True)
+    """The same plan as a real run, and labels as they were."""
+    outside = archive.external_labels(read_table(spark, folder, "labels"))
+    planned = triage(archive.documents(spark, folder), outside, dry_run=True)
+    return planned.select("id", "category", "source", "add_labels", "remove_labels", "labels_after")
 
 
 LABEL_STATS = """SELECT l AS label, (SELECT count(*) FROM {source} WHERE list_contains({labels}, l)) AS message_count
@@ -517,8 +522,8 @@ audited AS (SELECT c.event_id, c.message_id, k.category, CASE WHEN c.target_id <
       OR (c.tool = 'leave_email_unchanged' AND k.category IN ('NORMAL', 'UNCERTAIN')) THEN NULL
     ELSE 'wrong category' END AS cause
   FROM calls c LEFT JOIN known k ON c.message_id = k.id),
-last_calls AS (SELECT message_id, attempt, arg_max(ok, seq) AS ok, arg_max(tool, seq) AS tool FROM calls
-  WHERE attempt <= 2 GROUP BY 1, 2),
+last_calls AS (SELECT c.message_id, attempt, arg_max(ok AND cause IS NULL, seq) AS ok, arg_max(tool, seq) AS tool
+  FROM calls c JOIN audited a ON c.event_id = a.event_id WHERE attempt <= 2 GROUP BY 1, 2),
 resolved AS (SELECT k.id, k.category,
     CAST(CASE WHEN a.ok THEN 1 WHEN b.ok THEN 2 END AS INT) AS attempt,
     CASE WHEN a.ok THEN a.tool WHEN b.ok THEN b.tool END AS tool,
@@ -572,7 +577,9 @@ def action_audit(spark, folder):
 
 @MAIL.named("attempt_resolution", CALLS + "SELECT id, category, attempt, tool, outcome, retries FROM resolved")
 def attempt_resolution(spark, folder):
-    return actions.resolve_attempts(_known_messages(spark, folder), _calls(spark, folder))
+    known = _known_messages(spark, folder)
+    audited = actions.audit_actions(_calls(spark, folder), known).drop("category")
+    return actions.resolve_attempts(known, audited)
 
 
 @MAIL.named(
@@ -592,11 +599,12 @@ def attempt_resolution(spark, folder):
 )
 def run_stats(spark, folder):
     merged = _merged(spark, folder)
-    calls, known = _calls(spark, folder), _known_messages(spark, folder)
+    known = _known_messages(spark, folder)
+    audited = actions.audit_actions(_calls(spark, folder), known).drop("category")
     return runstats.run_stats(
         merged,
-        actions.audit_actions(calls, known),
-        actions.resolve_attempts(known, calls),
+        audited,
+        actions.resolve_attempts(known, audited),
         F.col("category").isNull(),
     )
 
@@ -609,7 +617,7 @@ def run_stats(spark, folder):
 )
 def quarantined_events(spark, folder):
     number = F.get_json_object("props", "$.k").try_cast("int")
-    fit, rejected = actions.quarantine(
+    judged = actions.with_cause(
         read_table(spark, folder, "events").select("event_id", "event_type", "props"),
         {
             "unreadable properties": number.isNull(),
@@ -617,9 +625,7 @@ def quarantined_events(spark, folder):
             "failed": F.col("event_type") == "error",
         },
     )
-    return rejected.select("event_id", "cause").unionByName(
-        fit.select("event_id", F.lit(None).cast("string").alias("cause"))
-    )
+    return judged.select("event_id", "cause")
 
 
 @MAIL.named(

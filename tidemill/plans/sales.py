@@ -114,13 +114,33 @@ def assign_ids(spark, folder):
 
 @SALES.named(
     "with_defaults",
-    "SELECT o_orderkey AS id, o_custkey AS customer_id, 'EUR' AS currency FROM orders",
+    """SELECT 'orders' AS table_name, 'EUR' AS filled, count(*) AS rows_filled FROM orders
+    UNION ALL SELECT 'customers', 'true', count(*) FROM customer
+    UNION ALL SELECT 'order_items', '0/0.00', count(*) FROM lineitem
+    UNION ALL SELECT 'motor_prices', 'EUR', count(*) FROM part
+    UNION ALL SELECT 'inventory', '0/0', count(*) FROM part
+    UNION ALL SELECT 'motors', 'ACTIVE', count(*) FROM part
+    UNION ALL SELECT 'motors with NULL', '', count(*) FROM part""",
 )
 def with_defaults(spark, folder):
-    orders = read_table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_id")
-    )
-    return loading.with_defaults(orders, "orders").select("id", "customer_id", "currency")
+    """Every default but the time of loading, on rows that omit the column; an explicit NULL stays."""
+    mart = star_mart(spark, folder)
+    part = read_table(spark, folder, "part").select(F.col("p_partkey").alias("motor_id"))
+    omitted = {
+        "orders": (mart["orders"].select("id"), ("currency",)),
+        "customers": (mart["customers"].select("id"), ("active",)),
+        "order_items": (mart["order_items"].select("order_id"), ("delivered_quantity", "discount_percent")),
+        "motor_prices": (part, ("currency",)),
+        "inventory": (part, ("quantity_available", "quantity_reserved")),
+        "motors": (part, ("product_status",)),
+        "motors with NULL": (part.withColumn("product_status", F.lit(None).cast("string")), ("product_status",)),
+    }
+    counts = []
+    for name, (rows, columns) in omitted.items():
+        filled = loading.with_defaults(rows, name.split()[0])
+        text = F.concat_ws("/", *[F.col(column).cast("string") for column in columns])
+        counts.append(filled.groupBy(text.alias("filled")).agg(F.count("*").alias("rows_filled")).withColumn("table_name", F.lit(name)))
+    return reduce(DataFrame.unionByName, counts)
 
 
 @SALES.named(
@@ -371,11 +391,16 @@ def mart_reload(spark, folder):
 
 @SALES.named(
     "mart_layout",
-    MART + """SELECT CAST(year(order_date) AS INT) AS order_year, order_status, count(*) AS orders_placed
-    FROM mart_orders WHERE order_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY 1, 2""",
+    MART + """SELECT 'orders ' || year(order_date) AS name, order_status AS part, count(*) AS rows_read, sum(customer_id)::BIGINT AS total
+    FROM mart_orders WHERE order_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY 1, 2
+    UNION ALL SELECT 'motors', motor_family, count(*), sum(id)::BIGINT FROM motors GROUP BY 2
+    UNION ALL SELECT 'customers', c_mktsegment, count(*), sum(c_custkey)::BIGINT FROM customer GROUP BY 2
+    UNION ALL SELECT 'order_items', CAST(quantity AS VARCHAR), count(*), sum(motor_id)::BIGINT FROM order_items GROUP BY 2
+    UNION ALL SELECT 'motor_prices', CAST(valid_from AS VARCHAR), count(*), sum(motor_id)::BIGINT FROM motor_prices GROUP BY 2
+    UNION ALL SELECT 'inventory', warehouse, count(*), sum(quantity_available)::BIGINT FROM inventory GROUP BY 2""",
 )
 def mart_layout(spark, folder):
-    """Orders written by year, and three years of them read back from their own folders."""
+    """All tables written in their layout and read back, orders for three years from their own folders."""
     mart = star_mart(spark, folder)
     for name in ("order_items", "motor_prices"):
         keys = ["order_id", "motor_id"] if name == "order_items" else ["motor_id", "valid_from"]
@@ -384,4 +409,14 @@ def mart_layout(spark, folder):
     target = f"{checkpoint_folder(spark)}/layout-{uuid.uuid4().hex}"
     write_layout(mart, target)
     orders = spark.read.parquet(f"{target}/orders").filter(F.col("order_year").between(1996, 1998))
-    return orders.groupBy("order_year", "order_status").agg(F.count("*").alias("orders_placed"))
+    year = F.concat(F.lit("orders "), F.col("order_year").cast("string"))
+    parts = [orders.select(year.alias("name"), F.col("order_status").alias("part"), F.col("customer_id").alias("value"))]
+    shown = {
+        "motors": ("motor_family", "id"), "customers": ("customer_segment", "id"), "order_items": ("quantity", "motor_id"),
+        "motor_prices": ("valid_from", "motor_id"), "inventory": ("warehouse", "quantity_available"),
+    }
+    for name, (part, value) in shown.items():
+        table = spark.read.parquet(f"{target}/{name}")
+        parts.append(table.select(F.lit(name).alias("name"), F.col(part).cast("string").alias("part"), F.col(value).cast("bigint").alias("value")))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("name", "part").agg(F.count("*").alias("rows_read"), F.sum("value").alias("total"))
