@@ -126,8 +126,9 @@ def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> tuple[DataFrame, i
         .filter(F.col("nth") <= texts)
         .select("lang", "doc_id")
     )
-    # At most LANGUAGES x texts rows.
-    return labelled.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"]).select("lang", "text"), len(languages)
+    # At most LANGUAGES x texts rows; of rows with one id, one.
+    found = labelled.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"])
+    return found.select("lang", "text"), len(languages)
 
 
 def _build(characters: int):

@@ -70,13 +70,12 @@ def measures(texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     if len(at):
         sizes = np.diff(np.append(groups_of(keys[order]), len(keys)))
         twice[order] = np.repeat(sizes > 1, sizes)
-    # Different words in the first stretch that every longer text has alike: in windows of 32 words.
-    stretch = (np.arange(len(block)) - block.first[block.owner]) // 32
-    ordered = np.sort(mix(hashes + salt + stretch.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
-    seen = mix(hashes + salt + stretch.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    place = np.argsort(seen, kind="stable")
+    # Different words in stretches of 32, as long texts repeat more words than short ones.
+    stretch = ((np.arange(len(block)) - block.first[block.owner]) // 32).astype(np.uint64)
+    seen = mix(hashes + salt + stretch * np.uint64(0xD1342543DE82EF95))
+    place = np.argsort(seen)
     new = np.zeros(len(block), bool)
-    new[place[groups_of(ordered)]] = True
+    new[place[groups_of(seen[place])]] = True
     size = np.maximum(per_text(~block.gap), 1)
     mean = per_text((~block.gap) & ((data & 0xC0) != 0x80)) / many
     exclaimed = data[block.ends - 1] == ord("!") if len(block) else np.zeros(0, bool)
