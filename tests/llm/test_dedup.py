@@ -58,6 +58,12 @@ def test_substrings_of_many_copies(spark):
     assert collected(substring_dedup(df), "doc_id", "n_words", "n_removed", "kept") == expected_substrings(rows)
 
 
+def test_substrings_without_any_repeat(spark):
+    rows = [(doc, " ".join(f"w{doc}x{n}" for n in range(40))) for doc in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert collected(substring_dedup(df), "doc_id", "n_words", "n_removed", "kept") == expected_substrings(rows)
+
+
 def expected_lines(rows, least=3, long=300):
     distinct = {(doc, text) for doc, text, *_ in rows if text is not None}
 

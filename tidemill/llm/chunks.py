@@ -82,16 +82,23 @@ def dealt(buckets: np.ndarray, chunk: int, packed: dict[str, tuple[np.ndarray, i
 
 
 def with_answers(
-    chunks: DataFrame, answers: DataFrame, work: Callable[[pa.RecordBatch, pa.Table], Iterator[pa.RecordBatch]], schema: str
+    chunks: DataFrame,
+    answers: DataFrame,
+    work: Callable[[pa.RecordBatch, pa.Table], Iterator[pa.RecordBatch]],
+    schema: str,
+    nothing: pa.Schema | None = None,
 ) -> DataFrame:
-    """Run ``work`` on the rows of each chunk and on the answers (rows with its ``chunk``) to it."""
+    """Run ``work`` on the rows of each chunk and on the answers (rows with its ``chunk``) to it.
+
+    ``nothing`` is the schema of what ``work`` gives, if it may give nothing.
+    """
     empty = pa.schema([(name, pa.binary() if kind == "binary" else pa.int64()) for name, kind in answers.dtypes])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         for payload in left.column("payload"):
             found += work(unpack(payload.as_py()), right if right.num_rows else empty.empty_table())
-        return pa.Table.from_batches(found)
+        return pa.Table.from_batches(found, nothing)
 
     return (
         chunks.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

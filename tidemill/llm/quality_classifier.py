@@ -150,11 +150,11 @@ def feature_table() -> np.ndarray:
 
 def shape_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """The feature of the run of shapes that ends at each byte, and the text of each byte."""
-    shapes = np.minimum(shape_table()[block.data], SHAPES - 1)
+    shapes = np.minimum(shape_table()[block.data], SHAPES - 1).astype(np.int32)
     codes = shapes.copy()
     for back in range(1, GRAM):
         codes[back:] += shapes[:-back] * SHAPES**back
-    owner = np.repeat(np.arange(len(block.counts)), np.diff(block.offsets))
+    owner = np.repeat(np.arange(len(block.counts), dtype=np.int32), np.diff(block.offsets))
     return feature_table()[codes], owner
 
 

@@ -207,7 +207,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = bucket_count(chunks)
     probes = each_chunk(chunks, _probe(size, buckets), "bucket bigint, chunk bigint, keys binary")
     live = probes.groupBy("bucket").applyInArrow(_live, "chunk bigint, bucket bigint, keys binary")
-    around = with_answers(chunks, live, _extend(window, size, buckets), "bucket bigint, chunk bigint, keys binary, ids binary")
+    around = with_answers(
+        chunks, live, _extend(window, size, buckets), "bucket bigint, chunk bigint, keys binary, ids binary",
+        pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary())]),
+    )
     earlier = around.groupBy("bucket").applyInArrow(_earlier, "chunk bigint, keys binary")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string, removed array<struct<start:bigint,stop:bigint>>"
     return with_answers(chunks, earlier, _remove(window), schema)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -39,7 +39,7 @@ def _powers_of(base: int, count: int) -> np.ndarray:
         have = np.full(max(count, BLOCK_BYTES + 4096), base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if count <= 4 * BLOCK_BYTES:
+        if count <= 8 * BLOCK_BYTES:
             _powers[base] = have
     return have[:count]
 
