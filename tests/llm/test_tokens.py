@@ -92,6 +92,23 @@ def test_n_best_paths(vocabulary):
         assert best.gaps[at] == (wanted[0][0] - wanted[1][0] if len(wanted) > 1 else math.inf)
 
 
+def test_long_strings_have_the_same_best_path(vocabulary):
+    chance = random.Random(7)
+    strings = ["".join(chance.choice("theinxab漢é▁"[: chance.randint(2, 12)]) for _ in range(chance.randint(1, 300))) for _ in range(60)]
+    best = vocabulary.best(strings)
+    for at, string in enumerate(strings):
+        ids, score = vocabulary.best_of_long(string)
+        assert ids == best.ids[best.starts[at] : best.starts[at + 1]].tolist() and score == best.scores[at]
+
+
+def test_very_long_stretches(vocabulary, library):
+    encoder = Encoder(tokenizer_file(), 3)
+    texts = ["x" * 200_000, "a " + "漢" * 5_000 + " b", "short"]
+    ids, starts, _, others = encoder.encode([text.encode() for text in texts])
+    assert [library.decode(ids[a:b].tolist()) for a, b in zip(starts[:-1], starts[1:], strict=True)] == texts
+    assert [len(other) for other in others][0] == 0 and len(others[2]) == 2
+
+
 def apply(ids, changes):
     for change in sorted(changes, key=lambda change: -change["start"]):
         ids = ids[: change["start"]] + list(change["ids"]) + ids[change["stop"] :]
