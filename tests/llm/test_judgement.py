@@ -115,6 +115,20 @@ def test_votes_are_told_apart_without_labels():
     np.testing.assert_allclose(table.sum(axis=2), 1)
 
 
+def test_a_labeller_that_is_often_wrong_is_found_out():
+    chance = np.random.default_rng(8)
+    bad = chance.random(20_000) < 0.15
+    size = len(quality_classifier.LABELLERS)
+    wrong = np.full(size, 0.004)
+    wrong[1] = 0.1
+    sees = chance.random((len(bad), size)) < np.where(bad[:, None], 0.5, wrong)
+    patterns = (sees.astype(int) * 3 ** np.arange(size - 1, -1, -1)).sum(axis=1)
+    kinds, counts = np.unique(patterns, return_counts=True)
+    _, table = quality_classifier.posteriors(kinds, counts.astype(float))
+    assert abs(table[0, 1, 1] - 0.1) < 0.015
+    assert abs(table[1, 1, 1] - 0.5) < 0.05
+
+
 def test_quality_against_labels(spark, small, documents):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     rows = quality_classifier.classify_quality(documents, carry=["text"]).join(labels, "doc_id").collect()

@@ -118,9 +118,9 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
     for _ in range(rounds):
         prior = np.clip((share * counts).sum() / counts.sum(), 0.001, 0.6)
         for bad, weight in ((GOOD, (1 - share) * counts), (BAD, share * counts)):
-            # Labellers are built to be specific: a vote of badness for a good text is taken to be rare unless the
-            # counts speak loudly, and each is taken to see some of what is bad.
-            belief = ACCIDENTS * counts.sum() * 4 if bad == GOOD else SIGHT * weight.sum() / 2
+            # Labellers are built to be specific and each to see some of what is bad: that weighs as much as a
+            # fixed number of votes, so the counts of a larger table outweigh it.
+            belief = (ACCIDENTS if bad == GOOD else SIGHT) * BELIEF
             for number in range(size):
                 table[bad, number] = np.bincount(vote[:, number], weight, 3) + 1.0 + belief
         table /= table.sum(axis=2, keepdims=True)
@@ -169,6 +169,8 @@ BIN_WEIGHT = 0.25
 # Prior shares of votes (good, bad, none) for good and for bad texts.
 ACCIDENTS = np.array([0.968, 0.002, 0.03])
 SIGHT = np.array([0.65, 0.3, 0.05])
+# Votes that a prior share counts as, for each labeller and class, whatever the table's size.
+BELIEF = 400
 
 
 def _patterns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
