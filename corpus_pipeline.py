@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.decontaminate import contaminated_words
 from tidemill.llm.line_dedup import line_dedup
-from tidemill.llm.near_copies import first_copies
 from tidemill.llm.quality_classifier import classify_quality
 from tidemill.llm.queries import read, tokenizer_file
 from tidemill.llm.sentencepiece_codec import encode_pieces
+from tidemill.llm.simhash import simhash_groups
 from tidemill.llm.store import stored
 
 
@@ -42,10 +42,13 @@ def lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The row with the least id of each group of near copies; of rows equal in id and text, one. Rows without id stay."""
+    """The row with the least id of each SimHash group, at equal ids the least hash of the text; of rows equal in both, one. Rows without id stay."""
     safe, _, back = _carried(docs.filter("doc_id IS NOT NULL"))
-    first = first_copies(safe).select(F.col("id").alias("doc_id"), F.col("print").alias("_print"))
-    named = safe.withColumn("_print", F.xxhash64("text")).join(first, ["doc_id", "_print"], "left_semi").dropDuplicates(["doc_id", "_print"])
+    keyed = safe.withColumn("_print", F.xxhash64("text"))
+    # Rows with one id and different texts are told apart.
+    groups = simhash_groups(keyed.select(F.struct("doc_id", "_print").alias("key"), "text"), id_col="key")
+    first = groups.filter("doc_id = component_id").select("doc_id.*").distinct()
+    named = keyed.join(first, ["doc_id", "_print"], "left_semi").dropDuplicates(["doc_id", "_print"])
     return named.select(back).unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
 
 
@@ -69,7 +72,7 @@ def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("line dedup", lines),
-    ("near-dedup", near_copies),
+    ("SimHash near-dedup", near_copies),
     ("benchmark decontamination", clean_of_benchmark),
     ("SentencePiece encoding and decoding", encoded),
 ]
