@@ -49,6 +49,14 @@ def test_near_copy_stage(staged):
     assert rows_of(staged[3]) == [row for row in given if row[0] in first]
 
 
+def test_near_copy_stage_tells_rows_of_one_id_apart(spark):
+    other = " ".join(f"other{n}" for n in range(20))
+    rows = [(1, "one text with a few words"), (1, other), (2, other), (2, other + " more"), (2, "short"), (None, other), (None, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_copies(spark, df, "")
+    assert rows_of(kept) == sorted([(1, "one text with a few words"), (1, other), (2, other + " more"), (2, "short"), (None, other), (None, other)], key=repr)
+
+
 def test_benchmark_stage(spark, small, staged):
     items = [(row["item_id"], row["text"]) for row in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     given = rows_of(staged[3])
