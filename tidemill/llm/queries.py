@@ -11,7 +11,7 @@ from tidemill.llm.line_dedup import line_dedup
 from tidemill.llm.lm_scores import lm_scores
 from tidemill.llm.quality_classifier import classify_quality
 from tidemill.llm.quality_rules import quality_rules
-from tidemill.llm.sentencepiece_codec import decode_pieces, encode_pieces
+from tidemill.llm.sentencepiece_codec import encode_pieces
 from tidemill.llm.simhash import simhash_groups
 from tidemill.llm.substring_dedup import substring_dedup
 from tidemill.llm.token_counts import token_counts
@@ -176,9 +176,9 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @LLM.named("op6_sentencepiece_codec")
 def op6_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
     model = tokenizer_file()
-    encoded = encode_pieces(read(spark, folder, "documents"), model, n=BEST, carry=["text"])
-    decoded = decode_pieces(encoded, model)
-    return decoded.select(
+    # Encoding and decoding are one pass: ids do not go to the JVM and back.
+    coded = encode_pieces(read(spark, folder, "documents"), model, n=BEST, carry=["text"], decode=True)
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.xxhash64("ids").alias("ids_hash"),
