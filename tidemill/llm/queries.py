@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.decontaminate import contaminated_words
+from tidemill.llm.hard_negatives import hard_negatives
 from tidemill.llm.language_id import identify_language
 from tidemill.llm.line_dedup import line_dedup
 from tidemill.llm.lm_scores import lm_scores
+from tidemill.llm.projected_search import nearest_rows
 from tidemill.llm.quality_classifier import classify_quality
 from tidemill.llm.quality_rules import quality_rules
+from tidemill.llm.reversed_search import search_items
 from tidemill.llm.sentencepiece_codec import encode_pieces
 from tidemill.llm.simhash import simhash_groups
 from tidemill.llm.substring_dedup import substring_dedup
@@ -185,3 +188,67 @@ def op6_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.array("score"), F.transform("others", lambda other: other["score"])).alias("scores"),
         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
     )
+
+
+op11_sql = """
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), held AS (
+    SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM split) GROUP BY doc_id, term
+), totals AS (
+    SELECT count(*) AS documents, sum(len(words))::BIGINT AS length FROM split WHERE len(words) > 0
+), asked AS (
+    SELECT item_id, term, count(*) AS repeats FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)
+    ) GROUP BY item_id, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+    FROM (SELECT term, count(*) AS df FROM held WHERE term IN (SELECT term FROM asked) GROUP BY term), totals
+), sizes AS (
+    SELECT doc_id, 25 + (75 * len(words) * documents) // length AS m FROM split, totals WHERE len(words) > 0
+), scored AS (
+    SELECT item_id, doc_id, sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN sizes USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 10
+"""
+
+
+@LLM.named("op11_ranked_search", op11_sql)
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"), k=10)
+
+
+@LLM.named("op12_nearest_vectors")
+def op12_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_rows(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+op13_sql = """
+WITH rows AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * x::DOUBLE) FOR x IN embedding] AS vec
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT a.id AS anchor_id, r.id, a.label = r.label AS alike, list_inner_product(a.vec, r.vec)::BIGINT AS score
+    FROM rows AS a, rows AS r WHERE a.id % 100 = 0 AND a.id <> r.id
+), positives AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS nth FROM scored WHERE alike) WHERE nth <= 5
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+    SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank
+    FROM positives AS p JOIN scored AS n ON n.anchor_id = p.anchor_id AND NOT n.alike
+        AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+) WHERE rank <= 5
+"""
+
+
+@LLM.named("op13_hard_negatives", op13_sql)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
