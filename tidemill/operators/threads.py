@@ -15,7 +15,7 @@ CONTEXT_SEPARATOR = "\n--- PREVIOUS MESSAGE ---\n"
 HISTORY_LINES = 8
 
 
-def _context_block(sender: Column, subject: Column, body: Column) -> Column:
+def context_block(sender: Column, subject: Column, body: Column) -> Column:
     return F.concat(
         F.lit("\nFROM:\n"), blank_if_null(sender),
         F.lit("\n\nSUBJECT:\n"), blank_if_null(subject),
@@ -37,7 +37,7 @@ def thread_context(
     Messages of a thread are in the order of their arrival and then of their ids. A message without thread
     is a thread of its own.
     """
-    block = _context_block(F.col("sender"), F.col("subject"), F.col("body"))
+    block = context_block(F.col("sender"), F.col("subject"), F.col("body"))
     own = F.when(F.col(thread).isNull(), F.concat(F.lit("message "), F.col(tie).cast("string")))
     named = messages.withColumn("_thread", F.coalesce(own, F.concat(F.lit("thread "), F.col(thread).cast("string"))))
     before = with_preceding(

@@ -15,6 +15,7 @@ from tidemill.plans.registry import Registry
 from tidemill.session import checkpoint_folder
 from tidemill.sources import archive, mailbox
 from tidemill.sources.star import read_table
+from tidemill.streaming.thread_state import latest_contexts, thread_context_stream
 from tidemill.streaming.triage import outcomes, triage, triage_stream, triage_waiting
 
 MAIL = Registry()
@@ -361,19 +362,39 @@ def part_rejects(spark, folder):
     return chosen.unionByName(bodies.part_rejects(parts).withColumn("body_md5", F.lit(None).cast("string")))
 
 
-@MAIL.named(
-    "thread_context",
-    CONVERSATIONS + """SELECT id, coalesce(string_agg(
+THREAD_CONTEXT = CONVERSATIONS + """SELECT id, coalesce(string_agg(
       chr(10) || 'FROM:' || chr(10) || sender || chr(10) || chr(10) || 'SUBJECT:' || chr(10) || subject
       || chr(10) || chr(10) || 'BODY:' || chr(10) || left(body, 2500) || chr(10),
       chr(10) || '--- PREVIOUS MESSAGE ---' || chr(10))
       OVER (PARTITION BY thread_id ORDER BY thread_pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS thread_context
-    FROM messages""",
-)
+    FROM messages"""
+
+
+@MAIL.named("thread_context", THREAD_CONTEXT)
 def thread_context(spark, folder):
     return threads.thread_context(archive.conversations(spark, folder)).select("id", "thread_context")
 
 
+@MAIL.named("thread_context_stream", THREAD_CONTEXT)
+def thread_context_of_a_stream(spark, folder):
+    """The same context from messages that arrive in four files, out of order and some of them twice, over two runs.
+
+    The second run is a new start from the checkpoint.
+    """
+    target = f"{checkpoint_folder(spark)}/threads-{uuid.uuid4().hex}"
+    messages = archive.conversations(spark, folder)
+    arrival = F.pmod(F.xxhash64("id"), F.lit(4))
+    again = messages.filter(F.pmod(F.xxhash64("id"), F.lit(5)) == 0).withColumn("arrival", F.pmod(arrival + 1, F.lit(4)))
+    for number in range(4):
+        some = messages.withColumn("arrival", arrival).unionByName(again).filter(F.col("arrival") == number).drop("arrival")
+        some.write.parquet(f"{target}/source/file{number}")
+    for runs in ("file[01]", "file[0123]"):
+        thread_context_stream(
+            spark, f"{target}/source/{runs}", messages.schema, f"{target}/sink", f"{target}/checkpoint", files_per_batch=2,
+        ).awaitTermination()
+    return latest_contexts(spark.read.parquet(f"{target}/sink")).select("id", "thread_context")
+
+
 @MAIL.named(
     "context_of_new_messages",
     CONVERSATIONS + """, context AS (SELECT id, labels, coalesce(string_agg(

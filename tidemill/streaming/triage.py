@@ -62,6 +62,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def refuse_foreign_sink(spark: SparkSession, sink: str, checkpoint: str) -> None:
+    """A sink that a stream with another checkpoint filled is refused: its batches would be overwritten."""
+    if _exists(spark, sink) and not _exists(spark, f"{checkpoint}/metadata"):
+        raise ValueError(f"{sink} was filled by a stream with another checkpoint than {checkpoint}")
+
+
 def _without_labelled(batch: DataFrame, sink: str, batch_id: int) -> DataFrame:
     """Leave out messages an earlier batch labelled."""
     if not _exists(batch.sparkSession, sink):
@@ -147,8 +153,7 @@ def triage_stream(
     ``form`` is the file format of the source: with "text", ``prepare`` gets the lines of an export.
     A sink that a stream with another checkpoint filled is refused, as its batches would be overwritten.
     """
-    if _exists(spark, sink) and not _exists(spark, f"{checkpoint}/metadata"):
-        raise ValueError(f"{sink} was filled by a stream with another checkpoint than {checkpoint}")
+    refuse_foreign_sink(spark, sink, checkpoint)
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
