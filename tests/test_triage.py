@@ -279,13 +279,50 @@ def test_undecided_messages_come_back(spark, stream):
     assert triage_waiting(spark, out, outside)
     whole = triage(spark.read.parquet(str(source)), outside)
     assert essentials(outcomes(spark, out)) == essentials(whole)
-    # What no one can decide goes on waiting, once.
+    # What only lacks a label goes on waiting, once; what cannot be handled is given up after three attempts.
     waiting = whole.filter("category IS NULL").count()
     assert triage_waiting(spark, out, outside)
     assert outcomes(spark, out).filter("category IS NULL").count() == waiting
+    rejects = spark.read.parquet(f"{out}_rejects")
+    assert sorted(row.cause for row in rejects.collect()) == ["missing id", "unreadable body"]
+    assert rejects.filter("cause = 'missing id'").first().body is not None
+    assert triage_waiting(spark, out, outside) == (waiting > 2)
+    assert rejects.count() == spark.read.parquet(f"{out}_rejects").count() == 2
+    assert essentials(outcomes(spark, out)) == essentials(whole)
     assert not triage_waiting(spark, str(folder / "nothing"))
 
 
+def test_messages_without_id_are_not_one(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(None, "one", ["INBOX"]), (None, "two", ["INBOX"]), (None, "Security alert", ["INBOX"]), ("1", "Security alert", ["INBOX"])]
+    fields = "id string, subject string, labels array<string>"
+    texts = {name: F.lit("") for name in ("sender", "body", "list_unsubscribe", "list_id")}
+    messages = spark.createDataFrame(rows, fields).withColumns(texts)
+    messages.write.parquet(source)
+    triage_stream(spark, source, messages.schema, sink, str(tmp_path / "ckpt")).awaitTermination()
+    assert [row.category for row in outcomes(spark, sink).orderBy("id").collect()] == [None, None, None, "IMPORTANT"]
+    assert triage_waiting(spark, sink)
+    assert outcomes(spark, sink).count() == 4
+
+
+def test_a_settled_attempt_is_not_taken_up_again(spark, stream):
+    run, messages, outside, source, folder = stream
+    out = str(folder / "settled")
+    decided = messages.select("id", F.lit("NORMAL").alias("category"), F.lit("said so").alias("reason"))
+    triage_stream(spark, str(source), messages.schema, out, str(folder / "settled-ckpt"), files_per_batch=2).awaitTermination()
+    assert triage_waiting(spark, out, decided, give_up_after=2)
+    assert outcomes(spark, out).filter("category IS NULL AND cause IS NULL").count() == 0
+    assert not triage_waiting(spark, out, decided)
+    # Statistics are written last: without them an attempt is made again and leaves one copy.
+    before = essentials(outcomes(spark, out))
+    attempts = spark.read.parquet(f"{out}_stats").filter("attempt = 1")
+    assert attempts.select("batch").distinct().count() == 3
+    for path in (folder / "settled_stats").glob("batch=*/attempt=1/*"):
+        path.unlink()
+    assert triage_waiting(spark, out, decided, give_up_after=2)
+    assert essentials(outcomes(spark, out)) == before and not triage_waiting(spark, out, decided)
+
+
 def test_a_new_checkpoint_over_an_old_sink_is_refused(spark, stream):
     run, messages, _, source, folder = stream
     run()

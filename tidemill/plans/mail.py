@@ -787,3 +787,58 @@ def triage_stream_resumed(spark, folder):
     _document_stream(spark, folder, target).awaitTermination()
     triage_waiting(spark, f"{target}/sink", archive.external_labels(read_table(spark, folder, "labels")))
     return outcomes(spark, f"{target}/sink").select("id", "category", "source", "labels_after")
+
+
+@MAIL.named("triage_ledger", DOCUMENTS + MERGED + "SELECT id, category, 1::BIGINT AS times FROM relabelled WHERE category IS NOT NULL")
+def triage_ledger(spark, folder):
+    """Messages delivered up to three times without their labels: each is labelled once, as the ledger has its id."""
+    target = f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    messages = archive.documents(spark, folder).withColumn("arrival", F.pmod(F.xxhash64("id"), F.lit(3)))
+    for number in range(3):
+        again = (F.col("arrival") == number) | ((F.col("arrival") < number) & (F.pmod(F.crc32("id"), F.lit(2)) == 0))
+        messages.filter(again).drop("arrival").write.parquet(f"{target}/source/file{number}")
+    labels = archive.external_labels(read_table(spark, folder, "labels"))
+    for files in ("file0", "file[01]", "file[012]"):
+        triage_stream(
+            spark, f"{target}/source/{files}", messages.drop("arrival").schema, f"{target}/sink", f"{target}/checkpoint",
+            external=labels, skip_labelled=True,
+        ).awaitTermination()
+    labelled = spark.read.parquet(f"{target}/sink").filter(F.col("category").isNotNull())
+    return labelled.groupBy("id").agg(F.max("category").alias("category"), F.count("*").alias("times"))
+
+
+@MAIL.named(
+    "triage_given_up",
+    DOCUMENTS + MERGED + """, kinds AS (SELECT *, CAST(id AS BIGINT) % 50 AS kind FROM relabelled)
+    SELECT 'outcome' AS kind, CASE WHEN kind > 1 THEN category END AS category,
+      CASE kind WHEN 0 THEN 'missing id' WHEN 1 THEN 'unreadable body' END AS cause, count(*) AS messages FROM kinds GROUP BY 1, 2, 3
+    UNION ALL SELECT 'rejected', NULL, CASE kind WHEN 0 THEN 'missing id' ELSE 'unreadable body' END, count(*)
+    FROM kinds WHERE kind < 2 GROUP BY 3
+    UNION ALL SELECT 'waiting', NULL, NULL, count(*) FROM kinds WHERE kind > 1 AND category IS NULL""",
+)
+def triage_given_up(spark, folder):
+    """Messages without id or body among the others, taken up until they are given up; the others keep waiting for a label."""
+    target = f"{checkpoint_folder(spark)}/given-up-{uuid.uuid4().hex}"
+
+    def prepare(documents):
+        messages = archive.document_messages(documents)
+        kind = F.col("id").cast("bigint") % 50
+        return messages.withColumns({"body": F.when(kind != 1, F.col("body")), "id": F.when(kind != 0, F.col("id"))})
+
+    sink = f"{target}/sink"
+    triage_stream(
+        spark, folder, read_table(spark, folder, "documents").schema, sink, f"{target}/checkpoint", glob="documents.parquet", prepare=prepare,
+    ).awaitTermination()
+    labels = archive.external_labels(read_table(spark, folder, "labels"))
+    for _ in range(3):
+        triage_waiting(spark, sink, labels)
+    settled = outcomes(spark, sink).groupBy("category", "cause").agg(F.count("*").alias("messages"))
+    rejected = spark.read.parquet(f"{sink}_rejects").groupBy("cause").agg(F.count("*").alias("messages"))
+    last = spark.read.parquet(f"{sink}_stats").groupBy("batch").agg(F.max("attempt").alias("attempt"))
+    waiting = spark.read.parquet(f"{sink}_waiting").join(last, ["batch", "attempt"], "left_semi").agg(F.count("*").alias("messages"))
+    none = F.lit(None).cast("string")
+    return (
+        settled.select(F.lit("outcome").alias("kind"), "category", "cause", "messages")
+        .unionByName(rejected.select(F.lit("rejected").alias("kind"), none.alias("category"), "cause", "messages"))
+        .unionByName(waiting.select(F.lit("waiting").alias("kind"), none.alias("category"), none.alias("cause"), "messages"))
+    )
