@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.ordering import with_row_numbers
 from tidemill.sources.sales import NOW, SALES_DEFAULTS, SALES_SCHEMAS
+from tidemill.sources.versions import publish
 
 
 def with_defaults(df: DataFrame, table: str) -> DataFrame:
@@ -105,3 +106,9 @@ def reload(staged: Mapping[str, DataFrame], folder: str, order: Mapping[str, Seq
             )
         )
         typed.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def reload_whole(staged: Mapping[str, DataFrame], root: str, order: Mapping[str, Sequence[str]]) -> str:
+    """``reload`` into a new version under ``root``: readers of ``current`` see all tables of it, or all of the one before."""
+    spark = next(iter(staged.values())).sparkSession
+    return publish(spark, root, lambda folder: reload(staged, folder, order))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import integrity, loading, pricing, sales_reports
+from tidemill.operators import integrity, loading, pricing, sales_reports, writeback
 from tidemill.plans.registry import Registry
 from tidemill.session import checkpoint_folder
 from tidemill.sources.sales import (
@@ -20,6 +21,7 @@ from tidemill.sources.sales import (
     write_layout,
 )
 from tidemill.sources.star import read_table, share_of, star_mart
+from tidemill.sources.versions import current
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages"
@@ -330,6 +332,30 @@ def free_sql(spark, folder):
     return run_sql(spark, FREE_SQL.format(orders="orders"), star_mart(spark, folder))
 
 
+INSERT_ORDER = {
+    "motors": ["article_number"],
+    "customers": ["customer_number"],
+    "orders": ["order_date", "order_number"],
+    "order_items": ["order_id", "motor_id", "quantity", "delivered_quantity", "ship_date"],
+    "motor_prices": ["motor_id", "valid_from"],
+    "inventory": ["motor_id"],
+}
+
+
+def _staged(mart: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The mart with natural keys in place of foreign keys."""
+    article = F.concat(F.lit("MTR-"), F.col("motor_id").cast("string")).alias("article_number")
+    number = F.concat(F.lit("ORD-"), F.col("order_id").cast("string")).alias("order_number")
+    customers = mart["customers"].select(F.col("id").alias("customer_id"), "customer_number")
+    return {
+        **mart,
+        "orders": mart["orders"].join(customers, "customer_id").drop("customer_id"),
+        "order_items": mart["order_items"].select("*", article, number).drop("order_id", "motor_id"),
+        "motor_prices": mart["motor_prices"].select("*", article).drop("motor_id"),
+        "inventory": mart["inventory"].select("*", article).drop("motor_id"),
+    }
+
+
 @SALES.named(
     "mart_reload",
     """SELECT 'motors' AS name, count(*) AS rows_loaded, count(*) AS total FROM part
@@ -345,27 +371,9 @@ def free_sql(spark, folder):
 )
 def mart_reload(spark, folder):
     """Reload all six tables by natural keys, then read them back and follow their new keys."""
-    mart = star_mart(spark, folder)
-    article = F.concat(F.lit("MTR-"), F.col("motor_id").cast("string")).alias("article_number")
-    number = F.concat(F.lit("ORD-"), F.col("order_id").cast("string")).alias("order_number")
-    customers = mart["customers"].select(F.col("id").alias("customer_id"), "customer_number")
-    staged = {
-        **mart,
-        "orders": mart["orders"].join(customers, "customer_id").drop("customer_id"),
-        "order_items": mart["order_items"].select("*", article, number).drop("order_id", "motor_id"),
-        "motor_prices": mart["motor_prices"].select("*", article).drop("motor_id"),
-        "inventory": mart["inventory"].select("*", article).drop("motor_id"),
-    }
-    order = {
-        "motors": ["article_number"],
-        "customers": ["customer_number"],
-        "orders": ["order_date", "order_number"],
-        "order_items": ["order_id", "motor_id", "quantity", "delivered_quantity", "ship_date"],
-        "motor_prices": ["motor_id", "valid_from"],
-        "inventory": ["motor_id"],
-    }
+    staged = _staged(star_mart(spark, folder))
     target = f"{checkpoint_folder(spark)}/mart-{uuid.uuid4().hex}"
-    loading.reload(staged, target, order)
+    loading.reload(staged, target, INSERT_ORDER)
     loaded = load_sales(spark, target)
     counts = [
         df.agg(F.count("*").alias("rows_loaded"), F.max("id").alias("total")).withColumn("name", F.lit(name))
@@ -389,6 +397,76 @@ def mart_reload(spark, folder):
     return reduce(DataFrame.unionByName, counts)
 
 
+def _reload_sql(state: str, where: str) -> str:
+    return f"""SELECT '{state}' AS state, 'motors' AS name, count(*) AS rows_loaded, count(*) AS total FROM part
+    UNION ALL SELECT '{state}', 'customers', count(*), count(*) FROM customer
+    UNION ALL SELECT '{state}', 'orders', count(*), count(*) FROM orders WHERE {where}
+    UNION ALL SELECT '{state}', 'order_items', count(*), CAST(sum(CAST(l_quantity AS INT)) AS BIGINT)
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {where}
+    UNION ALL SELECT '{state}', 'motor_prices', 7 * count(*), 7 * count(*) FROM part
+    UNION ALL SELECT '{state}', 'inventory', count(*), CAST(sum(p_size) AS BIGINT) FROM part"""
+
+
+@SALES.named(
+    "mart_reload_failed",
+    _reload_sql("after the failure", "year(o_orderdate) = 1995") + " UNION ALL " + _reload_sql("after the repair", "year(o_orderdate) <= 1996"),
+)
+def mart_reload_failed(spark, folder):
+    """A load that breaks off after its third table leaves the one before whole; a repaired one replaces it whole."""
+    root = f"{checkpoint_folder(spark)}/versions-{uuid.uuid4().hex}"
+    mart = star_mart(spark, folder)
+
+    def until(year):
+        return _staged({**mart, "orders": mart["orders"].filter(F.year("order_date").between(1995 if year == 1995 else 0, year))})
+
+    def loaded(state):
+        tables = load_sales(spark, current(spark, root))
+        shown = {"order_items": "quantity", "inventory": "quantity_available"}
+        return [
+            df.agg(F.count("*").alias("rows_loaded"), F.sum(shown[name]).alias("total") if name in shown else F.max("id").alias("total"))
+            .select(F.lit(state).alias("state"), F.lit(name).alias("name"), "rows_loaded", "total")
+            for name, df in tables.items()
+        ]
+
+    loading.reload_whole(until(1995), root, INSERT_ORDER)
+    broken = until(1996)
+    quantity = F.when(F.col("quantity") > 0, F.raise_error(F.lit("a row that cannot be loaded"))).otherwise(F.col("quantity")).cast("int")
+    broken["order_items"] = broken["order_items"].withColumn("quantity", quantity)
+    try:
+        loading.reload_whole(broken, root, INSERT_ORDER)
+    except PySparkException as failed:
+        if "cannot be loaded" not in str(failed):
+            raise
+    before = loaded("after the failure")
+    loading.reload_whole(until(1996), root, INSERT_ORDER)
+    return reduce(DataFrame.unionByName, [*before, *loaded("after the repair")])
+
+
+@SALES.named(
+    "stored_orders_deleted",
+    MART + """, kept AS (SELECT id, order_date FROM mart_orders
+      WHERE NOT (order_status = 'CONFIRMED' AND year(order_date) IN (1995, 1997)) AND year(order_date) <> 1996)
+    SELECT CAST(year(order_date) AS INT) AS year, 'order' AS kind, count(*) AS rows_left FROM kept GROUP BY 1
+    UNION ALL SELECT CAST(year(ship_date) AS INT), 'item', count(*) FROM order_items WHERE order_id IN (SELECT id FROM kept) GROUP BY 1""",
+)
+def stored_orders_deleted(spark, folder):
+    """Orders and their items deleted from stored tables; one year loses all its orders."""
+    target = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
+    mart = star_mart(spark, folder)
+    writeback.store(mart["orders"].withColumn("order_year", F.year("order_date")), f"{target}/orders", "order_year")
+    writeback.store(mart["order_items"].withColumn("slice", writeback.slice_of("order_id", 8)), f"{target}/items", "slice")
+
+    def read(name):
+        return spark.read.parquet(f"{target}/{name}")
+
+    doomed = ((F.col("order_status") == "CONFIRMED") & F.col("order_year").isin(1995, 1997)) | (F.col("order_year") == 1996)
+    keys = read("orders").filter(doomed).select("id").checkpoint()
+    writeback.delete_stored([(read("items"), f"{target}/items", "slice", "order_id"), (read("orders"), f"{target}/orders", "order_year", "id")], keys)
+    orders = read("orders").groupBy(F.year("order_date").alias("year")).agg(F.count("*").alias("rows_left"))
+    items = read("items").groupBy(F.year("ship_date").alias("year")).agg(F.count("*").alias("rows_left"))
+    return orders.withColumn("kind", F.lit("order")).unionByName(items.withColumn("kind", F.lit("item")))
+
+
 @SALES.named(
     "mart_layout",
     MART + """SELECT 'orders ' || year(order_date) AS name, order_status AS part, count(*) AS rows_read, sum(customer_id)::BIGINT AS total

@@ -25,7 +25,7 @@ class Ledger:
     """
 
     folder: str
-    buckets: int = 256
+    buckets: int = 64
     bits: int = 1 << 20
 
     def bucket(self, key: Column) -> Column:
