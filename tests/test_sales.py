@@ -225,6 +225,39 @@ def test_free_sql_is_a_query_over_the_mart(spark, mart):
     spark.catalog.dropTempView("other")
 
 
+def test_free_sql_reaches_nothing_but_the_mart(spark, mart):
+    spark.range(3).createOrReplaceGlobalTempView("shared")
+    spark.sql("CREATE DATABASE IF NOT EXISTS beside")
+    spark.range(3).write.mode("overwrite").saveAsTable("beside.saved")
+    spark.range(3).write.mode("overwrite").saveAsTable("saved")
+    try:
+        for text in (
+            "SELECT * FROM global_temp.shared",
+            "SELECT * FROM saved",
+            "SELECT * FROM saved AS motors",
+            "SELECT * FROM spark_catalog.default.saved",
+            "SELECT * FROM motors WHERE id IN (SELECT id FROM beside.saved)",
+            "SELECT (SELECT max(id) FROM saved) AS n",
+            "WITH orders AS (SELECT id FROM saved) SELECT m.id FROM motors m JOIN orders USING (id)",
+            "SELECT m.* FROM motors m WHERE EXISTS (SELECT 1 FROM `global_temp`.`shared` s WHERE s.id = m.id)",
+            "SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS n",
+            "SELECT java_method('java.lang.System', 'getProperty', 'user.home') AS n",
+            "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') AS n",
+            "SELECT `reflect`('java.lang.System', 'getProperty', r'\\') AS n, 'x' AS m",
+            "SELECT id FROM motors WHERE reflect('java.lang.System', 'getProperty', 'user.home') IS NOT NULL",
+        ):
+            with pytest.raises((ValueError, AnalysisException)):
+                run_sql(spark, text, mart)
+        assert run_sql(spark, "SELECT 'saved' AS n, max(m.id) AS id FROM motors AS m WHERE m.id IN (SELECT motor_id FROM inventory)", mart).first()[:] == ("saved", 15)
+        # A mart read from saved tables is still one.
+        own = {**mart, "motors": spark.table("beside.saved")}
+        assert run_sql(spark, "SELECT count(*) AS n FROM motors", own).first().n == 3
+    finally:
+        spark.sql("DROP DATABASE beside CASCADE")
+        spark.sql("DROP TABLE saved")
+        spark.catalog.dropGlobalTempView("shared")
+
+
 def test_csv_source_uses_the_given_schema(spark, mart, tmp_path):
     for name, df in mart.items():
         df.write.option("header", True).csv(f"{tmp_path}/{name}")

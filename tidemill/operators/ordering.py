@@ -53,12 +53,12 @@ def with_preceding(
     """Add an array of ``value`` over the ``count`` rows that end at this one.
 
     Rows of a ``group`` are ordered by ``position`` (a number or time, NULLs first) and ``tie``. Without
-    ``include_current`` the array holds the ``count`` rows before this one. NULL values are left out; rows
-    whose group is NULL are a group.
+    ``include_current`` the array holds the ``count`` rows before this one. A row whose value is NULL takes its
+    place among them and is left out of the array; rows whose group is NULL are a group.
 
     A group of more than ``chunk_rows`` rows is cut at quantiles of its positions, found by a sketch that is
     merged from parts, and each stretch is a window partition of its own, so no task gets a whole large
-    group. The last rows of a stretch are handed to the next one as extra rows. The plan is the same for
+    group. NULL positions stay in the first stretch. The last rows of a stretch are handed to the next one as extra rows. The plan is the same for
     every size and runs nothing when it is built. Rows that share one position are not cut apart.
     """
     behind = count - 1 if include_current else count
@@ -69,7 +69,7 @@ def with_preceding(
     ).withColumnRenamed(group, "_group")
     chunk = F.when(F.col("_cuts").isNotNull() & F.col(position).isNotNull(), F.size(F.filter("_cuts", lambda cut: cut < F.col(position)))).otherwise(0)
     chunked = (
-        df.withColumn("_value", value).join(cuts, F.col(group).eqNullSafe(F.col("_group")))
+        df.withColumn("_value", F.struct(value.alias("of"))).join(cuts, F.col(group).eqNullSafe(F.col("_group")))
         .withColumn("_chunk", chunk.cast("long")).withColumn("_split", F.col("_cuts").isNotNull()).drop("_group", "_cuts")
     )
     # The filter on row_number is applied before the shuffle as well.
@@ -93,7 +93,8 @@ def with_preceding(
     in_order = Window.partitionBy(group, "_chunk").orderBy("_own", "_nth", position, tie)
     return (
         rows.unionByName(handed_over, allowMissingColumns=True)
-        .withColumn(out_col, F.collect_list("_value").over(in_order.rowsBetween(-behind, ahead)))
+        .withColumn("_value", F.collect_list("_value").over(in_order.rowsBetween(-behind, ahead)))
         .filter(F.col("_own") == 1)
+        .withColumn(out_col, F.transform(F.filter("_value", lambda x: x["of"].isNotNull()), lambda x: x["of"]))
         .drop("_value", "_chunk", "_nth", "_own")
     )

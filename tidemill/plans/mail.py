@@ -421,6 +421,21 @@ def turn_history(spark, folder):
     return threads.turn_history(read_table(spark, folder, "conversations")).select("conv_id", "turn", "history")
 
 
+@MAIL.named(
+    "turn_history_with_gaps",
+    """SELECT conv_id % 5 AS conv_id, turn, id, coalesce(string_agg(CASE WHEN (conv_id + turn) % 7 <> 0 THEN upper(role) || ': ' || text END, chr(10))
+      OVER (PARTITION BY conv_id % 5 ORDER BY turn, id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), '') AS history
+    FROM (SELECT *, 1000 * conv_id + turn AS id FROM conversations)""",
+)
+def turn_history_with_gaps(spark, folder):
+    """Few long conversations, cut into many stretches, in which some turns have no role and so no line."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    turns = read_table(spark, folder, "conversations").select(
+        (conv % 5).alias("conv_id"), "turn", (1000 * conv + turn).alias("id"), F.when((conv + turn) % 7 != 0, F.col("role")).alias("role"), "text"
+    )
+    return threads.turn_history(turns, tie="id", chunk_rows=16).select("conv_id", "turn", "id", "history")
+
+
 @MAIL.named(
     "rule_classes",
     DOCUMENTS + _classified_sql(MAIL_RULES) + "SELECT id, rule_id, category, reason FROM classified",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -149,16 +150,38 @@ def visible(spark: SparkSession, tables: dict[str, DataFrame]) -> Iterator[None]
                 view.createOrReplaceTempView(name)
 
 
+# How a plan shows a relation with a catalog or database in its name, and calls of Java methods.
+QUALIFIED = re.compile(r"SubqueryAlias ((?:[^\s.]+\.)+[^\s.]+)\s*$", re.MULTILINE)
+JAVA_CALL = re.compile(r"\b(?:try_)?(?:reflect|java_method)\(")
+
+
+def _analysed(df: DataFrame) -> str:
+    return df._jdf.queryExecution().analyzed().toString()
+
+
 def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """A query over the tables; unknown tables and columns, other views, files and all but queries fail at analysis."""
+    """A query over the tables; unknown tables and columns, other views, files and all but queries fail at analysis.
+
+    Saved tables and global views are refused, by whatever name, but for those that ``tables`` are read from
+    themselves; so are calls of Java methods. The analysed plan is what counts, subqueries included; a text in the
+    query that looks like such a call is refused with it.
+    """
     with visible(spark, tables):
         files = spark.conf.get("spark.sql.runSQLOnFiles")
         spark.conf.set("spark.sql.runSQLOnFiles", "false")
         try:
             # Only a query can stand in brackets.
-            return spark.sql(f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)")
+            found = spark.sql(f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)")
         finally:
             spark.conf.set("spark.sql.runSQLOnFiles", files)
+    plan = _analysed(found)
+    own = {name for table in tables.values() for name in QUALIFIED.findall(_analysed(table))}
+    foreign = sorted(set(QUALIFIED.findall(plan)) - own)
+    if foreign:
+        raise ValueError(f"{', '.join(foreign)}: not among the tables of the mart")
+    if JAVA_CALL.search(plan):
+        raise ValueError("a query over the mart calls no Java methods")
+    return found
 
 
 def list_tables(spark: SparkSession) -> DataFrame:
