@@ -453,6 +453,33 @@ def rule_classes_other_rules(spark, folder):
     return classified.select("id", "rule_id", "category", "reason")
 
 
+@MAIL.named("rule_classes_by_vocabulary", DOCUMENTS + _classified_sql(MAIL_RULES) + "SELECT id, category, reason, rule_id FROM classified")
+def rule_classes_by_vocabulary(spark, folder):
+    """The mail rules from one pass of an automaton over all their terms."""
+    return rules.classify_by_vocabulary(archive.documents(spark, folder)).select("id", "category", "reason", "rule_id")
+
+
+VOCABULARY = 5_000
+
+
+@MAIL.named(
+    "vocabulary_of_thousands",
+    f"""WITH words AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[ \n]+')) AS term FROM documents),
+    terms AS (SELECT term FROM words WHERE length(term) BETWEEN 3 AND 40 ORDER BY md5(term), term LIMIT {VOCABULARY})
+    SELECT term, count(*) AS documents FROM terms JOIN documents ON contains(lower(text), term) GROUP BY term""",
+)
+def vocabulary_of_thousands(spark, folder):
+    """How many documents hold each of thousands of terms, which are words of the documents themselves."""
+    documents = read_table(spark, folder, "documents")
+    words = documents.select(F.explode(F.split(F.lower("text"), "[ \n]+")).alias("term")).distinct()
+    chosen = words.filter(F.length("term").between(3, 40)).orderBy(F.md5("term"), "term").limit(VOCABULARY)
+    terms = [row["term"] for row in chosen.collect()]
+    found = rules.find_terms(documents.select("text"), terms, ["text"]).select(F.explode("found_text").alias("number"))
+    numbered = spark.createDataFrame(list(enumerate(terms)), "number int, term string")
+    counted = found.groupBy("number").agg(F.count("*").alias("documents"))
+    return counted.join(numbered, "number").select("term", "documents")
+
+
 def _signals_sql(terms) -> str:
     hits = " + ".join(f"CAST({_found(('subject', 'body'), term)} AS INT)" for term in terms)
     return DOCUMENTS + f"SELECT id, {hits} AS signal_count FROM messages"
