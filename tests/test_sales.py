@@ -8,6 +8,7 @@ from sales_fixture import build_mart
 
 from tidemill.operators import integrity, loading, pricing, sales_reports
 from tidemill.sources.sales import (
+    interleaved,
     SALES_CONSTRAINTS,
     SALES_SCHEMAS,
     list_tables,
@@ -274,6 +275,59 @@ def test_layout_prunes_by_order_year(spark, mart, tmp_path):
     assert "PartitionFilters: [isnotnull(order_year" in plan
 
 
+def rows_read(df):
+    """Rows in the row groups that a scan reads."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.parquet.enableVectorizedReader", "false")
+    spark.conf.set("spark.sql.parquet.filterPushdown", "true")
+    try:
+        df = df.select("*")
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
+
+
+def test_five_lookups_read_few_row_groups(spark, mart, tmp_path):
+    count = 24_000
+    mixed = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    orders = spark.range(count).select(
+        "id", (mixed % 2_000).alias("customer_id"), F.date_add(F.lit("2024-01-01").cast("date"), (mixed % 366).cast("int")).alias("order_date"),
+    )
+    items = spark.range(2 * count).select("id", (F.col("id") % count).alias("order_id"), (mixed % 1_500).alias("motor_id"))
+    motors = spark.range(count).select(
+        "id", F.concat(F.lit("F"), (mixed % 7).cast("string")).alias("motor_family"), F.concat(F.lit("M"), F.hex(mixed)).alias("model"),
+    )
+    tables = {**mart, "orders": orders, "order_items": items, "motors": motors}
+    groups = {"parquet.block.size": "2048", "parquet.page.size": "512", "parquet.page.size.row.check.min": "64", "parquet.block.row.count.limit": "250"}
+    write_layout(tables, str(tmp_path), groups)
+
+    def read(name, where):
+        found = spark.read.parquet(f"{tmp_path}/{name}")
+        return rows_read(found.filter(where)) / found.count(), found.filter(where).count()
+
+    model = motors.filter("id = 77").first().model
+    wanted = {
+        ("motors", f"model = '{model}'"): 0.05,
+        ("motors", "motor_family = 'F3'"): 0.3,
+        ("orders", "order_date = DATE '2024-05-17'"): 0.35,
+        ("orders", "customer_id = 1234"): 0.2,
+        ("order_items", "motor_id = 333"): 0.35,
+    }
+    shares = {lookup: read(*lookup) for lookup in wanted}
+    assert all(share < wanted[lookup] and rows > 0 for lookup, (share, rows) in shares.items()), shares
+    # Both columns of a box at once.
+    assert read("orders", "customer_id BETWEEN 100 AND 120 AND order_date < DATE '2024-02-01'")[0] < 0.12
+
+
+def test_boxes_of_odd_columns(spark):
+    df = spark.createDataFrame([(1, None, None), (2, None, None), (None, None, None)], "a int, b int, c date")
+    assert [row[0] for row in df.select(interleaved(df, ["a", "b", "c"])).collect()] is not None
+    assert df.limit(0).select(interleaved(df.limit(0), ["a", "c"])).collect() == []
+
+
 def test_row_numbers_stay_dense_over_many_partitions(spark):
     df = spark.range(10_000).select(((F.col("id") * 7919) % 10_007).alias("k"), "id").repartition(13)
     numbered = loading.assign_ids(df.withColumnRenamed("id", "tie"), ["k", "tie"])
