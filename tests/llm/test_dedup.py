@@ -64,7 +64,7 @@ def test_substrings_without_any_repeat(spark):
     assert collected(substring_dedup(df), "doc_id", "n_words", "n_removed", "kept") == expected_substrings(rows)
 
 
-def expected_lines(rows, least=3, long=300):
+def expected_lines(rows, least=3, long=300, most=51):
     distinct = {(doc, text) for doc, text, *_ in rows if text is not None}
 
     def order(key):
@@ -72,18 +72,17 @@ def expected_lines(rows, least=3, long=300):
         return (doc is None, doc if doc is not None else 0, np.int64(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42))))
 
     ordered = sorted(distinct, key=order)
-    seen, lone, gone = set(), set(), defaultdict(set)
+    seen, gone = set(), defaultdict(set)
     for key in ordered:
         lines = key[1].split("\n")
         for at, line in enumerate(lines):
-            if len(line) >= long and line in lone:
-                gone[key].add(at)
-            lone.add(line)
-            run = tuple(lines[at : at + least])
-            if len(run) == least:
-                if run in seen:
-                    gone[key].update(range(at, at + least))
-                seen.add(run)
+            for size in range(1, least + 1):
+                run = tuple(lines[at : at + size])
+                counts = size == least or len(words("\n".join(run))) >= most or (size == 1 and len(line) >= long)
+                if len(run) == size and counts and run in seen:
+                    gone[key].update(range(at, at + size))
+                if len(run) == size:
+                    seen.add(run)
     out = []
     for doc, text, *_ in rows:
         lines = text.split("\n") if text is not None else []
@@ -101,9 +100,44 @@ def test_lines_of_many_copies(spark):
     chance = random.Random(3)
     rows = [(doc, "\n".join(chance.choice("abcd") for _ in range(chance.randrange(14)))) for doc in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for least in (1, 2, 3, 5):
-        found = collected(line_dedup(df, min_lines=least, min_chars=3), "doc_id", "n_lines", "n_removed", "kept")
-        assert found == expected_lines(rows, least, 3)
+    for least, most in ((1, 99), (2, 99), (3, 99), (5, 99), (5, 3), (7, 6)):
+        found = collected(line_dedup(df, min_lines=least, min_chars=3, min_words=most), "doc_id", "n_lines", "n_removed", "kept")
+        assert found == expected_lines(rows, least, 3, most)
+
+
+def test_short_runs_of_many_words_go(spark):
+    def line(name, count):
+        return " ".join(f"{name}{n}" for n in range(count))
+
+    rows = [
+        (1, "\n".join([line("a", 62), "end", line("b", 30), line("c", 21), "x"])),
+        (2, "\n".join(["other", line("a", 62), "here"])),
+        (3, "\n".join([line("b", 30), line("c", 21)])),
+        (4, "\n".join([line("b", 30), line("d", 21), line("c", 21)])),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(len(text) > 1 and max(map(len, text.split("\n"))) < 300 for _, text in rows)
+    assert {row["doc_id"]: row["n_removed"] for row in line_dedup(df).collect()} == {1: 0, 2: 1, 3: 2, 4: 0}
+
+
+def test_no_long_passage_of_whole_lines_is_left_twice(documents):
+    """In what is kept, no run of whole lines with over 50 words that is late in the input."""
+    given = {row["doc_id"]: row["text"].split("\n") for row in documents.collect() if row["text"] is not None}
+    kept = {row["doc_id"]: row["kept"].split("\n") for row in line_dedup(documents).collect() if row["kept"] is not None}
+    first = {}
+    for doc in sorted(given):
+        for line in given[doc]:
+            first.setdefault(line, doc)
+    left = [doc for doc, lines in kept.items() for line in lines if len(words(line)) > 50 and first[line] < doc]
+    assert left == []
+
+
+def test_carried_names_may_clash(odd):
+    names = ["chunk", "_id", "_line", "_print", "first", "ids", "rank"]
+    rows = line_dedup(odd, carry=names).select("doc_id", "n_removed", *names).collect()
+    assert len(rows) == len(ODD) and all(set(row[2:]) == {"?"} for row in rows)
+    renamed = odd.withColumnsRenamed({"chunk": "_text", "kept": "_gone", "mask": "words"})
+    assert line_dedup(renamed, carry=["_text", "_gone", "words"]).count() == len(ODD)
 
 
 def test_line_dedup_runs_no_python(odd):

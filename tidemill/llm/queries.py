@@ -144,12 +144,18 @@ def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 op5_sql = """
 WITH lines AS (
-    SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+    SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words
+    FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
 ), runs AS (
-    SELECT doc_id, i, line, lead(line, 1) OVER w AS second, lead(line, 2) OVER w AS third FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+    SELECT doc_id, i, line, lead(line, 1) OVER w AS second, lead(line, 2) OVER w AS third, words, words + lead(words, 1) OVER w AS words_of_two
+    FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), late AS (
-    SELECT doc_id, i, 1 AS size FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS n FROM lines)
-    WHERE n > 1 AND length(line) >= 300
+    SELECT doc_id, i, 1 AS size FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS n FROM runs)
+    WHERE n > 1 AND (length(line) >= 300 OR words > 50)
+    UNION ALL
+    SELECT doc_id, i, 2 FROM (
+        SELECT *, row_number() OVER (PARTITION BY line, second ORDER BY doc_id, i) AS n FROM runs WHERE second IS NOT NULL
+    ) WHERE n > 1 AND words_of_two > 50
     UNION ALL
     SELECT doc_id, i, 3 FROM (
         SELECT *, row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, i) AS n FROM runs WHERE third IS NOT NULL
