@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from cases import LOWER, ODD, words
 from pyspark.sql import functions as F
 
@@ -148,6 +149,47 @@ def test_quality_of_odd_rows(odd, none):
     assert quality_classifier.classify_quality(none).collect() == []
 
 
+def test_quality_does_not_depend_on_partitions(documents):
+    found = [
+        {row["doc_id"]: row["score"] for row in quality_classifier.classify_quality(documents.repartition(parts), sample=100).collect()}
+        for parts in (1, 7)
+    ]
+    assert found[0].keys() == found[1].keys()
+    assert all(abs(score - found[1][doc]) < 1e-9 for doc, score in found[0].items())
+
+
+def naive_scores(rows):
+    """The scorer told text by text: runs of four shapes and bins of the measures, averaged, through one weight each."""
+    values, count = quality_classifier.measures([None if text is None else text.encode() for _, text in rows])
+    kinds, often = np.unique(quality_classifier.votes(values, count), return_counts=True)
+    share, _ = quality_classifier.posteriors(kinds, often.astype(float))
+    chances = dict(zip(kinds.tolist(), share.tolist(), strict=True))
+    batch = pa.RecordBatch.from_pydict({"text": [text for _, text in rows]})
+    table = pa.Table.from_batches(list(quality_classifier._sampled(chances)(iter([batch]))))
+    weights = quality_classifier._fit(table).column("weights")[0].as_py()
+    shape, feature = quality_classifier.shape_table(), quality_classifier.feature_table()
+    out = {}
+    for (doc, text), row in zip(rows, values, strict=True):
+        shapes = [min(int(shape[byte]), quality_classifier.SHAPES - 1) for byte in (text or "").encode() + b"\n"]
+        total = 0.0
+        for at in range(len(shapes)):
+            run = [shapes[at - back] if at >= back else int(shape[0x20]) for back in range(quality_classifier.GRAM)]
+            total += weights[feature[sum(value * quality_classifier.SHAPES**back for back, value in enumerate(run))]]
+        bins = sum(weights[name] for name in quality_classifier.bin_features(row[None])[0])
+        logit = total / len(shapes) + quality_classifier.BIN_WEIGHT * bins + weights[-1]
+        out[doc] = 1 / (1 + math.exp(logit)) if words(text) else 0.0
+    return out
+
+
+def test_scores_against_one_text_at_a_time(spark, documents):
+    rows = [(row["doc_id"], row["text"]) for row in documents.orderBy("doc_id").limit(60).collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {row["doc_id"]: row["score"] for row in quality_classifier.classify_quality(df).collect()}
+    wanted = naive_scores(rows)
+    assert found.keys() == wanted.keys()
+    assert all(abs(score - wanted[doc]) < 1e-9 for doc, score in found.items())
+
+
 # Benchmark decontamination.
 
 

@@ -151,10 +151,13 @@ def feature_table() -> np.ndarray:
 def shape_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """The feature of the run of shapes that ends at each byte, and the text of each byte."""
     shapes = np.minimum(shape_table()[block.data], SHAPES - 1).astype(np.int32)
+    owner = np.repeat(np.arange(len(block.counts), dtype=np.int32), np.diff(block.offsets))
     codes = shapes.copy()
     for back in range(1, GRAM):
-        codes[back:] += shapes[:-back] * SHAPES**back
-    owner = np.repeat(np.arange(len(block.counts), dtype=np.int32), np.diff(block.offsets))
+        # White space comes before each text, whatever lies there in the block.
+        before = np.full_like(shapes, shape_table()[0x20])
+        before[back:] = np.where(owner[back:] == owner[:-back], shapes[:-back], before[back:])
+        codes += before * SHAPES**back
     return feature_table()[codes], owner
 
 
@@ -229,11 +232,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: i
 
 
 def _fit(table: pa.Table) -> pa.Table:
-    rows = [
-        (np.array(names, np.int64), np.array(shares))
-        for names, shares in zip(table.column("names").to_pylist(), table.column("shares").to_pylist(), strict=True)
-    ]
-    weights = fit(rows, np.asarray(table.column("target")))
+    # In an order of their own, whatever task each came from.
+    found = sorted(zip(table.column("target").to_pylist(), table.column("names").to_pylist(), table.column("shares").to_pylist(), strict=True))
+    rows = [(np.array(names, np.int64), np.array(shares)) for _, names, shares in found]
+    weights = fit(rows, np.array([target for target, *_ in found]))
     return pa.table({"weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
 
 
@@ -271,7 +273,8 @@ def classify_quality(
 
     ``weak_score`` is one minus the posterior of the text's votes, ``score`` that of the linear scorer and
     ``kept`` whether it reaches ``threshold``. Votes of all texts are counted, at most 3^9 patterns; the
-    scorer is fitted on about ``sample`` rows chosen by a hash, in one task, whatever the table's size. NULL
+    scorer is fitted on about ``sample`` rows chosen by a hash of id and text, in one task, whatever the table's size
+    and however its rows are dealt out; rows equal in both count once there. NULL
     texts and texts without words have score 0 and are not kept. A table without such a sample keeps
     what has words. Repeated rows are judged alike; other columns are left out unless carried.
     """
@@ -283,9 +286,10 @@ def classify_quality(
     share, _ = posteriors(patterns, often) if len(patterns) else (np.zeros(0), None)
     chances = dict(zip(patterns.tolist(), share.tolist(), strict=True))
     part = min(1.0, sample / max(1.0, often.sum()))
-    picked = F.pmod(F.xxhash64(F.col("_doc_id").cast("string"), F.monotonically_increasing_id()), F.lit(1 << 40)) < int(part * (1 << 40))
+    mark = F.xxhash64(F.col("_doc_id").cast("string"), "text")
+    picked = F.pmod(mark, F.lit(1 << 40)) < int(part * (1 << 40))
     rows = (
-        source.filter(picked).select("text").mapInArrow(_sampled(chances), "model int, names array<int>, shares array<float>, target double")
+        source.filter(picked).select("text", mark.alias("mark")).dropDuplicates(["mark"]).select("text").mapInArrow(_sampled(chances), "model int, names array<int>, shares array<float>, target double")
         .groupBy("model").applyInArrow(_fit, "weights array<double>").collect()
     )
     weights = np.array(rows[0][0]) if rows else np.append(np.zeros(FEATURES), -1.0)
