@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.codec import with_base64_text
 from tidemill.functions.text import duration_text
-from tidemill.operators import actions, bodies, records, rules, runstats, search, threads, writeback
+from tidemill.operators import actions, bodies, gram_index, records, rules, runstats, search, threads, writeback
+from tidemill.operators import tallies as tally
 from tidemill.operators.rules import ADVERTISEMENT, IMPORTANT, MAIL_RULES, MARKETING_TERMS, NORMAL, UNCERTAIN, Rule, Terms
 from tidemill.plans.registry import Registry
 from tidemill.session import checkpoint_folder
@@ -247,8 +249,8 @@ def _written(spark: SparkSession, lines: DataFrame, name: str) -> DataFrame:
     return mailbox.read_export(spark, target)
 
 
-def _conversation_export(spark: SparkSession, folder: str) -> DataFrame:
-    """Turns as a JSON export: mixed header names, nested parts, and html that no parser reads."""
+def _conversation_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as lines of a JSON export: mixed header names, nested parts, and html that no parser reads."""
     turns = read_table(spark, folder, "conversations")
     conv, turn = F.col("conv_id"), F.col("turn")
     subjects = (
@@ -291,13 +293,13 @@ def _conversation_export(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.lit("INBOX")).alias("labelIds"),
         payload.alias("payload"),
     )
-    return _written(spark, turns.select(F.to_json(message).alias("value")), "emails")
+    return turns.select(F.to_json(message).alias("value"))
 
 
 @MAIL.named("email_triage", EMAILS)
 def email_triage(spark, folder):
     """From an export to labels: headers, bodies and thread context put together, then the rules."""
-    emails = records.email_records(_conversation_export(spark, folder))
+    emails = records.email_records(_written(spark, _conversation_lines(spark, folder), "emails"))
     judged = triage(emails).select("id", "category", "rule_id", "cause", "labels_after")
     fields = emails.select(
         "id", "thread_id", "ts", "sender", "recipient", "subject", "date", "list_unsubscribe",
@@ -306,6 +308,25 @@ def email_triage(spark, folder):
     return fields.join(judged, "id")
 
 
+@MAIL.named("email_triage_stream", EMAILS[: EMAILS.rindex("SELECT id, thread_id")] + """SELECT id, category, CAST(rule_id AS INT) AS rule_id,
+  CASE WHEN body IS NULL THEN 'unreadable body' END AS cause,
+  CASE category WHEN 'IMPORTANT' THEN ['INBOX', 'IMPORTANT', 'AI_PROCESSED', 'AI_IMPORTANT']
+    WHEN 'NORMAL' THEN ['INBOX', 'AI_PROCESSED', 'AI_NORMAL'] WHEN 'ADVERTISEMENT' THEN ['AI_PROCESSED', 'AI_ADVERTISEMENT']
+    ELSE ['INBOX'] END AS labels_after FROM judged""")
+def email_triage_stream(spark, folder):
+    """The same labels from a stream over the lines of an export, in files that arrive over two runs."""
+    target = f"{checkpoint_folder(spark)}/emails-{uuid.uuid4().hex}"
+    lines = _conversation_lines(spark, folder).withColumn("arrival", F.pmod(F.xxhash64("value"), F.lit(3)))
+    for number in range(3):
+        lines.filter(F.col("arrival") == number).select("value").write.text(f"{target}/source/file{number}")
+    for files in ("file[01]", "file[012]"):
+        triage_stream(
+            spark, f"{target}/source/{files}", spark.createDataFrame([], "value string").schema, f"{target}/sink", f"{target}/checkpoint",
+            form="text", prepare=lambda lines: records.email_records(mailbox.parsed_lines(lines)),
+        ).awaitTermination()
+    return outcomes(spark, f"{target}/sink").select("id", "category", "rule_id", "cause", "labels_after")
+
+
 @MAIL.named(
     "export_rejects",
     """SELECT CASE WHEN doc_id % 10 = 2 THEN CAST(doc_id AS VARCHAR) END AS id,
@@ -687,6 +708,41 @@ def run_stats(spark, folder):
     )
 
 
+@MAIL.named(
+    "label_tallies",
+    CONVERSATIONS + """, first AS (SELECT *, thread_id % 3 AS part FROM messages),
+    final AS (SELECT ts, CASE WHEN part = 0 THEN list_filter(labels, lambda x: x <> 'UNREAD')
+        WHEN part = 1 AND thread_pos % 2 = 0 THEN list_concat(list_filter(labels, lambda x: x NOT IN ('AI_PROCESSED', 'INBOX')), ['AI_PROCESSED'])
+        ELSE labels END AS labels FROM first WHERE NOT (part = 2 AND thread_pos = 1))
+    SELECT label, CAST(ts AS DATE) AS day, count(*) AS messages FROM (SELECT ts, unnest(list_distinct(labels)) AS label FROM final) GROUP BY 1, 2""",
+)
+def label_tallies(spark, folder):
+    """Label counts by day from four change sets, one of them written twice, with a fold in between."""
+    target = f"{checkpoint_folder(spark)}/tallies-{uuid.uuid4().hex}"
+    messages = archive.conversations(spark, folder).withColumn("part", F.col("thread_id") % 3)
+    none = F.array().cast("array<string>")
+    labels = F.col("labels")
+    moved = F.array_append(F.filter(labels, lambda x: ~x.isin("AI_PROCESSED", "INBOX")), F.lit("AI_PROCESSED"))
+    batches = [
+        (F.lit(True), none, labels),
+        (F.col("part") == 0, labels, F.filter(labels, lambda x: x != "UNREAD")),
+        ((F.col("part") == 1) & (F.col("thread_pos") % 2 == 0), labels, moved),
+        ((F.col("part") == 2) & (F.col("thread_pos") == 1), labels, none),
+    ]
+
+    def record(number):
+        which, before, after = batches[number]
+        changes = messages.filter(which).select("ts", before.alias("labels_before"), after.alias("labels_after"))
+        tally.record(changes, target, number)
+
+    for number in (0, 1, 1):
+        record(number)
+    tally.fold(spark, target)
+    for number in (1, 2, 3, 2):
+        record(number)
+    return tally.tallies(spark, target)
+
+
 @MAIL.named(
     "quarantined_events",
     """SELECT event_id, CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS INT) IS NULL THEN 'unreadable properties'
@@ -750,6 +806,27 @@ def message_filter(spark, folder):
     return found.select("id", "ts", "sender", "recipient", "subject")
 
 
+INDEXED = {"few": {"sender": "User@", "subject": "Th"}, "rare": {"subject": "tion la"}, "short": {"recipient": "4"}, "none": {"subject": "no such text"}}
+
+
+@MAIL.named(
+    "message_search_indexed",
+    CONVERSATIONS + " UNION ALL ".join(
+        f"SELECT '{name}' AS search, id, subject FROM messages WHERE "
+        + " AND ".join(f"contains(lower({column}), '{text.lower()}')" for column, text in texts.items())
+        for name, texts in INDEXED.items()
+    ),
+)
+def message_search_indexed(spark, folder):
+    """Substring searches over an index of the messages by runs of three characters."""
+    target = f"{checkpoint_folder(spark)}/grams-{uuid.uuid4().hex}"
+    gram_index.build_index(archive.conversations(spark, folder), target, ["ts", "id"], block_rows=200)
+    found = [
+        gram_index.search_index(spark, target, **texts).select(F.lit(name).alias("search"), "id", "subject") for name, texts in INDEXED.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @MAIL.named(
     "message_filter_ages",
     CONVERSATIONS + """SELECT id, ts FROM messages

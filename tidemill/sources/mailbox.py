@@ -32,13 +32,18 @@ PART_SCHEMA = T.StructType(
 )
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """(raw, doc) per line; ``doc`` is NULL for a line that is not JSON.
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """(raw, doc) for lines of an export (a column ``value``), from a file or a stream; ``doc`` is NULL for what is not JSON.
 
     The one-element inline keeps a filter on ``doc`` from parsing every line a second time.
     """
     parsed = F.inline(F.array(F.struct(F.try_parse_json("value").alias("doc"))))
-    return spark.read.text(path).select(F.col("value").alias("raw"), parsed)
+    return lines.select(F.col("value").alias("raw"), parsed)
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a stored export, parsed."""
+    return parsed_lines(spark.read.text(path))
 
 
 def _field(path: str, kind: str) -> Column:
