@@ -153,16 +153,37 @@ def _in_slices(pages: list[bytes]) -> Iterator[list[bytes]]:
     yield pages[first:]
 
 
+def _texts(pages: list[bytes], dropped: Sequence[str], layout: str) -> list[str | None]:
+    """Text of each page, by the parser where the batch reader is not sure; None where the parser rejects it."""
+    texts: list[str | None] = []
+    for some in _in_slices(pages):
+        for page, text in zip(some, sure_texts(some, dropped, layout), strict=True):
+            texts.append(parse_text(page.decode("utf-8"), dropped, layout) if text is None else text)
+    return texts
+
+
 def _text_column(html: Column, dropped: Sequence[str], layout: str) -> Column:
     dropped = tuple(dropped)
 
     @F.arrow_udf("string")
     def parsed(values: pa.Array) -> pa.Array:
-        texts: list[str | None] = []
-        for pages in _in_slices(values.cast(pa.binary()).to_pylist()):
-            for page, text in zip(pages, sure_texts(pages, dropped, layout), strict=True):
-                texts.append(parse_text(page.decode("utf-8"), dropped, layout) if text is None else text)
-        return pa.array(texts, pa.string())
+        return pa.array(_texts(values.cast(pa.binary()).to_pylist(), dropped, layout), pa.string())
+
+    return parsed(html)
+
+
+def texts_of_each(html: Column, dropped: Sequence[str], layout: str) -> Column:
+    """The same for an array of documents: NULL stays NULL, and so becomes what the parser rejects."""
+    dropped = tuple(dropped)
+
+    @F.arrow_udf("array<string>")
+    def parsed(values: pa.Array) -> pa.Array:
+        rows = values.to_pylist()
+        places = [(row, at) for row, pages in enumerate(rows) for at, page in enumerate(pages or ()) if page is not None]
+        texts = _texts([rows[row][at].encode() for row, at in places], dropped, layout)
+        for (row, at), text in zip(places, texts, strict=True):
+            rows[row][at] = text
+        return pa.array(rows, pa.list_(pa.string()))
 
     return parsed(html)
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.codec import with_base64_text
-from tidemill.functions.markup import LINES, MAIL_DROPPED, parse_text
+from tidemill.functions.markup import LINES, MAIL_DROPPED, texts_of_each
 
 # Record column -> header name.
 HEADER_COLUMNS = {
@@ -89,18 +87,73 @@ def select_body(parts: DataFrame) -> DataFrame:
     and what nested parts resolve to are joined by a newline, in part order; only when
     there are none are the html children joined and converted; else the body is "".
 
-    One shuffle brings a message's parts together; trees of any depth are folded within the row, and
-    html is converted only where it makes the body. A message whose html the parser rejects gets
-    NULL. What cannot be used is left out here and listed by ``part_rejects``: parts without id, all of a
-    message without root, parts below a missing part, and a part delivered again (the first in order
-    of type and text counts).
+    One shuffle brings a message's parts together; trees of any depth are folded within the row, in the JVM.
+    Html alone leaves it, and only what may make the body: that of a part without plain parts beside it. A
+    message whose body is html the parser rejects gets NULL. What cannot be used is left out here and listed by
+    ``part_rejects``: parts without id, all of a message without root, parts below a missing part, and a part
+    delivered again (the first in order of type and text counts).
     """
     usable = F.filter("_judged", lambda item: item["cause"].isNull())
     trees = _messages(parts).withColumn("_used", F.transform(usable, lambda item: item["node"])).filter(F.size("_used") > 0)
-    root = F.element_at("_used", 1)
-    # A plain leaf at the root needs no fold.
-    tree = F.when((root["kind"] == PLAIN), F.lit(None)).otherwise(F.to_json("_used"))
-    return trees.select("message_id", F.when(root["kind"] == PLAIN, root["text"]).otherwise(_parser_body(tree)).alias("body"))
+    told = trees.withColumn("_parts", _with_html("_used"))
+    html = F.transform("_parts", lambda part: part["html"])
+    # A message without html to convert sends nothing.
+    asked = F.when(F.exists("_parts", lambda part: part["html"].isNotNull()), html)
+    return told.withColumn("_texts", texts_of_each(asked, MAIL_DROPPED, LINES)).select("message_id", _folded("_parts", "_texts").alias("body"))
+
+
+def _with_html(nodes: str) -> Column:
+    """Parts in path order: depth, kind, text, whether there are parts below, and the html that may have to be converted."""
+
+    def told(node: Column) -> Column:
+        depth = F.size(node["path"])
+        below = F.filter(nodes, lambda other: (F.size(other["path"]) == depth + 1) & (F.slice(other["path"], F.lit(1), depth) == node["path"]))
+        plain = F.exists(below, lambda other: other["kind"].eqNullSafe(PLAIN))
+        markup = F.filter(below, lambda other: other["kind"].eqNullSafe(HTML))
+        own = node["kind"].eqNullSafe(HTML) & ((depth == 0) | (F.size(below) > 0))
+        joined = node["kind"].isNull() & ~plain & (F.size(markup) > 0)
+        return F.struct(
+            depth.alias("depth"), node["kind"].alias("kind"), node["text"].alias("text"), (F.size(below) > 0).alias("inner"),
+            F.when(own, node["text"]).when(joined, F.array_join(F.transform(markup, lambda other: other["text"]), "\n")).alias("html"),
+        )
+
+    return F.transform(nodes, told)
+
+
+def _folded(parts: str, texts: str) -> Column:
+    """The body from parts in path order and the converted html of each: a stack machine from the last part to the first.
+
+    Read backwards, all parts below a part come before it. ``levels`` holds, for each depth, the texts of the parts
+    read since the last part one level up: what that part will join.
+    """
+    none = F.array().cast("array<string>")
+    start = F.struct(
+        F.create_map().cast("map<int,array<string>>").alias("levels"), F.lit("").alias("body"), F.lit(False).alias("unreadable")
+    )
+    backwards = F.reverse(F.transform(parts, lambda part, at: F.struct(part.alias("part"), F.get(F.col(texts), at).alias("converted"))))
+
+    def step(state: Column, item: Column) -> Column:
+        part, depth = item["part"], item["part"]["depth"]
+        below = F.coalesce(F.try_element_at(state["levels"], depth + 1), none)
+        by_html = part["kind"].eqNullSafe(HTML) & part["html"].isNotNull() | (part["kind"].isNull() & (F.size(below) == 0))
+        result = (
+            F.when(part["kind"] == PLAIN, part["text"])
+            .when(by_html, F.coalesce(item["converted"], F.lit("")))
+            .when(part["kind"].isNull(), F.array_join(below, "\n")).otherwise(F.lit(""))
+        )
+        given = F.concat(
+            F.when(part["kind"].eqNullSafe(PLAIN), F.array(part["text"])).otherwise(none),
+            F.when(part["inner"] & (result != ""), F.array(result)).otherwise(none),
+        )
+        beside = F.coalesce(F.try_element_at(state["levels"], depth), none)
+        others = F.map_filter(state["levels"], lambda level, _: (level != depth) & (level != depth + 1))
+        return F.struct(
+            F.map_concat(others, F.create_map(depth, F.concat(given, beside))).alias("levels"),
+            result.alias("body"),
+            (state["unreadable"] | (by_html & part["html"].isNotNull() & item["converted"].isNull())).alias("unreadable"),
+        )
+
+    return F.aggregate(backwards, start, step, lambda state: F.when(~state["unreadable"], state["body"]))
 
 
 def part_rejects(parts: DataFrame) -> DataFrame:
@@ -111,47 +164,3 @@ def part_rejects(parts: DataFrame) -> DataFrame:
         _messages(parts).select("message_id", F.explode(bad).alias("_item"))
         .select("message_id", "_item.node.path", "_item.cause").unionByName(nameless)
     )
-
-
-def _fold(tree: str) -> str | None:
-    """The body of one message, deepest parts first; the html siblings of a part are converted as one text."""
-    nodes = {tuple(node["path"]): node for node in json.loads(tree)}
-    children: dict[tuple, list] = {path: [] for path in nodes}
-    for path in sorted(nodes):
-        if path and path[:-1] in children:
-            children[path[:-1]].append(path)
-
-    results = {}
-    for path in sorted(nodes, key=len, reverse=True):
-        node = nodes[path]
-        plain, html = [], []
-        for child in children[path]:
-            part = nodes[child]
-            if part.get("kind") == PLAIN:
-                plain.append(part["text"])
-            elif part.get("kind") == HTML:
-                html.append(part["text"])
-            if children[child] and results[child]:
-                plain.append(results[child])
-        if node.get("kind") == PLAIN:
-            results[path] = node["text"]
-        elif node.get("kind") == HTML:
-            results[path] = parse_text(node["text"], MAIL_DROPPED, LINES)
-            if results[path] is None:
-                return None
-        elif plain:
-            results[path] = "\n".join(plain)
-        else:
-            text = parse_text("\n".join(html), MAIL_DROPPED, LINES)
-            if text is None:
-                return None
-            results[path] = text
-    return results[()]
-
-
-def _parser_body(tree: Column) -> Column:
-    @F.pandas_udf("string")
-    def folded(trees: pd.Series) -> pd.Series:
-        return trees.map(_fold, na_action="ignore")
-
-    return folded(tree)
