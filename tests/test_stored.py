@@ -5,8 +5,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import writeback
+from tidemill.operators import integrity, loading, writeback
 from tidemill.sources import versions
+from tidemill.sources.bucketed import save_bucketed
+from tidemill.sources.sales import ForeignKey
 
 
 def files(folder):
@@ -101,3 +103,23 @@ def test_a_slice_that_loses_all_rows_is_empty_afterwards(spark, tmp_path):
     # Doing it again, as after a broken run, changes nothing.
     tables = [(spark.read.parquet(items), items, "slice", "order_id"), (spark.read.parquet(orders), orders, "order_year", "id")]
     assert writeback.delete_stored(tables, keys) == [[], []]
+
+
+def test_joins_on_bucket_keys_shuffle_nothing(spark, tmp_path):
+    orders = spark.range(500).select("id", (F.col("id") % 9).alias("customer_id"))
+    items = spark.range(2000).select((F.col("id") % 600).alias("order_id"), F.col("id").alias("line"))
+    saved = save_bucketed({"orders": (orders, "id"), "items": (items, "order_id")}, str(tmp_path), 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        followed = loading.resolve_keys(saved["items"], saved["orders"], {"order_id": "id"}, "customer_id", "customer_id")
+        checked = integrity.check_constraints(saved, [ForeignKey("items", "order_id", "orders")])
+        for df, exchanges in ((followed, 0), (checked, 1)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Join" in plan and plan.count("Exchange") == exchanges
+            # The one exchange adds up one number a task, above the join.
+            assert "Exchange" not in plan[plan.index("Join"):]
+        assert followed.count() == sum(1 for n in range(2000) if n % 600 < 500)
+        assert checked.first()["violations"] == sum(1 for n in range(2000) if n % 600 >= 500)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemill.operators import integrity, loading, pricing, sales_reports, writeback
 from tidemill.plans.registry import Registry
 from tidemill.session import checkpoint_folder
+from tidemill.sources.bucketed import save_bucketed
 from tidemill.sources.sales import (
     ForeignKey,
     NotNull,
@@ -105,6 +106,35 @@ def constraint_checks(spark, folder):
     return integrity.check_constraints({name: read_table(spark, folder, name) for name in names}, STAR_CONSTRAINTS)
 
 
+@SALES.named(
+    "references_in_buckets",
+    """SELECT 'order_id' AS name, count(*) AS orphans, 0::BIGINT AS resolved FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)
+    UNION ALL SELECT 'motor_id', count(*), 0 FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0)
+    UNION ALL SELECT 'resolved', 0, sum(o_custkey)::BIGINT FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 7 <> 0""",
+)
+def references_in_buckets(spark, folder):
+    """References checked and followed over tables in buckets of their keys; some orders and motors are missing."""
+    target = f"{checkpoint_folder(spark)}/buckets-{uuid.uuid4().hex}"
+    mart = star_mart(spark, folder)
+    saved = save_bucketed(
+        {
+            "orders": (mart["orders"].filter("id % 7 <> 0").select("id", "customer_id"), "id"),
+            "items": (mart["order_items"].select("order_id", "motor_id", "quantity"), "order_id"),
+            "items_by_motor": (mart["order_items"].select("motor_id"), "motor_id"),
+            "motors": (mart["motors"].filter("id % 5 <> 0").select("id"), "id"),
+        },
+        target, 8,
+    )
+    checks = [
+        integrity.check_constraints({"items": saved[items], "parents": saved[parents]}, [ForeignKey("items", key, "parents")])
+        .select(F.lit(key).alias("name"), F.col("violations").alias("orphans"), F.lit(0).cast("bigint").alias("resolved"))
+        for key, items, parents in (("order_id", "items", "orders"), ("motor_id", "items_by_motor", "motors"))
+    ]
+    followed = loading.resolve_keys(saved["items"], saved["orders"], {"order_id": "id"}, "customer_id", "customer_id")
+    total = followed.agg(F.sum("customer_id").alias("resolved")).select(F.lit("resolved").alias("name"), F.lit(0).cast("bigint").alias("orphans"), "resolved")
+    return reduce(DataFrame.unionByName, [*checks, total])
+
+
 @SALES.named(
     "assign_ids",
     "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id, o_orderkey FROM orders",
