@@ -63,6 +63,35 @@ def test_language_of_odd_rows(odd):
         assert (lang == "und" and score == 0) if doc in (1, 2, 3) else lang in ("en", "fr", "de", "xx")
 
 
+def test_a_hundred_languages(spark):
+    chance = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrst")
+    vocabularies = [["".join(chance.choice(letters, 5)) for _ in range(12)] for _ in range(100)]
+    rows = [(100 * n + k, " ".join(chance.choice(words_, 40)), f"l{n:02d}") for n, words_ in enumerate(vocabularies) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = F.col("doc_id") % 100 < 3
+    found = {row["doc_id"]: row for row in language_id.identify_language(df, learnt, characters=1200, at_once=40).collect()}
+    assert all(found[doc]["lang_pred"] == lang for doc, _, lang in rows)
+    # However the languages are cut into blocks.
+    again = {row["doc_id"]: row for row in language_id.identify_language(df, learnt, characters=1200, at_once=100).collect()}
+    assert found == again
+
+
+def test_language_against_plain_phrases(spark):
+    rows = [(n, text * 3, lang) for n, (text, lang) in enumerate([("the cat and a hat ", "en"), ("le chat et un chapeau ", "fr"), ("la casa y el gato ", "es"), ("the chat la gato ", None), ("zzz", None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {row["doc_id"]: (row["lang_pred"], row["score"]) for row in language_id.identify_language(df, F.lit(True)).collect()}
+    for doc, text, _ in rows:
+        squeezed = [language_id.classes_of([other])[0] for _, other, lang in rows if lang]
+        own = "".join(map(chr, language_id.classes_of([text])[0]))
+        rates = []
+        for (_, _, lang), classes in zip(rows, squeezed, strict=False):
+            rates.append((longest_phrases("".join(map(chr, classes)), own) * np.log2(len(classes) + 1) / len(own), lang))
+        rates.sort()
+        assert found[doc][0] == min(rates)[1]
+        assert abs(found[doc][1] - (1 - rates[0][0] / rates[1][0])) < 1e-12
+
+
 def test_language_without_labels(odd, none):
     assert {row["lang_pred"] for row in language_id.identify_language(odd, F.lit(False)).collect()} == {"und"}
     assert language_id.identify_language(none, F.lit(True)).collect() == []

@@ -19,10 +19,11 @@ from tidemill.llm.letters import WHITE
 from tidemill.llm.wordstream import sized
 
 UNKNOWN = "und"
+# Languages whose automata are sent to the tasks together; further ones follow in blocks.
 LANGUAGES = 64
 SAMPLE_TEXTS = 64
 SAMPLE_CHARACTERS = 32_000
-# Of all languages together; an automaton has at most twice as many states as characters.
+# Of a block of languages together; an automaton has at most twice as many states as characters.
 ALL_CHARACTERS = 128_000
 # A phrase ends at the end of a piece of this many characters.
 PIECE = 2048
@@ -113,10 +114,8 @@ def phrases(table: np.ndarray, classes: np.ndarray, lengths: np.ndarray) -> np.n
     return np.bincount(owner[order], count, len(lengths)).astype(np.int64)
 
 
-def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> tuple[DataFrame, int]:
-    """``lang`` and ``text`` of a fixed choice of at most ``texts`` rows a language, for the most frequent languages; how many."""
-    counted = labelled.groupBy("lang").count()
-    languages = [row[0] for row in counted.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+def sample(labelled: DataFrame, languages: list[str], texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """``lang`` and ``text`` of a fixed choice of at most ``texts`` rows of each of some languages."""
     # The filter on the row number is applied before the shuffle as well: at most ``texts`` rows a task and language.
     by_chance = Window.partitionBy("lang").orderBy("pick", "doc_id")
     chosen = (
@@ -126,9 +125,9 @@ def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> tuple[DataFrame, i
         .filter(F.col("nth") <= texts)
         .select("lang", "doc_id")
     )
-    # At most LANGUAGES x texts rows; of rows with one id, one.
-    found = labelled.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"])
-    return found.select("lang", "text"), len(languages)
+    # At most languages x texts rows; of rows with one id, the one whose text has the least hash.
+    found = labelled.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"]).groupBy("lang", "doc_id")
+    return found.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("lang", "text")
 
 
 def _build(characters: int):
@@ -140,9 +139,9 @@ def _build(characters: int):
         classes, lengths, _ = classes_of(texts)
         starts = np.cumsum(lengths) - lengths
         spare, parts = characters, []
-        for share in (each, characters):
+        for begin, share in ((0, each), (each, characters)):
             for start, length in zip(starts, lengths, strict=True):
-                a = 0 if share == each else min(each, int(length))
+                a = min(begin, int(length))
                 stretch = classes[start + a : start + min(int(length), a + min(share, spare))]
                 parts.append(stretch)
                 spare -= len(stretch)
@@ -158,48 +157,57 @@ def _build(characters: int):
     return build
 
 
-def learn(labelled: DataFrame, characters: int = SAMPLE_CHARACTERS) -> list[tuple[str, int, np.ndarray]]:
-    """Language, sample size and automaton for each language of ``labelled`` (doc_id, text, lang)."""
+Model = tuple[str, int, np.ndarray]
+
+
+def learn(labelled: DataFrame, characters: int = SAMPLE_CHARACTERS, at_once: int = LANGUAGES) -> Iterator[list[Model]]:
+    """Language, sample size and automaton for each language of ``labelled`` (doc_id, text, lang), in blocks by name."""
     known = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
-    chosen, languages = sample(known)
-    share = min(characters, ALL_CHARACTERS // max(1, languages))
-    rows = chosen.groupBy("lang").applyInArrow(_build(share), "lang string, size bigint, table binary").collect()
-    return sorted((row[0], row[1], np.frombuffer(row[2], np.int32).reshape(-1, LETTERS)) for row in rows if row[1])
+    languages = sorted(row[0] for row in known.select("lang").distinct().collect())
+    share = min(characters, ALL_CHARACTERS // max(1, min(at_once, len(languages))))
+    for first in range(0, len(languages), at_once):
+        chosen = sample(known, languages[first : first + at_once])
+        rows = chosen.groupBy("lang").applyInArrow(_build(share), "lang string, size bigint, table binary").collect()
+        yield sorted((row[0], row[1], np.frombuffer(row[2], np.int32).reshape(-1, LETTERS)) for row in rows if row[1])
 
 
 def _judge(sent):
+    """Take a block of languages into the least rate so far, its language, and the second least rate."""
+
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches, "text", 4 << 20):
-            models = sent.value
             classes, lengths, lettered = classes_of(batch.column(1).to_pylist())
-            rates = [phrases(table, classes, lengths) * np.log2(size + 1) for _, size, table in models]
-            rates = np.array(rates).reshape(len(models), len(lengths)) / np.maximum(lengths, 1)
-            ordered = np.sort(rates, axis=0)
-            best = rates.argmin(axis=0) if len(models) else np.zeros(len(lengths), int)
-            known = lettered & bool(models)
-            score = np.zeros(len(lengths))
-            if len(models) > 1:
-                score = 1 - ordered[0] / np.maximum(ordered[1], 1e-12)
-            elif models:
-                score = np.ones(len(lengths))
-            names = [models[k][0] if fit else UNKNOWN for k, fit in zip(best, known, strict=True)]
+            least, second = batch.column(2).to_numpy().copy(), batch.column(3).to_numpy().copy()
+            names = np.array(batch.column(4).to_pylist(), object)
+            for name, size, table in sent.value:
+                rate = phrases(table, classes, lengths) * np.log2(size + 1) / np.maximum(lengths, 1)
+                # At equal rates the first name stays.
+                less = lettered & (rate < least)
+                second = np.where(lettered, np.minimum(second, np.where(less, least, rate)), second)
+                least, names = np.where(less, rate, least), np.where(less, name, names)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))],
-                ["doc_id", "lang_pred", "score"],
+                [batch.column(0), batch.column(1), pa.array(least), pa.array(second), pa.array(names.tolist(), pa.string())],
+                ["doc_id", "text", "least", "second", "name"],
             )
 
     return judge
 
 
 def identify_language(
-    df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    df: DataFrame,
+    learn_from: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    characters: int = SAMPLE_CHARACTERS,
+    at_once: int = LANGUAGES,
 ) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (0 to 1: how far the runner-up is behind) for each row.
 
     Languages are learnt from the rows where ``learn_from`` holds and text and language are not NULL:
-    ``SAMPLE_TEXTS`` rows of each of the ``LANGUAGES`` most frequent ones, chosen by a hash of the id, and
-    ``SAMPLE_CHARACTERS`` characters of them (``ALL_CHARACTERS`` in all), so what is sent to the tasks is bounded. A tie goes to the
-    first name. A NULL text, one without letters, and any text when nothing was learnt, is ``und`` with
+    ``SAMPLE_TEXTS`` rows of each, chosen by a hash of the id, and ``characters`` characters of them. Languages are
+    taken in blocks of ``at_once`` with ``ALL_CHARACTERS`` in all, so what is sent to the tasks for one is bounded; texts pass the
+    blocks one after the other in one stage. A tie goes to the first name. A NULL text, one without letters, and any text when nothing was learnt, is ``und`` with
     score 0. Texts are parsed whole, in pieces of ``PIECE`` characters. Repeated rows stay; other columns
     are left out, whatever their names. Texts are not shuffled.
     """
@@ -207,6 +215,13 @@ def identify_language(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
         F.coalesce(learn_from, F.lit(False)).alias("learn"),
     )
-    sent = df.sparkSession.sparkContext.broadcast(learn(source.filter("learn").select("doc_id", "text", "lang")))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    return source.select("doc_id", "text").mapInArrow(_judge(sent), f"doc_id {id_type}, lang_pred string, score double")
+    far = F.lit(float("inf"))
+    judged = source.select("doc_id", "text", far.alias("least"), far.alias("second"), F.lit(None).cast("string").alias("name"))
+    kinds = f"doc_id {id_type}, text string, least double, second double, name string"
+    for models in learn(source.filter("learn").select("doc_id", "text", "lang"), characters, at_once):
+        judged = judged.mapInArrow(_judge(df.sparkSession.sparkContext.broadcast(models)), kinds)
+    # Without a runner-up nothing is behind; two perfect fits are no choice.
+    behind = F.when(F.col("second") == float("inf"), 1.0).otherwise(1 - F.col("least") / F.greatest("second", F.lit(1e-12)))
+    score = F.when(F.col("name").isNull(), 0.0).otherwise(F.least(F.greatest(behind, F.lit(0.0)), F.lit(1.0)))
+    return judged.select("doc_id", F.coalesce("name", F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"))
