@@ -199,7 +199,12 @@ def triage_stream(
         waiting = unprocessed(prepare(batch), scope)
         if skip_labelled:
             waiting = _without_labelled(waiting, sink, batch_id)
-        _settle(batch.sparkSession, waiting, batch_id, sink, external, rules, dry_run, skip_labelled)
+        # Read twice: for the outcome, and for what is left undecided.
+        waiting.persist()
+        try:
+            _settle(batch.sparkSession, waiting, batch_id, sink, external, rules, dry_run, skip_labelled)
+        finally:
+            waiting.unpersist()
 
     return (
         reader.format(form).load(source)
