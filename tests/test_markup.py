@@ -47,11 +47,13 @@ def test_pages_of_the_table_are_sure_and_fast(small):
     pages = pq.read_table(f"{small}/pages.parquet")["html"].to_pylist()
     pages = pages * (1 + 1000 // len(pages))
     coded = [page.encode() for page in pages]
-    begin = time.perf_counter()
+    # CPU time, whatever else the machine does.
+    sure_texts(coded[:10], PAGE_DROPPED, INLINE)
+    begin = time.process_time()
     found = sure_texts(coded, PAGE_DROPPED, INLINE)
-    middle = time.perf_counter()
+    middle = time.process_time()
     wanted = [parse_text(page, PAGE_DROPPED, INLINE) for page in pages]
-    end = time.perf_counter()
+    end = time.process_time()
     assert sum(text is not None for text in found) >= 0.9 * len(pages)
     assert all(text == told for text, told in zip(found, wanted, strict=True) if text is not None)
     assert 2 * (middle - begin) < end - middle
