@@ -14,10 +14,11 @@ def _valid_on(day: Column, valid_from: Column, valid_to: Column) -> Column:
 def price_as_of(facts: DataFrame, prices: DataFrame, date_col: str, key: str = "motor_id") -> DataFrame:
     """Each fact with the price valid on its date; NULL where none is.
 
-    The equality on ``key`` makes this a hash or sort-merge join with the dates as a
-    residual condition. A hot key is split by adaptive execution.
+    The equality on ``key`` makes this a sort-merge join with the dates as a residual
+    condition: periods that a plan makes out of few rows look small, so none are broadcast. A
+    hot key is split by adaptive execution.
     """
-    spans = prices.withColumnsRenamed({key: "_key"})
+    spans = prices.withColumnsRenamed({key: "_key"}).hint("merge")
     condition = (facts[key] == spans["_key"]) & _valid_on(
         facts[date_col], spans["valid_from"], spans["valid_to"]
     )
