@@ -30,14 +30,15 @@ def price_as_of_long_history(facts: DataFrame, prices: DataFrame, date_col: str,
 
     Closed periods are spread over the months they touch and the month joins the equality, so a
     fact meets only the prices of its own month. Open periods, few a key, join on the key alone, so
-    there is no last day. Facts that neither finds keep NULL prices.
+    there is no last day. Facts that neither finds keep NULL prices. A period counts once for each
+    month, so its size is not to be seen in the plan, and no periods are broadcast.
     """
     month = F.trunc(F.col(date_col), "month")
     spans = prices.withColumnRenamed(key, "_key")
     months = F.sequence(F.trunc("valid_from", "month"), F.trunc("valid_to", "month"), F.expr("interval 1 month"))
     # A period that ends before it begins holds no day.
-    closed = spans.filter("valid_from <= valid_to").withColumn("_month", F.explode(months))
-    opened = spans.filter(F.col("valid_to").isNull())
+    closed = spans.filter("valid_from <= valid_to").withColumn("_month", F.explode(months)).hint("merge")
+    opened = spans.filter(F.col("valid_to").isNull()).hint("merge")
     day = facts[date_col]
     in_closed = (facts[key] == closed["_key"]) & (month == closed["_month"]) & _valid_on(day, closed["valid_from"], closed["valid_to"])
     in_opened = (facts[key] == opened["_key"]) & (opened["valid_from"] <= day)
