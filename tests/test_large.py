@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import loading, pricing
+from tidemill.plans.mail import MAIL
 from tidemill.plans.sales import SALES
 
 
@@ -38,3 +39,16 @@ def test_dimensions_are_not_broadcast(spark):
 
 def test_reloaded_tables_are_not_broadcast(spark, small):
     assert "BroadcastHashJoin" not in physical(SALES.queries["mart_reload"](spark, small))
+
+
+@pytest.mark.parametrize("name", ["triage_stream", "triage_stream_resumed", "triage_given_up"])
+def test_documents_in_several_files_are_streamed(name, spark, small, tmp_path):
+    def outcome(folder):
+        return sorted((tuple(row) for row in MAIL.queries[name](spark, str(folder)).collect()), key=repr)
+
+    for table in ("documents", "labels"):
+        rows = spark.read.parquet(f"{small}/{table}.parquet").limit(60)
+        rows.coalesce(1).write.parquet(f"{tmp_path}/one/{table}")
+        next((tmp_path / "one" / table).glob("part-*")).rename(tmp_path / "one" / f"{table}.parquet")
+        spark.read.parquet(f"{tmp_path}/one/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/many/{table}.parquet")
+    assert outcome(tmp_path / "many") == outcome(tmp_path / "one") != []

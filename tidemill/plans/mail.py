@@ -892,16 +892,16 @@ def triage_documents(spark, folder):
 TRIAGE_STREAM = DOCUMENTS + MERGED + "SELECT id, category, source, labels_after FROM relabelled"
 
 
-def _document_stream(spark, folder, target, external=None):
+def _document_stream(spark, folder, target, external=None, prepare=archive.document_messages):
+    """Triage of the files of the document table; the pattern takes a table of one file as well as a folder of files."""
     return triage_stream(
         spark,
-        folder,
+        f"{folder}/documents.parque[t]",
         read_table(spark, folder, "documents").schema,
         f"{target}/sink",
         f"{target}/checkpoint",
         external=external,
-        glob="documents.parquet",
-        prepare=archive.document_messages,
+        prepare=prepare,
     )
 
 
@@ -960,9 +960,7 @@ def triage_given_up(spark, folder):
         return messages.withColumns({"body": F.when(kind != 1, F.col("body")), "id": F.when(kind != 0, F.col("id"))})
 
     sink = f"{target}/sink"
-    triage_stream(
-        spark, folder, read_table(spark, folder, "documents").schema, sink, f"{target}/checkpoint", glob="documents.parquet", prepare=prepare,
-    ).awaitTermination()
+    _document_stream(spark, folder, target, prepare=prepare).awaitTermination()
     labels = archive.external_labels(read_table(spark, folder, "labels"))
     for _ in range(3):
         triage_waiting(spark, sink, labels)
