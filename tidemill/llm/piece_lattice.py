@@ -193,6 +193,42 @@ class Vocabulary:
             ids += [step] if isinstance(step, int) else self.bytes[list(step[0].encode("utf-8", "surrogatepass"))].tolist()
         return ids, forward[size]
 
+    def n_best_of_long(self, string: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """``n_best`` of a long string: the ``n`` best ways to each node, node by node in memory of a few numbers a character and way.
+
+        Ways to a node that end with the same piece come from the same node, where they are in order already.
+        """
+        size, ring = len(string), self.longest + 1
+        scores, numbers = array("d", [-np.inf]) * ((size + 1) * n), array("l", [-2]) * ((size + 1) * n)
+        widths, ranks = array("l", [0]) * ((size + 1) * n), array("l", [0]) * ((size + 1) * n)
+        coming: list[list[tuple[float, int, int, int]]] = [[] for _ in range(ring)]
+        own = [0.0]
+        scores[0] = 0.0
+        for at in range(size + 1):
+            if at:
+                ways = sorted(coming[at % ring])[:n]
+                coming[at % ring] = []
+                own = [-way[0] for way in ways]
+                for rank, (cost, number, before, length) in enumerate(ways, at * n):
+                    scores[rank], numbers[rank], ranks[rank], widths[rank] = -cost, number, before, length
+            for length in range(1, min(self.longest, size - at) + 1):
+                name = string[at : at + length]
+                number = self.pieces.get(name, -1)
+                if number >= 0 or length == 1:
+                    score = float(self.scores[number]) if number >= 0 else self.fallback
+                    coming[(at + length) % ring] += [(-(total + score), number, rank, length) for rank, total in enumerate(own)]
+                if name not in self.longer:
+                    break
+        found = []
+        for rank in range(len(own)):
+            path, at, way = [], size, rank
+            while at:
+                place = at * n + way
+                path.append(numbers[place])
+                at, way = at - widths[place], ranks[place]
+            found.append((scores[size * n + rank], self._flat(string, tuple(path))))
+        return found
+
     def _expand(self, number: np.ndarray, point: np.ndarray, who: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids with the bytes of characters that have no piece; how many each string has."""
         lone = number < 0

@@ -24,8 +24,10 @@ SPACE, NEWLINE = 0x20, 0x0A
 BATCH_BYTES = 1 << 20
 IDS_AT_ONCE = 1 << 18
 REMEMBERED = 250_000
-# A segment, a stretch without spaces and line breaks, of more characters is encoded at its best alone.
+# A segment, a stretch without spaces and line breaks, of more characters is solved by itself, node by node.
 LONG = 2048
+# Characters of such segments whose choices are kept.
+LONG_REMEMBERED = 1 << 20
 CHANGE = "array<struct<score:double,changes:array<struct<start:int,stop:int,ids:array<int>>>>>"
 _CHANGE = pa.list_(
     pa.struct(
@@ -85,12 +87,17 @@ def _choices(gaps: np.ndarray, lists, n: int) -> list[tuple[float, list[tuple[in
 
 
 class Encoder:
-    """Encodes texts; segments solved once are kept for later texts while they fit ``REMEMBERED``."""
+    """Encodes texts; segments solved once are kept for later texts while they fit ``REMEMBERED``.
 
-    def __init__(self, model_file: str, n: int):
+    ``long_choices``: other choices are looked for in segments of more than ``LONG`` characters, as in all others.
+    """
+
+    def __init__(self, model_file: str, n: int, long_choices: bool = False):
         self.vocabulary = Vocabulary(model_file)
         self.n = n
+        self.long_choices = long_choices and n > 1
         self.searched: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.searched_long: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -99,18 +106,25 @@ class Encoder:
         self.solved = Paths(np.zeros(0, np.int32), np.zeros(1, np.int64), nothing, nothing)
 
     @staticmethod
-    def _joined(paths: Paths, more: list[tuple[list[int], float]]) -> Paths:
-        """Paths with those of long segments, for which no second choice is looked for."""
+    def _joined(paths: Paths, more: list[tuple[Sequence[int], float, float]]) -> Paths:
+        """Paths with those of long segments."""
         if not more:
             return paths
-        ends = paths.starts[-1] + np.cumsum([len(ids) for ids, _ in more])
+        ends = paths.starts[-1] + np.cumsum([len(ids) for ids, _, _ in more])
         return Paths(
-            np.concatenate((paths.ids, *[np.array(ids, np.int64) for ids, _ in more])),
+            np.concatenate((paths.ids, *[np.array(ids, np.int64) for ids, _, _ in more])),
             np.concatenate((paths.starts, ends)),
-            np.concatenate((paths.scores, [score for _, score in more])),
-            np.concatenate((paths.gaps, np.full(len(more), np.inf))),
+            np.concatenate((paths.scores, [score for _, score, _ in more])),
+            np.concatenate((paths.gaps, [gap for _, _, gap in more])),
         )
 
+    def _of_long(self, segment: str) -> tuple[Sequence[int], float, float]:
+        """Ids and score of the best path of a long segment, and how far the second is behind."""
+        if not self.long_choices:
+            return *self.vocabulary.best_of_long(segment), np.inf
+        found = self._search(segment)
+        return found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf
+
     def _solve(self, segments: list[str]) -> np.ndarray:
         """Place of each segment among the solved ones."""
         if len(self.known) > REMEMBERED:
@@ -119,7 +133,7 @@ class Encoder:
         if new:
             short, long = [s for s in new if len(s) <= LONG], [s for s in new if len(s) > LONG]
             new = short + long
-            known, found = self.solved, self._joined(self.vocabulary.best(short), [self.vocabulary.best_of_long(s) for s in long])
+            known, found = self.solved, self._joined(self.vocabulary.best(short), [self._of_long(s) for s in long])
             self.known.update(zip(new, range(len(known.scores), len(known.scores) + len(new)), strict=True))
             self.solved = Paths(
                 np.concatenate((known.ids, found.ids.astype(np.int32))),
@@ -130,6 +144,12 @@ class Encoder:
         return np.fromiter((self.known[segment] for segment in segments), np.int64, len(segments))
 
     def _search(self, segment: str) -> list[tuple[float, tuple[int, ...]]]:
+        if len(segment) > LONG:
+            if segment not in self.searched_long:
+                if sum(map(len, self.searched_long)) > LONG_REMEMBERED:
+                    self.searched_long = {}
+                self.searched_long[segment] = self.vocabulary.n_best_of_long(segment, self.n)
+            return self.searched_long[segment]
         if len(self.searched) > REMEMBERED // 5:
             self.searched = {}
         if segment not in self.searched:
@@ -203,9 +223,8 @@ def encode_pieces(
     A text starts with the mark for a space and spaces become marks, as the model file has it; characters
     without a piece become bytes. The best segmentation has the highest sum of piece scores, and at equal
     sums the least ids read from the end. ``others`` holds the next ``n`` - 1 in order (at equal scores by the
-    place of their changes), each as changes of ``ids``: ids [start, stop) give way to others; no change is looked
-    for in a stretch of more than ``LONG`` characters without a space or line break. ``decode`` adds ``decoded``,
-    what the ids decode to, in the same pass. NULL and empty texts have no ids. The mark itself counts as a
+    place of their changes), each as changes of ``ids``: ids [start, stop) give way to others. ``decode`` adds
+    ``decoded``, what the ids decode to, in the same pass. NULL and empty texts have no ids. The mark itself counts as a
     space, so a text with it does not come back as it was. A model whose pieces span spaces or line breaks is
     refused. Repeated rows stay; no shuffle.
     """
@@ -214,7 +233,7 @@ def encode_pieces(
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in sized(batches, "text", BATCH_BYTES):
-            encoder = encoder or Encoder(model_file, n)
+            encoder = encoder or Encoder(model_file, n, long_choices=True)
             ids, starts, scores, more = encoder.encode(as_bytes(batch, "text"))
             columns = [*[batch.column(k) for k in range(2, batch.num_columns)], *([batch.column(1)] if text_col in carry else [])]
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
