@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.decontaminate import contaminated_words
 from tidemill.llm.line_dedup import line_dedup
 from tidemill.llm.quality_classifier import classify_quality
-from tidemill.llm.queries import read, tokenizer_file
+from tidemill.llm.queries import BEST, read, tokenizer_file
 from tidemill.llm.sentencepiece_codec import encode_pieces
 from tidemill.llm.simhash import simhash_groups
 from tidemill.llm.store import stored
@@ -59,12 +59,13 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All rows with ``ids``, ``n_pieces`` and ``round_trip`` (whether the ids decode to the text), in place of such columns."""
+    """All rows with ``ids``, ``n_pieces`` and ``round_trip`` (whether the ids, and those of the next best segmentations,
+    decode to the text), in place of such columns."""
     kept = docs.drop("ids", "n_pieces", "round_trip")
     safe, names, back = _carried(kept, without=("text",))
     # Encoding and decoding are one pass: the text goes to the tasks once.
-    pieces = encode_pieces(safe, tokenizer_file(), carry=["text", *names], decode=True)
-    trip = (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip")
+    pieces = encode_pieces(safe, tokenizer_file(), n=BEST, carry=["text", *names], decode=True)
+    trip = ((F.coalesce("text", F.lit("")) == F.col("decoded")) & F.col("others_decode")).alias("round_trip")
     done = pieces.select(*back, "text", "ids", F.size("ids").cast("long").alias("n_pieces"), trip)
     return done.select(*kept.columns, "ids", "n_pieces", "round_trip")
 

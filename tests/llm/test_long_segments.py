@@ -38,3 +38,24 @@ def test_long_stretches_have_other_choices(spark):
     rows = encode_pieces(df, tokenizer_file(), n=3, decode=True, carry=["text"]).collect()
     assert [len(row["others"]) for row in rows] == [2, 2]
     assert all(row["decoded"] == row["text"] and row["score"] >= row["others"][0]["score"] >= row["others"][1]["score"] for row in rows)
+
+
+def test_pipeline_searches_the_next_best(spark, monkeypatch):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "the next thing", "en"), (2, None, "en"), (3, "a▁b", "en")], "doc_id long, text string, lang string")
+    rows = {row["doc_id"]: row["round_trip"] for row in corpus_pipeline.encoded(spark, df, "").collect()}
+    assert rows == {1: True, 2: True, 3: False}
+    asked = []
+    encode = corpus_pipeline.encode_pieces
+    monkeypatch.setattr(corpus_pipeline, "encode_pieces", lambda *a, **b: asked.append(b["n"]) or encode(*a, **b))
+    corpus_pipeline.encoded(spark, df, "")
+    assert asked == [corpus_pipeline.BEST] and asked[0] > 1
+
+
+def test_others_decode_to_the_same():
+    encoder = Encoder(tokenizer_file(), 4, long_choices=True)
+    ids, _, _, others = encoder.encode([b"the next thing"])
+    assert len(others[0]) == 3 and sentencepiece_codec._same_texts(encoder.vocabulary, ids, others[0])
+    others[0][1]["changes"][0]["ids"] = [int(ids[0])] * 9
+    assert not sentencepiece_codec._same_texts(encoder.vocabulary, ids, others[0])

@@ -209,6 +209,16 @@ def _texts_of(vocabulary: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> li
     return texts
 
 
+def _same_texts(vocabulary: Vocabulary, ids: np.ndarray, others: list[dict]) -> bool:
+    """Whether all other choices of a text decode to the same bytes as its ids."""
+    texts = vocabulary.text
+    return all(
+        b"".join(texts[k] for k in change["ids"]) == b"".join(texts[k] for k in ids[change["start"] : change["stop"]].tolist())
+        for other in others
+        for change in other["changes"]
+    )
+
+
 def encode_pieces(
     df: DataFrame,
     model_file: str,
@@ -224,7 +234,7 @@ def encode_pieces(
     without a piece become bytes. The best segmentation has the highest sum of piece scores, and at equal
     sums the least ids read from the end. ``others`` holds the next ``n`` - 1 in order (at equal scores by the
     place of their changes), each as changes of ``ids``: ids [start, stop) give way to others. ``decode`` adds
-    ``decoded``, what the ids decode to, in the same pass. NULL and empty texts have no ids. The mark itself counts as a
+    ``decoded``, what the ids decode to, and ``others_decode``, whether all the others decode to the same, in the same pass. NULL and empty texts have no ids. The mark itself counts as a
     space, so a text with it does not come back as it was. A model whose pieces span spaces or line breaks is
     refused. Repeated rows stay; no shuffle.
     """
@@ -240,6 +250,8 @@ def encode_pieces(
             columns += [batch.column(0), lists, pa.array(scores), pa.array(more, _CHANGE)]
             if decode:
                 columns.append(pa.array(_texts_of(encoder.vocabulary, ids, np.diff(starts)), pa.string()))
+                pairs = zip(starts[:-1], starts[1:], more, strict=True)
+                columns.append(pa.array([_same_texts(encoder.vocabulary, ids[a:b], other) for a, b, other in pairs], pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     source = df.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("text"), *[F.col(name).alias(f"_{name}") for name in others])
@@ -247,7 +259,7 @@ def encode_pieces(
     fields = [(f"_{name}", kind) for name, kind in zip(others, kinds[2:], strict=True)]
     fields += [(f"_{text_col}", "string")] if text_col in carry else []
     fields += [("doc_id", kinds[0]), ("ids", "array<int>"), ("score", "double"), ("others", CHANGE)]
-    fields += [("decoded", "string")] if decode else []
+    fields += [("decoded", "string"), ("others_decode", "boolean")] if decode else []
     names = [name for name, _ in fields]
     out = source.mapInArrow(encode, ", ".join(f"`{name}` {kind}" for name, kind in fields))
     results = [name for name in names if not name.startswith("_")]
