@@ -1,11 +1,14 @@
 """Steps that failed on large tables: what they send to the driver, and how they are cut up."""
 
 import datetime
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import loading, pricing
+from tidemill.functions import markup
+from tidemill.operators import bodies, loading, pricing
 from tidemill.plans.mail import MAIL
 from tidemill.plans.sales import SALES
 
@@ -52,3 +55,31 @@ def test_documents_in_several_files_are_streamed(name, spark, small, tmp_path):
         next((tmp_path / "one" / table).glob("part-*")).rename(tmp_path / "one" / f"{table}.parquet")
         spark.read.parquet(f"{tmp_path}/one/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/many/{table}.parquet")
     assert outcome(tmp_path / "many") == outcome(tmp_path / "one") != []
+
+
+def test_emails_are_judged_without_joining_them_to_themselves(spark, small):
+    plan = physical(MAIL.queries["email_triage"](spark, small))
+    # Bodies are joined to their messages; nothing but the cuts of very large groups meets a whole table otherwise.
+    assert not re.search(r"SortMergeJoin [^\n]*, Inner", plan) and plan.count("BroadcastExchange") == 2
+
+
+def test_pages_are_read_in_slices(monkeypatch):
+    monkeypatch.setattr(markup, "BATCH_BYTES", 100)
+    pages = pa.array([b"<p>a</p>" * n for n in (1, 0, 40, 3, 9, 12)] + [None, b"x"], pa.binary())
+    slices = [some.to_pylist() for some in markup._sliced(pages)]
+    assert [page for some in slices for page in some] == pages.to_pylist() and len(slices) > 3
+    assert all(len(some) == 1 or sum(len(page or b"") for page in some) <= 100 for some in slices)
+    assert list(markup._sliced(pages.slice(0, 0))) == []
+
+
+def test_rejects_are_found_without_their_texts(spark):
+    parts = spark.createDataFrame(
+        [("a", [], "multipart/mixed", None), ("a", [0, 0], "text/plain", "YQ=="), ("b", [0], "text/plain", "YQ=="), ("c", [], "text/plain", "YQ=="),
+         ("c", [], "text/plain", "Yg=="), ("d", [], None, None), ("d", [0], None, None), ("d", [0, 1], "text/plain", "YQ=="), ("d", [1, 0, 0], "text/plain", "YQ=="), (None, [], "text/plain", "YQ==")],
+        "message_id string, path array<int>, mime_type string, data string",
+    )
+    found = bodies.part_rejects(parts)
+    assert "unbase64" not in physical(found)
+    assert sorted((tuple(row) for row in found.collect()), key=repr) == sorted(
+        [("a", [0, 0], bodies.PARENT_MISSING), ("b", [0], bodies.ROOT_MISSING), ("c", [], bodies.REPEATED), ("d", [1, 0, 0], bodies.PARENT_MISSING), (None, [], bodies.NO_ID)], key=repr
+    )

@@ -21,5 +21,6 @@ def email_records(export: DataFrame) -> DataFrame:
     delivered = normalise_headers(export_messages(export)).filter(F.col("id").isNotNull())
     last = F.max_by(F.struct(*delivered.columns), F.struct("ts", F.xxhash64(*delivered.columns)))
     messages = delivered.groupBy("id").agg(last.alias("_last")).select("_last.*")
-    bodies = select_body(export_parts(export)).withColumnRenamed("message_id", "id")
+    # Both sides lie by id already; bodies are not broadcast.
+    bodies = select_body(export_parts(export)).withColumnRenamed("message_id", "id").hint("merge")
     return thread_context(messages.join(bodies, "id", "left"))

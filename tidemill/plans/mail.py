@@ -300,12 +300,10 @@ def _conversation_lines(spark: SparkSession, folder: str) -> DataFrame:
 def email_triage(spark, folder):
     """From an export to labels: headers, bodies and thread context put together, then the rules."""
     emails = records.email_records(_written(spark, _conversation_lines(spark, folder), "emails"))
-    judged = triage(emails).select("id", "category", "rule_id", "cause", "labels_after")
-    fields = emails.select(
-        "id", "thread_id", "ts", "sender", "recipient", "subject", "date", "list_unsubscribe",
-        F.md5("thread_context").alias("context_md5"), F.md5("body").alias("body_md5"),
-    )
-    return fields.join(judged, "id")
+    shown = ["thread_id", "ts", "sender", "recipient", "subject", "date", "list_unsubscribe", "context_md5", "body_md5"]
+    hashed = emails.withColumns({"context_md5": F.md5("thread_context"), "body_md5": F.md5("body")})
+    # Ids are unique: the fields go along, in place of a join of the emails with themselves.
+    return triage(hashed, carry=shown).select("id", *shown, "category", "rule_id", "cause", "labels_after")
 
 
 @MAIL.named("email_triage_stream", EMAILS[: EMAILS.rindex("SELECT id, thread_id")] + """SELECT id, category, CAST(rule_id AS INT) AS rule_id,
