@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,30 +50,46 @@ def normalise_headers(messages: DataFrame) -> DataFrame:
 ROOT_MISSING, PARENT_MISSING, REPEATED, NO_ID = "missing root", "missing parent", "repeated part", "missing id"
 
 
-def _messages(parts: DataFrame) -> DataFrame:
-    """One row per message with id: its parts in path order, those to use and the others with a cause."""
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, within a lambda as well."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _messages(parts: DataFrame, with_text: bool = True) -> DataFrame:
+    """One row per message with id: its parts in path order, those to use and the others with a cause.
+
+    The causes follow from the paths; without texts no data is decoded or shuffled.
+    """
     kind = F.when((F.length("data") > 0) & F.col("mime_type").isin(PLAIN, HTML), F.col("mime_type"))
     leaves = parts.filter(F.col("message_id").isNotNull()).withColumn("_kind", kind)
     # Only the data of text parts goes any further.
-    decoded = with_base64_text(leaves.withColumn("data", F.when(F.col("_kind").isNotNull(), F.col("data"))), "data", "_own")
+    if with_text:
+        decoded = with_base64_text(leaves.withColumn("data", F.when(F.col("_kind").isNotNull(), F.col("data"))), "data", "_own")
+    else:
+        decoded = leaves.withColumn("_own", F.lit(None).cast("string"))
     node = F.struct(
         F.coalesce("path", F.array().cast("array<int>")).alias("path"),
         F.col("_kind").alias("kind"),
         F.when(F.col("_kind").isNotNull(), F.col("_own")).alias("text"),
     )
     grouped = decoded.groupBy("message_id").agg(F.array_sort(F.collect_list(node)).alias("_nodes"))
-    paths = grouped.withColumn("_paths", F.array_distinct(F.transform("_nodes", lambda node: node["path"])))
-
-    def above(path: Column) -> Column:
-        """Whether all parts a part lies in are there."""
-        levels = F.when(F.size(path) > 0, F.sequence(F.lit(0), F.size(path) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.forall(levels, lambda depth: F.array_contains("_paths", F.slice(path, F.lit(1), depth)))
+    # In path order what a part lies in comes before it: a path is sound if it is the root's or the one it lies in is.
+    every = F.array_distinct(F.transform("_nodes", lambda node: node["path"]))
+    sound = F.aggregate(
+        every, F.array().cast("array<array<int>>"),
+        lambda held, path: F.when(
+            (F.size(path) == 0) | F.array_contains(held, F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))),
+            F.concat(held, F.array(path)),
+        ).otherwise(held),
+    )
+    # One-element inlines: neither the paths nor the test of the root is computed again for each part.
+    paths = grouped.select("message_id", "_nodes", F.inline(F.array(F.struct(sound.alias("_sound")))))
 
     def cause(node: Column, at: Column) -> Column:
         again = (at > 0) & (F.try_element_at("_nodes", at)["path"] == node["path"])
         return (
-            F.when(~F.array_contains("_paths", F.array().cast("array<int>")), ROOT_MISSING)
-            .when(~above(node["path"]), PARENT_MISSING)
+            F.when(F.size("_sound") == 0, ROOT_MISSING)
+            .when(~F.array_contains("_sound", node["path"]), PARENT_MISSING)
             .when(again, REPEATED)
         )
 
@@ -107,7 +125,10 @@ def _with_html(nodes: str) -> Column:
 
     def told(node: Column) -> Column:
         depth = F.size(node["path"])
-        below = F.filter(nodes, lambda other: (F.size(other["path"]) == depth + 1) & (F.slice(other["path"], F.lit(1), depth) == node["path"]))
+        inside = F.filter(nodes, lambda other: (F.size(other["path"]) == depth + 1) & (F.slice(other["path"], F.lit(1), depth) == node["path"]))
+        return _bound(inside, lambda below: with_parts(node, depth, below))
+
+    def with_parts(node: Column, depth: Column, below: Column) -> Column:
         plain = F.exists(below, lambda other: other["kind"].eqNullSafe(PLAIN))
         markup = F.filter(below, lambda other: other["kind"].eqNullSafe(HTML))
         own = node["kind"].eqNullSafe(HTML) & ((depth == 0) | (F.size(below) > 0))
@@ -132,15 +153,23 @@ def _folded(parts: str, texts: str) -> Column:
     )
     backwards = F.reverse(F.transform(parts, lambda part, at: F.struct(part.alias("part"), F.get(F.col(texts), at).alias("converted"))))
 
+    def given_below(state: Column, depth: Column) -> Column:
+        return F.coalesce(F.try_element_at(state["levels"], depth + 1), none)
+
     def step(state: Column, item: Column) -> Column:
         part, depth = item["part"], item["part"]["depth"]
-        below = F.coalesce(F.try_element_at(state["levels"], depth + 1), none)
+        below = given_below(state, depth)
         by_html = part["kind"].eqNullSafe(HTML) & part["html"].isNotNull() | (part["kind"].isNull() & (F.size(below) == 0))
         result = (
             F.when(part["kind"] == PLAIN, part["text"])
             .when(by_html, F.coalesce(item["converted"], F.lit("")))
             .when(part["kind"].isNull(), F.array_join(below, "\n")).otherwise(F.lit(""))
         )
+        return _bound(result, lambda result: moved(state, item, result))
+
+    def moved(state: Column, item: Column, result: Column) -> Column:
+        part, depth = item["part"], item["part"]["depth"]
+        by_html = part["kind"].eqNullSafe(HTML) & part["html"].isNotNull() | (part["kind"].isNull() & (F.size(given_below(state, depth)) == 0))
         given = F.concat(
             F.when(part["kind"].eqNullSafe(PLAIN), F.array(part["text"])).otherwise(none),
             F.when(part["inner"] & (result != ""), F.array(result)).otherwise(none),
@@ -161,6 +190,6 @@ def part_rejects(parts: DataFrame) -> DataFrame:
     bad = F.filter("_judged", lambda item: item["cause"].isNotNull())
     nameless = parts.filter(F.col("message_id").isNull()).select("message_id", "path", F.lit(NO_ID).alias("cause"))
     return (
-        _messages(parts).select("message_id", F.explode(bad).alias("_item"))
+        _messages(parts, with_text=False).select("message_id", F.explode(bad).alias("_item"))
         .select("message_id", "_item.node.path", "_item.cause").unionByName(nameless)
     )
