@@ -2,13 +2,18 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemill.operators.threads import CONTEXT_SEPARATOR, thread_context
-from tidemill.streaming.thread_state import NO_TIME, ThreadTails, latest_contexts, thread_context_stream, threads_of
+from tidemill.plans.mail import MAIL
+from tidemill.session import checkpoint_folder
+from tidemill.streaming import thread_state
+from tidemill.streaming.thread_state import NO_TIME, ThreadTailRows, ThreadTails, latest_contexts, thread_context_stream, threads_of
 
 
 class Held:
@@ -131,3 +136,40 @@ def test_blocks_are_cut_before_the_state(spark):
     long = spark.createDataFrame([("1", None, None, None, None, "b" * 9000)], MESSAGES)
     row = threads_of(long).first()
     assert len(row["block"]) < 2600 and row["thread"] == "message 1" and row["at"] == NO_TIME
+
+
+def test_plain_rows_give_what_frames_give(monkeypatch):
+    monkeypatch.setattr(thread_state, "STEP_ROWS", 7)
+    chance = random.Random(3)
+    batches = [[(chance.randrange(60), f"m{chance.randrange(50)}", "b") for _ in range(size)] for size in (1, 20, 7, 30)]
+    handle, out = Handle(), []
+    for batch in batches:
+        tails = ThreadTailRows(0)
+        tails.init(handle)
+        rows = (Row(thread="t", at=at, id=name, block=block) for at, name, block in batch)
+        out += [row.asDict() for row in tails.handleInputRows(("t",), rows, None)]
+    steps = Handle()
+    wanted = []
+    for batch in batches:
+        tails = ThreadTails(0)
+        tails.init(steps)
+        frames = (pd.DataFrame(batch[at : at + 7], columns=["at", "id", "block"]) for at in range(0, len(batch), 7))
+        for frame in tails.handleInputRows(("t",), frames, None):
+            wanted += frame.to_dict("records")
+    assert out == wanted and any(row["late"] for row in out)
+    assert handle.states["recent"].value == steps.states["recent"].value
+
+
+def test_a_table_of_more_files_is_streamed_in_as_many_batches(spark, tmp_path):
+    rows = [(conv, turn, "user", f"text {conv} {turn}") for conv in range(12) for turn in range(4)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    for folder, files in (("one", 1), ("five", 5)):
+        turns.repartition(files).write.parquet(str(tmp_path / folder / "conversations.parquet"))
+    found = {}
+    for folder in ("one", "five"):
+        place = Path(checkpoint_folder(spark).removeprefix("file:"))
+        before = set(place.glob("threads-*"))
+        found[folder] = sorted(map(tuple, MAIL.queries["thread_context_stream"](spark, str(tmp_path / folder)).collect()))
+        (target,) = set(place.glob("threads-*")) - before
+        assert sorted(batch.name for batch in (target / "sink").glob("batch=*")) == [f"batch={number}" for number in range(4)]
+    assert len(found["one"]) == len(rows) and found["one"] == found["five"]

@@ -398,18 +398,20 @@ def thread_context(spark, folder):
 def thread_context_of_a_stream(spark, folder):
     """The same context from messages that arrive in four files, out of order and some of them twice, over two runs.
 
-    The second run is a new start from the checkpoint.
+    The second run is a new start from the checkpoint. A large table makes folders of files; a batch takes as many as
+    the largest folder has, so there are as many batches at any size.
     """
     target = f"{checkpoint_folder(spark)}/threads-{uuid.uuid4().hex}"
     messages = archive.conversations(spark, folder)
-    arrival = F.pmod(F.xxhash64("id"), F.lit(4))
-    again = messages.filter(F.pmod(F.xxhash64("id"), F.lit(5)) == 0).withColumn("arrival", F.pmod(arrival + 1, F.lit(4)))
+    arrival, again = F.pmod(F.xxhash64("id"), F.lit(4)), F.pmod(F.xxhash64("id"), F.lit(5)) == 0
+    files = []
     for number in range(4):
-        some = messages.withColumn("arrival", arrival).unionByName(again).filter(F.col("arrival") == number).drop("arrival")
+        some = messages.filter((arrival == number) | (again & (F.pmod(arrival + 1, F.lit(4)) == number)))
         some.write.parquet(f"{target}/source/file{number}")
+        files.append(len(spark.read.schema(messages.schema).parquet(f"{target}/source/file{number}").inputFiles()))
     for runs in ("file[01]", "file[0123]"):
         thread_context_stream(
-            spark, f"{target}/source/{runs}", messages.schema, f"{target}/sink", f"{target}/checkpoint", files_per_batch=2,
+            spark, f"{target}/source/{runs}", messages.schema, f"{target}/sink", f"{target}/checkpoint", files_per_batch=max(files),
         ).awaitTermination()
     return latest_contexts(spark.read.parquet(f"{target}/sink")).select("id", "thread_context")
 
