@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemill.llm import language_id, quality_classifier, quality_rules
 from tidemill.llm.decontaminate import contaminated_words
 from tidemill.llm.kneser_ney import ORDER, KneserNey
-from tidemill.llm.letters import CLASSES, class_table
+from tidemill.llm.letters import CLASSES, class_table, shares_in_class
 from tidemill.llm.queries import LLM, fold
 
 
@@ -312,6 +312,34 @@ def test_kneser_ney_sums_to_one():
         assert abs(share.sum() - 1) < 1e-5
 
 
+def test_shares_of_characters_in_their_class():
+    points = {"a": "жё12漢 ", "b": "ж1\t\n", "c": ""}
+    counts = {lang: (np.array([ord(c) for c in text], np.uint32), np.arange(1, len(text) + 1)) for lang, text in points.items()}
+    alphabet, shares = shares_in_class(counts)
+    assert alphabet.tolist() == sorted({ord(c) for text in points.values() for c in text})
+    for share in shares.values():
+        assert np.allclose(np.bincount(class_table()[alphabet], np.exp(share), CLASSES)[np.unique(class_table()[alphabet])], 1)
+    digits = np.exp(shares["b"])[np.isin(alphabet, [ord("1"), ord("2")])]
+    assert np.allclose(digits, [(2 + 5 / 9) / 3, (4 / 9) / 3])
+
+
+def test_characters_of_one_class_are_told_apart(spark):
+    chance = np.random.default_rng(8)
+    letters = [chr(0x430 + n) for n in range(32)]
+    vocabulary = ["".join(chance.choice(letters, chance.integers(2, 9))) for _ in range(300)]
+    texts = [" ".join(chance.choice(vocabulary, 80)) for _ in range(80)]
+    # Ten times a thousand code points on: each character stays in its class.
+    strange = texts[0].translate({ord(letter): ord(letter) + 10_000 for letter in letters})
+    codes, lengths = quality_rules.gram_codes([texts[0], strange])
+    assert codes[: lengths[0]].tolist() == codes[lengths[0] :].tolist()
+    rows = [(n, text, "xx") for n, text in enumerate([*texts, strange])]
+    judged = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    found = {row["doc_id"]: row for row in judged}
+    assert not any(row["base_failed"] for row in judged)
+    assert found[80]["perplexity"] > 2 * max(found[n]["perplexity"] for n in range(80))
+    assert [found[n]["kept"] for n in range(81)] == [True] * 80 + [False]
+
+
 def test_kept_follows_the_bands(spark, small, documents):
     rows = quality_rules.quality_rules(documents).join(documents.select("doc_id", "lang"), "doc_id").collect()
     bands = {}
