@@ -173,3 +173,16 @@ def test_a_table_of_more_files_is_streamed_in_as_many_batches(spark, tmp_path):
         (target,) = set(place.glob("threads-*")) - before
         assert sorted(batch.name for batch in (target / "sink").glob("batch=*")) == [f"batch={number}" for number in range(4)]
     assert len(found["one"]) == len(rows) and found["one"] == found["five"]
+
+
+def test_a_stream_of_frames_goes_on_from_its_checkpoint(spark, tmp_path):
+    rows = [(f"m{n}", f"t{n % 3}", f"2024-01-01 00:{n * 7 % 30:02d}:00", "a@b", "s", f"body {n}") for n in range(30)]
+    messages = spark.createDataFrame(rows, MESSAGES.replace("timestamp_ntz", "string")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for number in range(2):
+        messages.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == number).coalesce(1).write.parquet(str(tmp_path / f"source/file{number}"))
+        names = "01"[: number + 1]
+        thread_context_stream(
+            spark, str(tmp_path / f"source/file[{names}]"), messages.schema, str(tmp_path / "sink"), str(tmp_path / "checkpoint"), frames=True
+        ).awaitTermination()
+    got = {row["id"]: row["thread_context"] for row in latest_contexts(spark.read.parquet(str(tmp_path / "sink"))).collect()}
+    assert got == {row["id"]: row["thread_context"] for row in thread_context(messages).collect()}
