@@ -59,3 +59,26 @@ def test_others_decode_to_the_same():
     assert len(others[0]) == 3 and sentencepiece_codec._same_texts(encoder.vocabulary, ids, others[0])
     others[0][1]["changes"][0]["ids"] = [int(ids[0])] * 9
     assert not sentencepiece_codec._same_texts(encoder.vocabulary, ids, others[0])
+
+
+def test_edges_are_not_sorted(vocabulary, monkeypatch):
+    """Paths of many strings come from passes over places, without a sort of all edges."""
+    chance = random.Random(11)
+    strings = ["".join(chance.choice("theinxab漢é▁") for _ in range(size)) for size in [1, 40, 3, 200, 3, 17, 1]]
+    wanted = [vocabulary.n_best_of_long(string, 2) for string in strings]
+
+    def refuse(*_, **__):
+        raise AssertionError("sorted")
+
+    monkeypatch.setattr("numpy.lexsort", refuse)
+    found = vocabulary.best(strings)
+    for at, ways in enumerate(wanted):
+        assert found.ids[found.starts[at] : found.starts[at + 1]].tolist() == list(ways[0][1]) and found.scores[at] == ways[0][0]
+        assert found.gaps[at] == (ways[0][0] - ways[1][0] if len(ways) > 1 else float("inf"))
+
+
+def test_known_segments_are_not_decoded_again(monkeypatch):
+    encoder = Encoder(tokenizer_file(), 1)
+    first = encoder.encode([b"the next thing"])[0].tolist()
+    monkeypatch.setattr(sentencepiece_codec, "_named", lambda segment: 1 / 0)
+    assert encoder.encode([b"the next thing"])[0].tolist() == first

@@ -1,7 +1,8 @@
 """Best and N-best segmentations of many short strings over a SentencePiece vocabulary.
 
 The lattice of a string has a node between characters and an edge for each piece. Forward Viterbi
-scores of all strings are computed side by side. N-best search runs backward from the end and is
+scores of all strings are computed side by side: characters and nodes lie by their place in the string,
+at each place the longest strings first, so that one step is a few operations on whole arrays. N-best search runs backward from the end and is
 led by the forward scores, which say exactly what the rest is worth at best (A-star). A path is
 better by its score, and at equal scores by its ids read from the end.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 from array import array
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -18,13 +20,8 @@ from tidemill.llm.wordstream import mix
 
 MARK = "▁"
 _STEP = 0x9E3779B97F4A7C15
-_BACK = pow(_STEP, -1, 1 << 64)
-
-
-def _powers(base: int, count: int) -> np.ndarray:
-    out = np.full(count, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+# Buckets of the table of beginnings, by the first bits of their keys.
+_BUCKET_BITS = 18
 
 
 class Paths:
@@ -62,9 +59,12 @@ class Vocabulary:
         names = [*self.pieces, *longer.difference(self.pieces)]
         keys = self._hashes(names)
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.numbers = np.array([self.pieces.get(name, -1) for name in names], np.int64)[order]
-        self.goes_on = np.array([name in longer for name in names], np.bool_)[order]
+        # The last entry is no beginning; it stops the walk from the first of a bucket.
+        self.keys = np.append(keys[order], np.uint64((1 << 64) - 1))
+        self.numbers = np.append(np.array([self.pieces.get(name, -1) for name in names], np.int64)[order], -1)
+        self.goes_on = np.append(np.array([name in longer for name in names], np.bool_)[order], False)
+        buckets = np.arange(1 << _BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - _BUCKET_BITS)
+        self.bucket = np.searchsorted(self.keys, buckets)
 
     @cached_property
     def text_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,90 +82,113 @@ class Vocabulary:
             out.append(total % (1 << 64))
         return mix(np.array(out, np.uint64))
 
-    def _edges(self, points: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, length, id (-1 for bytes) and score of each edge. ``room``: characters from each on to the end of its string."""
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, len(points)))))
-        back = _powers(_BACK, len(points))
-        starts, lengths, ids = [], [], []
-        at = np.arange(len(points))
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of the first entry that is no less than each key."""
+        place = self.bucket[keys >> np.uint64(64 - _BUCKET_BITS)]
+        late = np.flatnonzero(self.keys[place] < keys)
+        while len(late):
+            place[late] += 1
+            late = late[self.keys[place[late]] < keys[late]]
+        return place
+
+    def _edges(self, points: np.ndarray, ahead: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Length, start, id (-1 for bytes) and score of the edges, shortest first, each length in the order of ``points``.
+
+        ``ahead``: how far on the next character of the same string is; ``last``: which characters end their string.
+        """
+        codes = points.astype(np.uint64) + np.uint64(1)
+        at = tip = np.arange(len(points))
+        sums = codes
         for length in range(1, self.longest + 1):
-            keys = mix((sums[at + length] - sums[at]) * back[at])
-            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            keys = mix(sums)
+            place = self._find(keys)
             known = self.keys[place] == keys
             number = np.where(known, self.numbers[place], -1)
             # A character without a piece is an edge all the same.
-            found = np.ones(len(at), np.bool_) if length == 1 else number >= 0
-            starts.append(at[found])
-            lengths.append(np.full(int(found.sum()), length))
-            ids.append(number[found])
-            at = at[known & self.goes_on[place] & (room[at] > length)]
-            if not len(at):
+            found = slice(None) if length == 1 else np.flatnonzero(number >= 0)
+            number_found = number[found]
+            yield length, at[found], number_found, np.where(number_found >= 0, self.scores[number_found], self.fallback)
+            on = np.flatnonzero(known & self.goes_on[place] & ~last[tip])
+            if not len(on):
                 break
-        start, length, number = np.concatenate(starts), np.concatenate(lengths), np.concatenate(ids)
-        return start, length, number, np.where(number >= 0, self.scores[number], self.fallback)
-
-    @staticmethod
-    def _steps(order_key: np.ndarray) -> list[tuple[int, int]]:
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(order_key)) + 1, [len(order_key)])).tolist()
-        return list(zip(edges[:-1], edges[1:], strict=True))
+            at, tip = at[on], tip[on]
+            tip = tip + ahead[tip]
+            sums = sums[on] + codes[tip] * np.uint64(pow(_STEP, length, 1 << 64))
 
     def best(self, strings: list[str]) -> Paths:
         """The best path of each string (none is empty)."""
         if not strings:
             return Paths(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0), np.zeros(0))
-        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+        count = len(strings)
+        sizes = np.fromiter(map(len, strings), np.int64, count)
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        # How many strings have a character at each place, and where those begin.
+        places = int(sizes[0])
+        wide = np.searchsorted(-sizes, -np.arange(places + 1))
+        base = np.concatenate(([0], np.cumsum(wide[:-1])))
+        place = np.repeat(np.arange(places), wide[:-1])
+        row = np.arange(len(place)) - base[place]
         begin = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(strings)), sizes)
-        offset = np.arange(len(points)) - begin[owner]
-        start, length, number, score = self._edges(points, sizes[owner] - offset)
-        # Nodes: one more than characters in each string.
-        node = start + owner[start]
-        target = node + length
-        ends = offset[start] + length
-        order = np.lexsort((number, target, ends))
-        node, target, number, score, length, start = (x[order] for x in (node, target, number, score, length, start))
-        nodes = len(points) + len(strings)
-        first_nodes = begin + np.arange(len(strings))
-        last_nodes = first_nodes + sizes
-        forward, chosen = np.full(nodes, -np.inf), np.zeros(nodes, np.int64)
-        forward[first_nodes] = 0.0
-        for a, b in self._steps(ends[order]):
-            total = forward[node[a:b]] + score[a:b]
-            first = np.concatenate(([0], np.flatnonzero(np.diff(target[a:b])) + 1))
-            most = np.maximum.reduceat(total, first)
-            wide = np.repeat(most, np.diff(np.append(first, b - a)))
-            # Edges are in the order of ids, so the first of the best is the least id.
-            pick = np.minimum.reduceat(np.where(total == wide, np.arange(a, b), b), first)
-            forward[target[a:b][first]] = most
-            chosen[target[a:b][first]] = pick
+        flat = np.frombuffer("".join([strings[k] for k in order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = flat[begin[row] + place]
+        # Nodes: the starts of all strings, then one after each character.
+        first_node = np.concatenate(([0], count + base[:-1]))
+        nodes = count + len(points)
+        last_nodes = first_node[sizes] + np.arange(count)
+        edges = []
+        for length, start, number, score in self._edges(points, wide[place], place + 1 == sizes[row]):
+            bounds = np.searchsorted(start, base).tolist()
+            node, target = first_node[place[start]] + row[start], first_node[place[start] + length] + row[start]
+            edges.append((length, bounds, node, target, number, score, np.empty(len(start)), row[start]))
+        forward, chosen, width = np.full(nodes, -np.inf), np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
+        forward[:count] = 0.0
+        for at in range(places):
+            for length, bounds, node, target, number, score, total, _ in edges:
+                a, b = bounds[at], bounds[at + 1]
+                if a == b:
+                    continue
+                worth, to, own = forward[node[a:b]] + score[a:b], target[a:b], number[a:b]
+                total[a:b] = worth
+                have = forward[to]
+                # Of equal ones the least id.
+                pick = np.flatnonzero((worth > have) | ((worth == have) & (own < chosen[to])))
+                to = to[pick]
+                forward[to], chosen[to], width[to] = worth[pick], own[pick], length
         # Along the best paths, from the ends.
-        taken = np.zeros(len(node), bool)
-        at, live, rounds = last_nodes.copy(), np.arange(len(strings)), []
+        taken = np.zeros(nodes, np.int64)
+        node, at, live, rounds, steps = last_nodes.copy(), sizes.copy(), np.arange(count), [], np.zeros(count, np.int64)
         while len(live):
-            edge = chosen[at[live]]
-            taken[edge] = True
-            rounds.append((live, edge))
-            at[live] = node[edge]
-            live = live[at[live] > first_nodes[live]]
-        who = np.concatenate([r[0] for r in rounds]) if rounds else np.zeros(0, np.int64)
-        edge = np.concatenate([r[1] for r in rounds]) if rounds else np.zeros(0, np.int64)
-        path = np.lexsort((start[edge], who))
-        who, edge = who[path], edge[path]
+            here = node[live]
+            taken[here] = width[here]
+            before = at[live] - width[here]
+            rounds.append((live, chosen[here], base[before] + live))
+            steps[live] += 1
+            at[live], node[live] = before, first_node[before] + live
+            live = live[before > 0]
+        each = np.empty(count, np.int64)
+        each[order] = steps
+        ends = np.cumsum(each)[order]
+        number, point = np.empty(int(each.sum()), np.int64), np.empty(int(each.sum()), np.uint32)
+        for back, (live, ids, start) in enumerate(rounds, 1):
+            spot = ends[live] - back
+            number[spot], point[spot] = ids, points[start]
         # Backward scores, for the best path through each edge that the best path leaves out.
-        backward = np.full(nodes, -np.inf)
+        backward, second = np.full(nodes, -np.inf), np.full(count, -np.inf)
         backward[last_nodes] = 0.0
-        left = sizes[owner[start]] - offset[start]
-        back_order = np.argsort(left, kind="stable")
-        for a, b in self._steps(left[back_order]):
-            part = back_order[a:b]
-            np.maximum.at(backward, node[part], score[part] + backward[target[part]])
-        through = np.where(taken, -np.inf, forward[node] + score + backward[target])
-        second = np.full(len(strings), -np.inf)
-        np.maximum.at(second, owner[start], through)
+        for at in reversed(range(places)):
+            for _, bounds, node, target, _, score, _, _ in edges:
+                a, b = bounds[at], bounds[at + 1]
+                if a < b:
+                    here = node[a:b]
+                    backward[here] = np.maximum(backward[here], score[a:b] + backward[target[a:b]])
+        for length, _, _, target, _, _, total, owner in edges:
+            np.maximum.at(second, owner, np.where(taken[target] == length, -np.inf, total + backward[target]))
+        scores, gaps = np.empty(count), np.empty(count)
         best = forward[last_nodes]
-        ids, counts = self._expand(number[edge], points[start[edge]], who, len(strings))
-        return Paths(ids, np.concatenate(([0], np.cumsum(counts))), best, best - second)
+        scores[order], gaps[order] = best, best - second
+        ids, counts = self._expand(number, point, np.repeat(np.arange(count), each), count)
+        return Paths(ids, np.concatenate(([0], np.cumsum(counts))), scores, gaps)
 
     def best_of_long(self, string: str) -> tuple[list[int], float]:
         """Ids and score of the best path of one long string, node by node in memory of a few numbers a character."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ _CHANGE = pa.list_(
 )
 
 
-def cut(texts: Sequence[bytes | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+def cut(texts: Sequence[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Number of the distinct segment at each place, the distinct segments, and the first place of each text."""
     marked = [b" " + text.replace(MARK.encode(), b" ") if text else b"" for text in texts]
     joined = b"".join(marked)
@@ -57,8 +58,11 @@ def cut(texts: Sequence[bytes | None]) -> tuple[np.ndarray, list[str], np.ndarra
     at = np.flatnonzero(starts)
     offsets = np.append(at, len(data)).astype(np.int32)
     coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
-    segments = [segment.decode("utf-8").replace(" ", MARK) for segment in coded.dictionary.to_pylist()]
-    return np.asarray(coded.indices).astype(np.int64), segments, np.searchsorted(at, begins)
+    return np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist(), np.searchsorted(at, begins)
+
+
+def _named(segment: bytes) -> str:
+    return segment.decode("utf-8").replace(" ", MARK)
 
 
 def _choices(gaps: np.ndarray, lists, n: int) -> list[tuple[float, list[tuple[int, int]]]]:
@@ -101,7 +105,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         nothing = np.zeros(0)
         self.solved = Paths(np.zeros(0, np.int32), np.zeros(1, np.int64), nothing, nothing)
 
@@ -125,23 +129,28 @@ class Encoder:
         found = self._search(segment)
         return found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf
 
-    def _solve(self, segments: list[str]) -> np.ndarray:
+    def _solve(self, segments: list[bytes]) -> np.ndarray:
         """Place of each segment among the solved ones."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        new = [segment for segment in segments if segment not in self.known]
-        if new:
-            short, long = [s for s in new if len(s) <= LONG], [s for s in new if len(s) > LONG]
-            new = short + long
-            known, found = self.solved, self._joined(self.vocabulary.best(short), [self._of_long(s) for s in long])
-            self.known.update(zip(new, range(len(known.scores), len(known.scores) + len(new)), strict=True))
+        rows = np.array(list(map(self.known.get, segments, repeat(-1))), np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            names = [_named(segments[at]) for at in new.tolist()]
+            long = np.fromiter(map(len, names), np.int64, len(names)) > LONG
+            chosen = np.concatenate((np.flatnonzero(~long), np.flatnonzero(long)))
+            short = len(names) - int(long.sum())
+            names, new = [names[at] for at in chosen.tolist()], new[chosen]
+            known, found = self.solved, self._joined(self.vocabulary.best(names[:short]), [self._of_long(s) for s in names[short:]])
+            rows[new] = np.arange(len(known.scores), len(known.scores) + len(new))
+            self.known.update(zip([segments[at] for at in new.tolist()], rows[new].tolist(), strict=True))
             self.solved = Paths(
                 np.concatenate((known.ids, found.ids.astype(np.int32))),
                 np.concatenate((known.starts, found.starts[1:] + known.starts[-1])),
                 np.concatenate((known.scores, found.scores)),
                 np.concatenate((known.gaps, found.gaps)),
             )
-        return np.fromiter((self.known[segment] for segment in segments), np.int64, len(segments))
+        return rows
 
     def _search(self, segment: str) -> list[tuple[float, tuple[int, ...]]]:
         if len(segment) > LONG:
@@ -172,7 +181,7 @@ class Encoder:
         gaps = paths.gaps[rows]
         for number in range(len(texts)):
             a, b = int(first[number]), int(first[number + 1])
-            lists = lambda place, a=a: [score for score, _ in self._search(segments[places[a + place]])]
+            lists = lambda place, a=a: [score for score, _ in self._search(_named(segments[places[a + place]]))]
             others.append(
                 [
                     {
@@ -181,7 +190,7 @@ class Encoder:
                             {
                                 "start": int(ends[a + place] - ends[a]),
                                 "stop": int(ends[a + place + 1] - ends[a]),
-                                "ids": list(self._search(segments[places[a + place]])[rank][1]),
+                                "ids": list(self._search(_named(segments[places[a + place]]))[rank][1]),
                             }
                             for place, rank in changes
                         ],
