@@ -31,8 +31,9 @@ def word_keys(block: Block) -> np.ndarray:
     """59 bits of a word's hash and, below, five of its shape: its last letter beyond ASCII, or else its last letter."""
     if not len(block):
         return np.zeros(0, np.uint64)
-    at = np.arange(len(block.data))
-    last = np.maximum.accumulate(np.where(block.data > 127, at, -1))[block.ends - 1]
+    beyond = block.data > 127
+    # Where the last letter beyond ASCII up to each word's end is.
+    last = np.append(np.flatnonzero(beyond), -1)[np.cumsum(beyond, dtype=np.int32)[block.ends - 1] - 1]
     wide = last >= block.starts
     shape = np.where(wide, 16 + block.data[np.maximum(last, 0)] % 16, block.data[block.ends - 1] % 16)
     return (block.hashes() & ~np.uint64(SLOTS - 1)) | shape.astype(np.uint64)
@@ -67,12 +68,14 @@ def _send(buckets: int):
         if not len(tokens.keys):
             return
         learnt = tokens.learn[tokens.block.owner].astype(np.uint64)
-        bucket = mix(tokens.keys) % np.uint64(buckets)
-        order = np.lexsort((tokens.keys, bucket))
-        keys, bucket = tokens.keys[order], bucket[order]
-        first = np.union1d(groups_of(keys), groups_of(bucket))
-        often = np.add.reduceat(learnt[order], first)
-        yield dealt(bucket[first], chunk, {"keys": (keys[first], 8), "counts": (often, 4)})
+        order = np.argsort(tokens.keys)
+        keys = tokens.keys[order]
+        first = groups_of(keys)
+        keys, often = keys[first], np.add.reduceat(learnt[order], first)
+        # The words of a chunk are in the order of their keys; only the distinct ones are dealt.
+        bucket = (mix(keys) % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+        order = np.argsort(bucket, kind="stable")
+        yield dealt(bucket[order], chunk, {"keys": (keys[order], 8), "counts": (often[order], 4)})
 
     return send
 

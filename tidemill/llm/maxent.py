@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from tidemill.llm.wordstream import mix
+from tidemill.llm.wordstream import groups_of, mix
 
 CLASSES = 32
 SLOTS = 32
@@ -72,12 +72,17 @@ class MaxEnt:
         return np.concatenate((np.zeros((1, first.shape[1]), np.int64), first)), np.concatenate((classes[None], second))
 
     @staticmethod
-    def _log_softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        total = table[rows[0]]
+    def _shares(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the weights less the greatest of each context, and the logarithm of what their exponentials add up to."""
+        total = table.take(rows[0], axis=0)
         for row in rows[1:]:
-            total += table[row]
-        total -= total.max(axis=1, keepdims=True)
-        return total - np.log(np.exp(total).sum(axis=1, keepdims=True))
+            total += table.take(row, axis=0)
+        # The greatest by halves (rows are powers of two wide); a reduction over so short an axis costs several times more.
+        most = total.reshape(-1)
+        while len(most) > len(total):
+            most = np.maximum(most[0::2], most[1::2])
+        total -= most[:, None]
+        return total, np.log(np.exp(total).sum(axis=1, keepdims=True))
 
     def score(self, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Natural log probability of each token's class and slot."""
@@ -87,9 +92,27 @@ class MaxEnt:
             classes, slots = tokens[part] // SLOTS, tokens[part] % SLOTS
             rows = self._rows(self.features(one[part], two[part]), classes)
             each = np.arange(len(classes))
-            out[part] = self._log_softmax(self.by_class, rows[0])[each, classes] + self._log_softmax(self.by_slot, rows[1])[each, slots]
+            of_class, of_slot = self._shares(self.by_class, rows[0]), self._shares(self.by_slot, rows[1])
+            out[part] = (of_class[0][each, classes] - of_class[1][:, 0]) + (of_slot[0][each, slots] - of_slot[1][:, 0])
         return out
 
+    @staticmethod
+    def _summed(slope: np.ndarray, feature: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the rows of ``slope`` for each value of ``feature`` (all below ``rows``), and those values in order."""
+        order = np.argsort(feature.astype(np.min_scalar_type(rows)), kind="stable")
+        ordered = feature[order]
+        first = groups_of(ordered)
+        sizes = np.diff(np.append(first, len(ordered)))
+        # Most values come once or twice.
+        step = slope.take(order[first], axis=0)
+        twice = np.flatnonzero(sizes == 2)
+        step[twice] += slope.take(order[first[twice] + 1], axis=0)
+        often = np.flatnonzero(sizes > 2)
+        if len(often):
+            starts = np.cumsum(sizes[often]) - sizes[often]
+            step[often] = np.add.reduceat(slope.take(order[np.repeat(sizes > 2, sizes)], axis=0), starts, axis=0)
+        return step, ordered[first]
+
     def learn(self, tokens: np.ndarray, one: np.ndarray, two: np.ndarray, seen: tuple[np.ndarray, np.ndarray]) -> None:
         """Gradient steps over small batches; ``seen`` holds the squared gradients of each row so far."""
         for at in range(0, len(tokens), BATCH):
@@ -98,17 +121,15 @@ class MaxEnt:
             rows = self._rows(self.features(one[part], two[part]), classes)
             each = np.arange(len(classes))
             for table, row, wanted, squares in ((self.by_class, rows[0], classes, seen[0]), (self.by_slot, rows[1], slots, seen[1])):
-                slope = np.exp(self._log_softmax(table, row))
+                slope, logs = self._shares(table, row)
+                slope -= logs
+                np.exp(slope, out=slope)
                 slope[each, wanted] -= 1
                 # The count weights stay: what they say is exact.
                 for feature in row[1:]:
-                    order = np.argsort(feature, kind="stable")
-                    ordered = feature[order]
-                    first = np.concatenate(([0], np.flatnonzero(np.diff(ordered)) + 1))
-                    step = np.add.reduceat(slope[order], first, axis=0)
-                    touched = ordered[first]
+                    step, touched = self._summed(slope, feature, len(table))
                     squares[touched] += np.einsum("ij,ij->i", step, step) / step.shape[1]
-                    table[touched] -= RATE * step / np.sqrt(squares[touched] + 1.0)[:, None]
+                    table[touched] = table.take(touched, axis=0) - RATE * step / np.sqrt(squares[touched] + 1.0)[:, None]
 
     def rare(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Natural log probability of a word within its shape; 0 for tokens with a slot of their own."""
