@@ -3,15 +3,17 @@
 import math
 import re
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from cases import LOWER, ODD, words
 from pyspark.sql import functions as F
 
 from tidemill.llm import language_id, quality_classifier, quality_rules
 from tidemill.llm.decontaminate import contaminated_words
-from tidemill.llm.kneser_ney import ORDER, KneserNey
+from tidemill.llm.kneser_ney import ORDER, KneserNey, discounts
 from tidemill.llm.letters import CLASSES, class_table, shares_in_class
 from tidemill.llm.queries import LLM, fold
 
@@ -340,6 +342,141 @@ def test_characters_of_one_class_are_told_apart(spark):
     assert [found[n]["kept"] for n in range(81)] == [True] * 80 + [False]
 
 
+def _vocabulary_texts(chance, letters, count):
+    vocabulary = ["".join(chance.choice(letters, chance.integers(2, 9))) for _ in range(300)]
+    return [" ".join(chance.choice(vocabulary, 80)) for _ in range(count)]
+
+
+def test_characters_are_judged_by_what_stands_before_them(spark):
+    chance = np.random.default_rng(9)
+    letters = [chr(0x430 + n) for n in range(32)]
+    texts = _vocabulary_texts(chance, letters, 80)
+    # Each letter becomes another one of its class that the language has as often.
+    turned = texts[0].translate({ord(letter): 0x430 + (n + 10 if n + 10 < 32 else n % 10) for n, letter in enumerate(letters)})
+    codes, lengths = quality_rules.gram_codes([texts[0], turned])
+    assert codes[: lengths[0]].tolist() == codes[lengths[0] :].tolist()
+    rows = [(n, text, "xx") for n, text in enumerate([*texts, turned])]
+    judged = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    found = {row["doc_id"]: row for row in judged}
+    assert found[80]["perplexity"] > 2 * max(found[n]["perplexity"] for n in range(80))
+    assert [found[n]["kept"] for n in range(81)] == [True] * 80 + [False]
+
+
+def _plain(text):
+    """Digits, marks, white space and other ASCII as one character each."""
+    return "".join("\t0!\x00"[int(class_table()[ord(c)]) - 26] if c < "\x80" and not "a" <= c <= "z" else c for c in text)
+
+
+def _scores_by_hand(rows):
+    """The log probability of (text number, its language, language, n-gram) as dictionaries have it."""
+    counts = {}
+    for number, (text, lang) in enumerate(rows):
+        for gram in _grams(text):
+            counts.setdefault(lang, {}).setdefault(gram, []).append(number)
+    tables, bases, spelled = {}, {}, {}
+    for lang, grams in counts.items():
+        of = {gram: (len(numbers), set(numbers)) for gram, numbers in grams.items()}
+        plain = {}
+        for gram, (n, numbers) in of.items():
+            before, have = plain.get(_plain(gram), (0, set()))
+            plain[_plain(gram)] = (before + n, have | numbers)
+        tables[lang] = {ORDER: plain}
+        codes, often = Counter(), Counter()
+        for gram, (n, _) in of.items():
+            code = 0
+            for c in gram:
+                code = code * CLASSES + int(class_table()[ord(c)])
+            codes[code] += n
+            often[ord(gram[-1])] += n if class_table()[ord(gram[-1])] >= 26 else 0
+        keys = np.array(sorted(codes))
+        bases[lang] = KneserNey.of(keys, np.array([codes[key] for key in keys.tolist()]))
+        spelled[lang] = (np.array(sorted(+often), np.uint32), np.array([often[point] for point in sorted(+often)]))
+        for size in range(ORDER - 1, 0, -1):
+            shorter = {}
+            for gram, (_, numbers) in tables[lang][size + 1].items():
+                n, have = shorter.get(gram[1:], (0, set()))
+                shorter[gram[1:]] = (n + 1, have | numbers)
+            tables[lang][size] = shorter
+    alphabet, shares = shares_in_class(spelled)
+    alphabet = alphabet.tolist()
+    cuts = {(lang, size): discounts(np.array([n for n, _ in table.values()])) for lang in tables for size, table in tables[lang].items()}
+
+    def share(lang, c):
+        return shares[lang][alphabet.index(ord(c))] if ord(c) in alphabet else 0
+
+    def base(lang, gram):
+        code = 0
+        for c in gram:
+            code = code * CLASSES + int(class_table()[ord(c)])
+        return math.exp(bases[lang].score(np.array([code]))[0] + (share(lang, gram[-1]) if gram[-1] > "\x7f" else 0))
+
+    def chance(own, lang, gram, size):
+        if not size:
+            return base(lang, gram)
+        end, table, cut = gram[-size:], tables[lang][size], cuts[lang, size]
+        below = chance(own, lang, gram, size - 1)
+        known = {g: v for g, v in table.items() if g[:-1] == end[:-1]}
+        evidence = len(set().union(*[numbers for _, numbers in known.values()])) > own
+        if not evidence:
+            return below
+        total = sum(n for n, _ in known.values())
+        weight = sum(cut[min(n, 3)] for n, _ in known.values()) / total
+        n, numbers = known.get(end, (0, set()))
+        return (n - cut[min(n, 3)]) / total * (len(numbers) > own) + weight * below
+
+    def score(own, lang, gram):
+        return math.log(chance(own, lang, _plain(gram), ORDER)) + (share(lang, gram[-1]) if gram[-1] <= "\x7f" else 0)
+
+    remembered = cache(score)
+    return lambda home, lang, gram: remembered(int(home == lang), lang, gram)
+
+
+def test_perplexity_by_hand(spark):
+    chance = np.random.default_rng(10)
+    texts = {
+        "aa": _vocabulary_texts(chance, list("abcdeéè "), 4),
+        "bb": _vocabulary_texts(chance, [chr(0x430 + n) for n in range(14)], 3),
+        None: ["Some other thing, written once: 1,234 + 56 = 1,290; (#7).", "漢字 and 漢語 and 字漢"],
+    }
+    texts["aa"] += [texts["aa"][0], texts["bb"][0][:200] + texts["aa"][1][:200], "a" * 64, "q", ""]
+    rows = [(text, lang or "") for lang, some in texts.items() for text in some]
+    score = _scores_by_hand(rows)
+    mean = {}
+    for lang in {lang for _, lang in rows}:
+        own = [score(lang, lang, gram) for text, home in rows if home == lang for gram in _grams(text)]
+        mean[lang] = -sum(own) / len(own)
+    wanted = {}
+    for number, (text, lang) in enumerate(rows):
+        own = [score(lang, lang, gram) for gram in _grams(text)]
+        if own and -sum(own) / len(own) > mean[lang]:
+            by_lang = [[score(lang, other, gram) for gram in _grams(text)] for other in ("aa", "bb")] + [own]
+            own = [max(sum(scores[at : at + 64]) for scores in by_lang) for at in range(0, len(own), 64)]
+        wanted[number] = math.exp(-sum(own) / len(text)) if text else None
+    frame = spark.createDataFrame([(n, text, lang or None) for n, (text, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    results = []
+    for held in (quality_rules.HELD, 100, 0):
+        results.append(by_id(quality_rules.quality_rules(frame.repartition(3), held=held), "doc_id", "perplexity", "kept"))
+        for number, perplexity, _ in results[-1]:
+            assert perplexity == (wanted[number] if wanted[number] is None else pytest.approx(wanted[number], rel=1e-4))
+    assert len({tuple(row[2] for row in rows) for rows in results}) == 1
+
+
+def _grams(text):
+    padded = "\n" * (ORDER - 1) + text.lower()
+    return [_plain(padded[at : at + ORDER - 1]) + padded[at + ORDER - 1] for at in range(len(text))]
+
+
+def test_characters_of_large_alphabets_are_numbered(monkeypatch):
+    texts = ["Ab c\né漢 ab c", "", None, "".join(map(chr, range(0x4E00, 0x5600))) * 2]
+    few = quality_rules._characters(texts)
+    monkeypatch.setattr(quality_rules, "DENSE", 1)
+    many = quality_rules._characters(texts)
+    for grams, which, lengths in (few, many):
+        assert len({tuple(gram) for gram in grams.tolist()}) == len(grams)
+        assert ["".join(map(chr, gram)) for gram in grams[which].tolist()] == [gram for text in texts for gram in _grams(text or "")]
+        assert lengths.tolist() == [len(text or "") for text in texts]
+
+
 def test_kept_follows_the_bands(spark, small, documents):
     rows = quality_rules.quality_rules(documents).join(documents.select("doc_id", "lang"), "doc_id").collect()
     bands = {}
